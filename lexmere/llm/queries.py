@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from lexmere.session import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexmere.llm import bpe
+
+    found = bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmere.llm import simhash
 
@@ -18,7 +27,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash}
+    return {"op2_bpe": op2_bpe, "op3_simhash": op3_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
