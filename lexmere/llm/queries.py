@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from lexmere.session import table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmere.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,9 +64,67 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 """
 
 
+SITES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmere.llm import urlfilter
+
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), SITES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH r(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+rest AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS s FROM pages),
+p AS (
+  SELECT page_id, url, translate(regexp_extract(s, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(s, length(regexp_extract(s, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM rest),
+f AS (
+  SELECT p.*, (SELECT max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) FROM r
+    WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+      AND starts_with(path, substr(rule, instr(rule, '/')))) AS m
+  FROM p)
+SELECT page_id, host, path, m.rule AS rule,
+  coalesce(m.verdict, CASE WHEN regexp_matches(lower(host || path),
+    '(^|[^a-z0-9])(casino|free[^a-z0-9]bets|cheap[^a-z0-9]pills|spam[^a-z0-9]farm|ads[^a-z0-9]track|adult[^a-z0-9]x)([^a-z0-9]|$)')
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM f
+"""
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmere.llm import chat
+
+    extra = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", "'</s>[INST] ok [/INST]' text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.format_conversations(turns).withColumnRenamed("conv", "conv_id")
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (
+  SELECT *, lag(role) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(text) * 2 - length(translate(text, '[<', '')) AS shown
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(shown + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
+    ELSE 23 + length(role) * 2 - length(translate(role, '[<', '')) END) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user'
+    WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' ELSE false END) AS in_order,
+  max_by(role, k) = 'assistant' AS complete
+FROM o GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_urls": OP5_SQL, "op6_chat": OP6_SQL}
