@@ -122,6 +122,26 @@ FROM o GROUP BY conv_id
 """
 
 
+def _classified(found: DataFrame, least: float) -> DataFrame:
+    from lexmere.llm.labelled import held_out
+
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmere.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return _classified(quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmere.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return _classified(toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
