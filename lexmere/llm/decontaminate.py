@@ -1,11 +1,13 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-The index holds one posting (document, position, word) for each training word
-that some benchmark item uses, and per document one end mark that carries its
-number of words. Windows of test words are searched from their rarest terms:
-the postings of each are shifted by the term's offset in the window, so that
-lists of one window meet at the window's start, and are intersected; what is
-left is intersected with the lists of the other terms.
+The index holds postings (document, position, term) of training tokens. A term
+is a word with the word after it, so that lists of frequent words stay short; a
+word alone is a term only where a test window is one word (or for proximity).
+Terms that no test item uses are not stored; per document there is one end mark
+that carries its number of words. Windows of test words are searched from their
+rarest terms: the postings of each are shifted by the term's offset in the
+window, so that lists of one window meet at the window's start, and are
+intersected; what is left is intersected with the lists of the other terms.
 
 A document row is known by its id and the hash of its text, so repeated ids
 with different texts do not mix, and repeated rows get the same answer.
@@ -47,58 +49,65 @@ def windows(items: DataFrame, length: int, id_col: str, text_col: str) -> DataFr
 
 
 def index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings (doc, h, pos, word) of the words in `vocabulary` (word), and an end mark (pos = number of words) per row of docs."""
-    vocabulary = small(vocabulary.union(docs.sparkSession.range(1).selectExpr(f"'{_END}' word")))
+    """Stored postings (doc, h, pos, term) of the terms in `vocabulary` (term), and an end mark (pos = number of words) per row of docs."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("h"), words(text).alias("w"))
-    tokens = rows.select(*_KEY, F.posexplode(F.array_append("w", F.lit(_END))).alias("pos", "word"))
-    return stored(tokens.join(vocabulary, "word", "left_semi"))
+    alone = vocabulary.where("instr(term, ' ') = 0")
+    pairs = vocabulary.where("instr(term, ' ') > 0").union(docs.sparkSession.range(1).selectExpr(f"'{_END}' term"))
+    # the end mark is the one entry past the words; the last word has no next one and gives no term
+    ends = F.arrays_zip(F.array_append("w", F.lit(_END)).alias("a"), F.array_append(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.lit(None)).alias("b"))
+    tokens = rows.select(*_KEY, F.posexplode(ends).alias("pos", "t")).select(*_KEY, "pos", F.when(F.col("t.b").isNotNull(), F.concat("t.a", F.lit(" "), "t.b")).when(F.col("t.a") == _END, _END).alias("term"))
+    found = tokens.join(small(pairs), "term", "left_semi")
+    if not alone.isEmpty():
+        found = found.union(rows.select(*_KEY, F.posexplode("w").alias("pos", "term")).join(small(alone), "term", "left_semi").select(found.columns))
+    return stored(found)
 
 
 def _meeting(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc, h, wid, base): starts at which all the given terms (wid, off, word, need) of a window meet."""
-    shifted = postings.join(small(terms), "word").selectExpr(*_KEY, "wid", "need", "pos - off base", "off").where("base >= 0")
+    """(doc, h, wid, base): starts at which all the given terms (wid, off, term, need) of a window meet."""
+    shifted = postings.join(small(terms), "term").selectExpr(*_KEY, "wid", "need", "pos - off base", "off").where("base >= 0")
     met = shifted.distinct().groupBy(*_KEY, "wid", "base", "need").count()
     return met.where("count = need").select(*_KEY, "wid", "base")
 
 
+def _ranked(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Stored terms with their rank r in their window, the rarest first; windows with a term that no document has are left out, as they cannot occur."""
+    counts = stored(postings.groupBy("term").agg(F.count("*").alias("n")))
+    of = W.partitionBy("wid")
+    known = terms.join(small(counts), "term").withColumn("has", F.count("*").over(of)).where("has = lists")
+    return stored(known.withColumn("r", F.row_number().over(of.orderBy("n", "off"))).drop("has", "n"))
+
+
 def phrase_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, h, wid, base, k): every place where all k words of a window stand in order, without gaps."""
-    counts = stored(postings.groupBy("word").agg(F.count("*").alias("n")))
-    known = terms.join(small(counts), "word")
-    of = W.partitionBy("wid")
-    # a window with a word that no document has cannot occur
-    ranked = known.withColumn("has", F.count("*").over(of)).where("has = k").withColumn("r", F.row_number().over(of.orderBy("n", "off")))
-    ranked = stored(ranked.select("wid", "k", "off", "word", "r"))
-    first = ranked.where(F.col("r") <= RAREST).withColumn("need", F.least("k", F.lit(RAREST)).cast("long"))
+    ranked = _ranked(postings, terms)
+    first = ranked.where(F.col("r") <= RAREST).withColumn("need", F.least("lists", F.lit(RAREST)).cast("long")).select("wid", "off", "term", "need")
     found = stored(_meeting(postings, first))
     where = found.select(*_KEY).distinct()
-    rest = ranked.where(F.col("r") > RAREST)
-    held = postings.join(small(where), [postings.doc.eqNullSafe(where.doc), postings.h == where.h], "left_semi")
-    want = found.join(small(rest), "wid").selectExpr(*_KEY, "wid", "base", "k", "word", "cast(base + off as int) pos")
-    hits = want.join(held.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "pos", "word"), [want.doc.eqNullSafe(F.col("_doc")), want.h == F.col("_h"), want.pos == held.pos, want.word == held.word], "left_semi")
-    full = hits.distinct().groupBy(*_KEY, "wid", "base", "k").count().where(f"count = k - {RAREST}").select(*_KEY, "wid", "base", "k")
-    short = small(ranked.where(f"r = 1 and k <= {RAREST}").select("wid", "k"))
+    rest = ranked.where(F.col("r") > RAREST).select("wid", "k", "lists", "off", "term")
+    held = postings.join(small(where), [postings.doc.eqNullSafe(where.doc), postings.h == where.h], "left_semi").selectExpr("doc _doc", "h _h", "pos _pos", "term _term")
+    want = found.join(small(rest), "wid").selectExpr(*_KEY, "wid", "base", "k", "lists", "term", "cast(base + off as int) pos")
+    hits = want.join(held, [want.doc.eqNullSafe(F.col("_doc")), want.h == F.col("_h"), want.pos == F.col("_pos"), want.term == F.col("_term")], "left_semi")
+    full = hits.distinct().groupBy(*_KEY, "wid", "base", "k", "lists").count().where(f"count = lists - {RAREST}").select(*_KEY, "wid", "base", "k")
+    short = small(ranked.where(f"r = 1 and lists <= {RAREST}").select("wid", "k"))
     return full.union(found.join(short, "wid").select(*_KEY, "wid", "base", "k"))
 
 
 def proximity_matches(postings: DataFrame, terms: DataFrame, slack: int) -> DataFrame:
-    """(doc, h, wid, base): places where every word of a window stands at most `slack` words from where the phrase would have it, base being the place of its rarest word less that word's offset."""
-    counts = stored(postings.groupBy("word").agg(F.count("*").alias("n")))
-    of = W.partitionBy("wid")
-    ranked = terms.join(small(counts), "word").withColumn("has", F.count("*").over(of)).where("has = k").withColumn("r", F.row_number().over(of.orderBy("n", "off")))
-    ranked = stored(ranked)
-    anchor = postings.join(small(ranked.where("r = 1")), "word").selectExpr(*_KEY, "wid", "k", "pos - off base").distinct()
-    near = anchor.join(small(ranked.where("r > 1").select("wid", "off", "word")), "wid").withColumn("pos", F.explode(F.expr(f"sequence(base + off - {slack}, base + off + {slack})")))
-    p = postings.selectExpr("doc _doc", "h _h", "pos", "word")
-    met = near.join(p, [near.doc.eqNullSafe(p._doc), near.h == p._h, near.pos == p.pos, near.word == p.word], "left_semi")
-    full = met.select(*_KEY, "wid", "base", "k", "off").distinct().groupBy(*_KEY, "wid", "base", "k").count().where("count = k - 1")
-    return full.select(*_KEY, "wid", "base").union(anchor.where("k = 1").select(*_KEY, "wid", "base"))
+    """(doc, h, wid, base): places where every word of a window stands at most `slack` words from where the phrase would have it, base being the place of its rarest word less that word's offset. Postings and terms of single words."""
+    ranked = _ranked(postings, terms)
+    anchor = postings.join(small(ranked.where("r = 1")), "term").selectExpr(*_KEY, "wid", "lists", "pos - off base").distinct()
+    near = anchor.join(small(ranked.where("r > 1").select("wid", "off", "term")), "wid").withColumn("pos", F.explode(F.expr(f"sequence(base + off - {slack}, base + off + {slack})")))
+    p = postings.selectExpr("doc _doc", "h _h", "pos _pos", "term _term")
+    met = near.join(p, [near.doc.eqNullSafe(p._doc), near.h == p._h, near.pos == p._pos, near.term == p._term], "left_semi")
+    full = met.select(*_KEY, "wid", "base", "lists", "off").distinct().groupBy(*_KEY, "wid", "base", "lists").count().where("count = lists - 1")
+    return full.select(*_KEY, "wid", "base").union(anchor.where("lists = 1").select(*_KEY, "wid", "base"))
 
 
-def terms_of(wins: DataFrame) -> DataFrame:
-    """(wid, k, off, word) of distinct windows (wid, win)."""
-    return wins.select("wid", F.size("win").alias("k"), F.posexplode("win").alias("off", "word"))
+def terms_of(wins: DataFrame, alone: bool = False) -> DataFrame:
+    """(wid, k, lists, off, term) of distinct windows (wid, win): pairs of neighbours, or single words."""
+    pairs = F.when((F.size("win") == 1) | F.lit(alone), F.col("win")).otherwise(F.zip_with(F.slice("win", 1, F.size("win") - 1), F.slice("win", 2, F.size("win")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return wins.select("wid", F.size("win").alias("k"), pairs.alias("t")).select("wid", "k", F.size("t").alias("lists"), F.posexplode("t").alias("off", "term"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -113,11 +122,9 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, id_col: s
     Columns besides the id and the text are not read.
     """
     pairs = stored(windows(items, length, item_col, item_text_col))
-    # one id per distinct window; sha2 over words joined by a blank, which no word contains
-    wid = F.sha2(F.array_join("win", " "), 256).alias("wid")
-    wins = pairs.select(wid, "win").distinct()
+    wins = stored(pairs.select("win").distinct().select(F.monotonically_increasing_id().alias("wid"), "win"))
     terms = stored(terms_of(wins))
-    postings = index(docs, terms.select("word").distinct(), id_col, text_col)
+    postings = index(docs, terms.select("term").distinct(), id_col, text_col)
     hits = stored(phrase_matches(postings, terms))
 
     spans = hits.select(*_KEY, "base", (F.col("base") + F.col("k")).alias("end")).groupBy(*_KEY, "base").agg(F.max("end").alias("end"))
@@ -125,10 +132,10 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, id_col: s
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("base", F.coalesce(before, F.lit(0))))
     n_hit = spans.select(*_KEY, fresh.alias("fresh")).groupBy(*_KEY).agg(F.sum("fresh").cast("long").alias("n_hit"))
 
-    named = hits.select(*_KEY, "wid").distinct().join(small(pairs.select(wid, "item").where("item is not null")), "wid").select(*_KEY, "item").distinct()
+    named = hits.select(*_KEY, "wid").distinct().join(small(pairs.where("item is not null").join(wins, "win").select("wid", "item")), "wid").select(*_KEY, "item").distinct()
     n_items = named.groupBy(*_KEY).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
 
-    own = postings.where(F.col("word") == _END).selectExpr(*_KEY, "cast(pos as long) n_words")
+    own = postings.where(F.col("term") == _END).selectExpr(*_KEY, "cast(pos as long) n_words")
     same = lambda a, b: [a.doc.eqNullSafe(b.doc), a.h == b.h]
     out = own.join(n_hit, same(own, n_hit), "left").select(own.doc, own.h, "n_words", "n_hit")
     out = out.join(n_items, same(out, n_items), "left").select(out.doc, out.h, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"))
