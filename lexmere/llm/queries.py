@@ -142,6 +142,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmere.llm import passages
+
+    return passages.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexmere.llm import tokencount
+
+    found = tokencount.section_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

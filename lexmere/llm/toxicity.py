@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,3 +259,15 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(of, "id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """docs whose score is under `least`, in one pass without a shuffle; columns as given."""
+
+    @F.pandas_udf("double")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.word_scorer()
+        for s in batches:
+            yield pd.Series(np.concatenate([score_texts(scorer, [t or "" for t in s[lo : lo + 256]]) for lo in range(0, len(s), 256)] or [np.zeros(0)]))
+
+    return docs.where(toxic(F.col(text_col).cast("string")) < least)
