@@ -1,21 +1,406 @@
-"""The registered queries, and their SQL."""
+"""The registered queries: operator id, the operator applied to the fixture views, and the same in DuckDB SQL (None where SQL cannot express it)."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmere.session import table
+from lexmere.fixtures import Views, with_views
+from lexmere.functions import scalars as S
+from lexmere.operators import checks, chunks, entities, reads, refs, store, timeline
+from lexmere.plans import corpus_run
+from lexmere.session import shared_dir
+from lexmere.sources import ingest
+from lexmere.streaming import jobs
+
+ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+_FOUND: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
+
+
+#: Whole numbers that may be null are compared as doubles.
+_NULLABLE = {"b17_sampling": ["instruct_top_k"], "c7_reference_chunk": ["offset_end"], "c9_model_colour": ["color_index"], "d9_model_colours": ["color_index"], "d10_colour_of_model": ["color_index"], "e6_reference_page": ["page_number", "page_start", "page_end"], "e12_column_order": ["color_index"], "h4_found_at": ["found_at"], "l3_cascade": ["entity_id"], "l8_references": ["entity_id"], "m1_timeline": ["color_index"], "p9_model_colours": ["color_index"]}
+
+
+def q(name: str, run: Callable[[Views], DataFrame], sql: str | None = None) -> None:
+    wide = _NULLABLE.get(name, [])
+    if wide and sql:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in wide)}) FROM (\n{with_views(sql)}\n)"
+    _FOUND[name] = (lambda v: run(v).withColumns({c: F.col(c).cast("double") for c in wide})) if wide else run, sql
+
+
+def iso_sql(c: str) -> str:
+    return ISO.format(c)
+
+
+# --- A: sources and sinks
+
+
+def _raw(v: Views) -> DataFrame:
+    return v.documents.selectExpr("doc_id id", "text", "'doc-' || doc_id || if(doc_id % 3 = 0, '.PDF', if(doc_id % 3 = 1, '.txt', '')) filename", "if(doc_id % 2 = 0, 'text/plain', null) mime_type", "if(doc_id % 5 = 0, null, source) source_id", "encode(text, 'UTF-8') content", "doc_id * 7000 size", "if(doc_id % 7 = 0, 'odd', ' Instruct ') llm_mode")
+
+
+_RAW = "SELECT doc_id AS id, text, 'doc-' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '' END AS filename, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS mime_type, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source_id, doc_id * 7000 AS size, CASE WHEN doc_id % 7 = 0 THEN 'odd' ELSE ' Instruct ' END AS llm_mode FROM documents"
+q("a1_text_ingest", lambda v: ingest.texts(_raw(v)), f"SELECT id, base64(encode(text)) AS original_blob, text AS text_content, 'pending' AS status, filename, coalesce(mime_type, 'text/plain') AS mime_type, coalesce(source_id, CAST(id AS VARCHAR)) AS source_id FROM ({_RAW})")
+q("a2_blob_ingest", lambda v: ingest.blobs(_raw(v)).select("id", "blob_path", F.length("original_blob").alias("n")), f"SELECT id, 'doc/' || id || CASE WHEN regexp_extract(filename, '(\\.[^./]+)$', 1) = '' THEN '.bin' ELSE lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) END AS blob_path, length(base64(encode(text))) AS n FROM ({_RAW})")
+q("a3_ingest_gate", lambda v: ingest.gated(_raw(v)).select("id", "reject_reason"), f"SELECT id, CASE WHEN trim(filename) = '' THEN 'missing filename' WHEN size > 52428800 THEN 'too large' WHEN lower(trim(llm_mode)) NOT IN ('thinking', 'instruct') THEN 'bad mode' END AS reject_reason FROM ({_RAW})")
+q("a4_blob_decode", lambda v: ingest.decoded(ingest.blobs(_raw(v))).select("id", "text_content", "error_message"), f"SELECT id, text AS text_content, CAST(NULL AS VARCHAR) AS error_message FROM ({_RAW})")
+q("a5_format_routing", lambda v: ingest.routed(_raw(v)).select("id", "doc_format"), f"SELECT id, CASE WHEN lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.txt' THEN 'plain_text' WHEN mime_type = 'text/plain' THEN 'plain_text' ELSE 'unsupported' END AS doc_format FROM ({_RAW})")
+_PAGES = "SELECT document_id, string_agg(text, chr(12) ORDER BY page_no) AS text_content, count(*) AS n FROM v_page_text GROUP BY document_id"
+q("a6_page_assembly", lambda v: ingest.assembled(v.v_page_text).select("document_id", "text_content", F.array_join(F.col("page_offsets").cast("array<string>"), ",").alias("offsets")), f"""
+WITH p AS ({_PAGES}), b AS (SELECT document_id, page_no, sum(length(text)) OVER (PARTITION BY document_id ORDER BY page_no) + page_no AS e, count(*) OVER (PARTITION BY document_id) AS n FROM v_page_text)
+SELECT p.document_id, text_content, '0,' || coalesce((SELECT string_agg(CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY page_no) || ',' FROM b WHERE b.document_id = p.document_id AND page_no < b.n - 1), '') || length(text_content) AS offsets FROM p""")
+q("a7_quality_gate", lambda v: ingest.quality(ingest.assembled(v.v_page_text)).select("document_id", F.col("page_count").cast("long").alias("page_count"), "quality_reason"), f"SELECT document_id, n AS page_count, CASE WHEN trim(text_content) = '' THEN 'empty_or_scanned' WHEN length(trim(text_content)) < 50 AND n > 1 THEN 'likely_scanned' END AS quality_reason FROM ({_PAGES})")
+q("a8_page_estimate", lambda v: ingest.estimated_pages(v.v_document), "SELECT id, CAST(greatest(1, ceil(length(text_content) / 3000.0)) AS BIGINT) AS pages FROM v_document")
+
+
+def _responses(v: Views) -> DataFrame:
+    """Stored responses per (document, chunk): every 13th a bare list, every 19th cut off, every 23rd empty."""
+    event = F.struct("title", "description", F.date_format("time_start", "yyyy-MM-dd HH:mm:ss").alias("time_start"), F.date_format("time_end", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time_end"), "time_precision",
+        F.when(F.col("id") % 3 == 0, F.struct(F.concat(F.lit("place "), F.col("id") % 25).alias("name"), F.lit("city").alias("location_type"))).alias("location"),
+        F.array(F.struct(F.concat(F.lit(" person "), F.col("id") % 97, F.lit(" ")).alias("name"), F.when(F.col("id") % 2 == 0, "witness").alias("role")), F.struct(F.lit("  ").alias("name"), F.lit("object").alias("role"))).alias("participants"),
+        F.array(F.struct(F.when(F.col("id") % 4 == 0, "bogus").otherwise("time").alias("reference_type"), F.col("title").alias("verbatim_text"), F.when(F.col("id") % 2 == 0, "x").otherwise("5").alias("span_start"), F.lit("12").alias("span_end"))).alias("references"))
+    g = v.v_event.groupBy("document_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("id", event.alias("e")))).alias("r"))
+    k, events = F.col("document_id") * 3 + F.col("chunk_index"), F.to_json("r.e")
+    text = F.when(k % 23 == 0, "").when(k % 19 == 0, F.substring(events, 1, 40)).when(k % 13 == 0, events).otherwise(F.concat(F.lit('{"events":'), events, F.lit("}")))
+    return g.select("document_id", "chunk_index", text.alias("response_text"))
+
+
+_KEPT = "(document_id * 3 + chunk_index) % 23 > 0 AND (document_id * 3 + chunk_index) % 19 > 0"
+_EVENTS = f"SELECT *, row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY id) - 1 AS n FROM v_event WHERE {_KEPT}"
+_EID = "sha256(document_id || ':' || chunk_index || ':' || n)"
+q("a9_response_scan", lambda v: store.parsed(_responses(v)).select("document_id", "chunk_index", F.size("events").cast("long").alias("events")), f"SELECT document_id, chunk_index, count(*) FILTER ({_KEPT}) AS events FROM v_event GROUP BY ALL")
+q("a10_refusals", lambda v: store.parsed(_responses(v)).select("document_id", "chunk_index", "refused", (F.length("reason") > 0).alias("said")), f"SELECT DISTINCT document_id, chunk_index, NOT ({_KEPT}) AS refused, CASE WHEN NOT ({_KEPT}) THEN true END AS said FROM v_event")
+q("a11_usage_capture", lambda v: store.usage_rows(v.v_usage).select("document_id", "chunk_index", "total_tokens"), "SELECT document_id, chunk_index, total_tokens FROM v_usage WHERE prompt_tokens > 0 AND completion_tokens > 0 AND total_tokens > 0")
+q("a12_source_backfill", lambda v: ingest.texts(_raw(v)).select("id", "source_id"), f"SELECT id, coalesce(source_id, CAST(id AS VARCHAR)) AS source_id FROM ({_RAW})")
+
+
+def _stored_events(v: Views) -> DataFrame:
+    return store.event_rows(store.parsed(_responses(v)), v.v_document)
+
+
+q("a13_event_sink", lambda v: _stored_events(v).select("id", "document_id", "chunk_index", "title", S.iso(F.col("time_start")).alias("time_start"), S.iso(F.col("time_end")).alias("time_end"), "provider_id", "model"), f"SELECT {_EID} AS id, document_id, chunk_index, title, {iso_sql('time_start + INTERVAL 3 HOUR')} AS time_start, {iso_sql('time_end')} AS time_end, provider_id, model FROM ({_EVENTS})")
+q("b12_reference_kinds", lambda v: store.reference_rows(_stored_events(v)).select("event_id", "reference_type", "verbatim_text", "span_start", "span_end"), f"SELECT {_EID} AS event_id, 'time' AS reference_type, title AS verbatim_text, CASE WHEN id % 2 = 0 THEN 0 ELSE 5 END AS span_start, 12 AS span_end FROM ({_EVENTS}) WHERE id % 4 > 0")
+q("b13_participants", lambda v: store.participant_rows(_stored_events(v)).select("event_id", "name", "role", "confidence"), f"SELECT {_EID} AS event_id, 'person ' || (id % 97) AS name, CASE WHEN id % 2 = 0 THEN 'witness' ELSE 'subject' END AS role, CAST(1 AS DOUBLE) AS confidence FROM ({_EVENTS})")
+q("b14_locations", lambda v: store.location_rows(_stored_events(v)), f"SELECT {_EID} AS event_id, 'place ' || (id % 25) AS name, 'city' AS location_type FROM ({_EVENTS}) WHERE id % 3 = 0")
+q("d14_store_summary", lambda v: store.stored_counts(store.parsed(_responses(v))), f"SELECT document_id, chunk_index, count(*) FILTER ({_KEPT}) AS events_stored, count(*) FILTER ({_KEPT} AND id % 4 > 0) AS references_stored FROM v_event GROUP BY ALL")
+q("d17_refusal_rate", lambda v: store.refusal_rate(store.parsed(_responses(v))), f"SELECT round(avg(CASE WHEN {_KEPT} THEN 0 ELSE 1 END), 6) AS rate, avg(CASE WHEN {_KEPT} THEN 0 ELSE 1 END) < 0.05 AS within FROM (SELECT DISTINCT document_id, chunk_index FROM v_event)")
+q("k10_provenance_stamp", lambda v: _stored_events(v).groupBy("provider_id", "model").agg(F.count("*").alias("n")), f"SELECT provider_id, model, count(*) AS n FROM ({_EVENTS}) GROUP BY ALL")
+_NEW = lambda v: v.v_event.where("document_id % 3 = 0 and chunk_index = 1 and id % 2 = 0").withColumn("title", F.concat(F.lit("new "), F.col("title")))
+_TOUCHED = lambda v: v.v_event.where("document_id % 3 = 0 and chunk_index = 1").select("document_id", "chunk_index")
+_REPLACED = "SELECT id, document_id, chunk_index, title FROM v_event WHERE NOT (document_id % 3 = 0 AND chunk_index = 1) UNION ALL SELECT id, document_id, chunk_index, 'new ' || title FROM v_event WHERE document_id % 3 = 0 AND chunk_index = 1 AND id % 2 = 0"
+q("a14_chunk_replace", lambda v: store.replaced(v.v_event, _NEW(v), _TOUCHED(v), ["document_id", "chunk_index"]).select("id", "document_id", "chunk_index", "title"), _REPLACED)
+q("g2_replace", lambda v: store.replaced(store.replaced(v.v_event, _NEW(v), _TOUCHED(v), ["document_id", "chunk_index"]), _NEW(v), _TOUCHED(v), ["document_id", "chunk_index"]).select("id", "document_id", "chunk_index", "title"), _REPLACED)
+q("k12_clear_events", lambda v: store.replaced(v.v_event, v.v_event.limit(0), v.v_document.where("id % 2 = 0").selectExpr("id document_id"), ["document_id"]).groupBy("document_id").agg(F.count("*").alias("n")), "SELECT document_id, count(*) AS n FROM v_event WHERE document_id NOT IN (SELECT id FROM v_document WHERE id % 2 = 0) GROUP BY 1")
+q("a15_chunk_sink", lambda v: store.replaced(v.v_chunk, v.v_chunk.where("document_id % 4 = 0 and chunk_index = 0"), v.v_document.where("id % 4 = 0").selectExpr("id document_id"), ["document_id"]).select("document_id", "chunk_index", "offset_end"), "SELECT document_id, chunk_index, offset_end FROM v_chunk WHERE document_id % 4 > 0 OR chunk_index = 0")
+q("a16_chunk_text", lambda v: reads.chunk_texts(v.v_chunk.where("document_id = 7")), "SELECT document_id, chunk_index, text, offset_start, offset_end, CAST(0 AS BIGINT) AS relative_start, length(text) AS relative_end FROM v_chunk WHERE document_id = 7")
+q("a17_chunk_metadata", lambda v: v.v_chunk.select("document_id", "chunk_index", "offset_start", "offset_end", "page_start", "page_end").orderBy("document_id", "chunk_index"), "SELECT document_id, chunk_index, offset_start, offset_end, page_start, page_end FROM v_chunk")
+q("a18_document_metadata", lambda v: v.v_document.select("id", "filename", "model", (F.coalesce("text_content", F.lit("")) != "").alias("has_text")), "SELECT id, filename, model, coalesce(text_content, '') <> '' AS has_text FROM v_document")
+q("a19_document_text", lambda v: v.v_document.select("id", F.coalesce("text_content", F.lit("")).alias("text"), F.length(F.coalesce("text_content", F.lit(""))).cast("long").alias("n")), "SELECT id, coalesce(text_content, '') AS text, length(coalesce(text_content, '')) AS n FROM v_document")
+
+# --- B: filters and projections
+_E = "SELECT id, document_id, title FROM v_event WHERE "
+_es = lambda df: df.select("id", "document_id", "title")
+q("b1_title_search", lambda v: _es(v.v_event.where(reads.event_filter(search="PURCH_SE 1"))), _E + "title ILIKE '%PURCH_SE 1%'")
+q("b2_by_document", lambda v: _es(v.v_event.where(reads.event_filter(document=17))), _E + "document_id = 17")
+q("b3_by_source", lambda v: _es(reads.of_source(v.v_event, v.v_document, "src3")), _E + "document_id IN (SELECT id FROM v_document WHERE source_id = 'src3')")
+q("b4_by_model", lambda v: _es(v.v_event.where(reads.event_filter(model="model-2 [I]"))), _E + "model = 'model-2 [I]'")
+q("b5_conjunction", lambda v: _es(v.v_event.where(reads.event_filter("click", 44, "model-2 [I]"))), _E + "title ILIKE '%click%' AND document_id = 44 AND model = 'model-2 [I]'")
+q("b6_filename_search", lambda v: v.v_document.where(F.col("filename").like("%c-1%")).select("id", "filename"), "SELECT id, filename FROM v_document WHERE filename LIKE '%c-1%'")
+q("b7_by_status", lambda v: v.v_document.where("status = 'failed'").select("id", "status"), "SELECT id, status FROM v_document WHERE status = 'failed'")
+q("b8_located", lambda v: v.v_location.where("lat is not null and lon is not null").select("id", "name"), "SELECT id, name FROM v_location WHERE lat IS NOT NULL AND lon IS NOT NULL")
+q("b9_box", lambda v: v.v_location.where(F.col("lat").between(-60, 10) & F.col("lon").between(-120, 40)).select("id", "lat", "lon"), "SELECT id, lat, lon FROM v_location WHERE lat BETWEEN -60 AND 10 AND lon BETWEEN -120 AND 40")
+_BOXES = "SELECT c_custkey AS box, CAST(c_custkey % 300 - 180 AS DOUBLE) AS min_lon, CAST(c_custkey % 300 - 180 + c_custkey % 70 - 5 AS DOUBLE) AS max_lon, CAST(c_custkey % 150 - 90 AS DOUBLE) AS min_lat, CAST(c_custkey % 150 - 50 AS DOUBLE) AS max_lat FROM customer"
+q("b10_boxes", lambda v: reads.boxes_hit(v.spark.sql(_BOXES.replace("customer", "{customer}"), customer=v.customer), v.v_location), f"WITH b AS (SELECT * FROM ({_BOXES}) WHERE min_lon BETWEEN -180 AND max_lon AND max_lon <= 180 AND min_lat BETWEEN -90 AND max_lat AND max_lat <= 90) SELECT box, count(l.id) AS n FROM b LEFT JOIN v_location l ON l.lat BETWEEN min_lat AND max_lat AND l.lon BETWEEN min_lon AND max_lon GROUP BY box")
+q("b11_named_models", lambda v: _es(v.v_event.where("model is not null and model <> ''")), _E + "model <> ''")
+q("b15_severity", lambda v: v.v_log.select("document_id", "arrival", F.when(F.col("severity").isin("info", "warning", "error"), F.col("severity")).otherwise("info").alias("severity")), "SELECT document_id, arrival, CASE WHEN severity IN ('info', 'warning', 'error') THEN severity ELSE 'info' END AS severity FROM v_log")
+q("b16_mode", lambda v: _raw(v).select("id", F.lower(F.trim("llm_mode")).alias("mode"), F.lower(F.trim("llm_mode")).isin("thinking", "instruct").alias("ok")), f"SELECT id, lower(trim(llm_mode)) AS mode, lower(trim(llm_mode)) IN ('thinking', 'instruct') AS ok FROM ({_RAW})")
+q("b17_sampling", lambda v: reads.sampling(v.v_document, v.v_provider), "SELECT d.id, CASE WHEN llm_mode = 'instruct' THEN coalesce(instruct_temperature, 0.7) END AS instruct_temperature, CASE WHEN llm_mode = 'instruct' THEN coalesce(CAST(instruct_top_p AS DOUBLE), 0.9) END AS instruct_top_p, CASE WHEN llm_mode = 'instruct' THEN coalesce(instruct_top_k, 40) END AS instruct_top_k FROM v_document d LEFT JOIN v_provider p ON p.id = d.provider_id")
+q("b18_effective_model", lambda v: v.v_document.join(F.broadcast(v.v_provider.select(F.col("id").alias("provider_id"), F.when(F.col("is_default"), "configured").otherwise(F.col("model")).alias("m"))), "provider_id", "left").select("id", F.coalesce(F.when(F.col("id") % 3 == 0, F.col("model")), "m", F.lit("fallback")).alias("model")), "SELECT d.id, coalesce(CASE WHEN d.id % 3 = 0 THEN d.model END, CASE WHEN is_default THEN 'configured' ELSE p.model END, 'fallback') AS model FROM v_document d LEFT JOIN v_provider p ON p.id = d.provider_id")
+q("b19_provider_rules", lambda v: v.v_provider.select("id", (F.col("name") != "").alias("named"), (F.coalesce("instruct_temperature", F.lit(1.0)).between(0, 0.75)).alias("warm"), (F.coalesce("instruct_top_k", F.lit(1)) >= 1).alias("k")), "SELECT id, name <> '' AS named, coalesce(instruct_temperature, 1) BETWEEN 0 AND 0.75 AS warm, coalesce(instruct_top_k, 1) >= 1 AS k FROM v_provider")
+q("b20_event_text", lambda v: v.v_event.select("id", S.event_text(F.col("title"), F.col("description")).alias("label")), "SELECT id, coalesce(nullif(title, ''), nullif(left(description, 140), ''), '(sin título)') AS label FROM v_event")
+q("b21_masked_key", lambda v: v.v_provider.select("id", S.masked_key(F.col("api_key")).alias("api_key")), "SELECT id, CASE WHEN length(api_key) > 4 THEN left(api_key, 4) || '****' WHEN length(api_key) > 0 THEN left(api_key, 1) || '****' END AS api_key FROM v_provider")
+q("b22_date_range", lambda v: _es(v.v_event.where("time_start between timestamp_ntz'2024-01-05 00:00:00' and timestamp_ntz'2024-01-07 12:00:00'")), _E + "time_start BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-07 12:00:00'")
+
+# --- C: joins
+q("c1_event_document", lambda v: v.v_event.join(v.v_document.selectExpr("id document_id", "filename"), "document_id", "left").select("id", "filename"), "SELECT e.id, filename FROM v_event e LEFT JOIN v_document d ON d.id = e.document_id")
+q("c2_event_provider", lambda v: v.v_event.join(F.broadcast(v.v_provider.selectExpr("id provider_id", "name")), "provider_id", "left").select("id", "name"), "SELECT e.id, name FROM v_event e LEFT JOIN v_provider p ON p.id = e.provider_id")
+q("c3_first_location", lambda v: v.v_event.withColumnRenamed("id", "event_id").join(reads.first_location(v.v_location), "event_id", "left").select("event_id", "location_name"), "SELECT e.id AS event_id, min_by(l.name, l.id) AS location_name FROM v_event e LEFT JOIN v_location l ON l.event_id = e.id GROUP BY 1")
+q("c4_source_semi", lambda v: reads.of_source(v.v_event, v.v_document, "src5").groupBy("document_id").agg(F.count("*").alias("n")), "SELECT document_id, count(*) AS n FROM v_event WHERE document_id IN (SELECT id FROM v_document WHERE source_id = 'src5') GROUP BY 1")
+q("c5_location_event", lambda v: v.v_location.select("event_id", "name").join(v.v_event.selectExpr("id event_id", "title"), "event_id"), "SELECT event_id, name, title FROM v_location l JOIN v_event e ON e.id = l.event_id")
+q("c6_reference_document", lambda v: v.v_ref.join(v.v_event.selectExpr("id event_id"), "event_id").join(v.v_document.selectExpr("id document_id", "filename"), "document_id").select("id", "filename"), "SELECT r.id, filename FROM v_ref r JOIN v_event e ON e.id = r.event_id JOIN v_document d ON d.id = r.document_id")
+q("c7_reference_chunk", lambda v: v.v_ref.join(v.v_chunk.select("document_id", "chunk_index", "offset_end"), ["document_id", "chunk_index"], "left").select("id", "offset_end"), "SELECT r.id, offset_end FROM v_ref r LEFT JOIN v_chunk c USING (document_id, chunk_index)")
+q("c9_model_colour", lambda v: v.v_event.join(F.broadcast(v.v_color), "provider_id", "left").select("id", "color_index"), "SELECT e.id, color_index FROM v_event e LEFT JOIN v_color c ON c.provider_id = e.provider_id")
+q("c10_uncoloured", lambda v: v.v_provider.join(v.v_color, v.v_provider.id == v.v_color.provider_id, "left_anti").select("id"), "SELECT id FROM v_provider p WHERE NOT EXISTS (SELECT 1 FROM v_color c WHERE c.provider_id = p.id)")
+q("c11_known_places", lambda v: v.v_location.select("id", "name").join(v.v_gazetteer, "name", "left").select("id", "lat", "lon"), "SELECT l.id, g.lat, g.lon FROM v_location l LEFT JOIN v_gazetteer g ON g.name = l.name")
+q("c12_offset_page", lambda v: v.v_chunk.join(ingest.assembled(v.v_page_text).select("document_id", "page_offsets"), "document_id").select("document_id", "chunk_index", chunks.page_at("offset_start").cast("long").alias("page")), "WITH b AS (SELECT document_id, page_no, sum(length(text)) OVER (PARTITION BY document_id ORDER BY page_no) - length(text) + greatest(page_no - 1, 0) + CASE WHEN page_no > 0 THEN 0 ELSE 0 END AS begin FROM v_page_text) SELECT c.document_id, c.chunk_index, max(b.page_no) + 1 AS page FROM v_chunk c JOIN b ON b.document_id = c.document_id AND b.begin <= c.offset_start GROUP BY ALL")
+q("c13_containment", lambda v: entities.fuzzy(v.v_mention, v.v_entity, 1 << 30).select("id", "entity_id"), "SELECT m.id, e.id AS entity_id FROM v_mention m JOIN v_entity e ON contains(lower(m.verbatim_text), lower(e.name)) OR contains(lower(e.name), lower(m.verbatim_text))")
+q("c14_normal_equality", lambda v: entities.exact(v.v_mention, v.v_entity), "SELECT m.id, min(e.id) AS entity_id FROM v_mention m JOIN v_entity e ON lower(strip_accents(e.name)) = lower(strip_accents(m.verbatim_text)) GROUP BY 1")
+q("c15_document_provider", lambda v: v.v_document.join(F.broadcast(v.v_provider.selectExpr("id provider_id", "name")), "provider_id", "left").select("id", "name"), "SELECT d.id, name FROM v_document d LEFT JOIN v_provider p ON p.id = d.provider_id")
+q("c17_usage_of_page", lambda v: v.v_usage.join(F.broadcast(reads.page_of(v.v_document.select("id"), [F.col("id")], 2, 30).selectExpr("id document_id")), "document_id", "left_semi").groupBy("document_id").agg(F.sum("total_tokens").cast("long").alias("total")), "SELECT document_id, CAST(sum(total_tokens) AS BIGINT) AS total FROM v_usage WHERE document_id IN (SELECT id FROM v_document ORDER BY id LIMIT 30 OFFSET 30) GROUP BY 1")
+q("c18_in_context", lambda v: reads.in_context(v.v_ref, v.v_chunk), "SELECT r.id, substr(c.text, CAST(span_start - offset_start + 1 AS BIGINT), span_end - span_start) AS shown FROM v_ref r JOIN v_chunk c USING (document_id, chunk_index)")
+
+# --- D: aggregations
+_ZERO = "CAST(coalesce(sum({0}), 0) AS BIGINT) AS {0}"
+_SUMS = ", ".join(_ZERO.format(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens", "duration_ms"))
+q("d1_totals", lambda v: reads.totals(v.v_event.where(reads.event_filter(search="view"))), "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM v_event WHERE title ILIKE '%view%'")
+q("d2_call_totals", lambda v: reads.totals(v.v_usage.where("document_id < 0"), 50, 1), "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM v_usage WHERE document_id < 0")
+q("d3_participant_count", lambda v: v.v_event.selectExpr("id event_id").join(reads.child_counts(v.v_participant, "n"), "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n")), "SELECT e.id AS event_id, (SELECT count(*) FROM v_participant p WHERE p.event_id = e.id) AS n FROM v_event e")
+q("d4_reference_count", lambda v: v.v_event.selectExpr("id event_id").join(reads.child_counts(v.v_ref, "n"), "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n")), "SELECT e.id AS event_id, (SELECT count(*) FROM v_ref p WHERE p.event_id = e.id) AS n FROM v_event e")
+q("d5_document_tokens", lambda v: reads.usage_totals(v.v_usage.where("document_id = 3")), f"SELECT count(*) > 0 AS has_data, count(*) AS calls, {_SUMS}, round(sum(cost), 6) AS cost FROM v_usage WHERE document_id = 3")
+q("d6_tokens_by_document", lambda v: reads.usage_totals(v.v_usage, "document_id"), f"SELECT document_id, true AS has_data, count(*) AS calls, {_SUMS}, round(sum(cost), 6) AS cost FROM v_usage GROUP BY 1")
+q("d7_source_sizes", lambda v: reads.source_sizes(v.v_document), "SELECT source_id, count(*) AS model_count FROM v_document GROUP BY 1")
+q("d8_document_counts", lambda v: reads.document_counts(v.v_document, v.v_event, v.v_chunk), "SELECT id, (SELECT count(*) FROM v_event e WHERE e.document_id = d.id) AS event_count, (SELECT count(*) FROM v_chunk c WHERE c.document_id = d.id) AS chunk_count FROM v_document d")
+q("d9_model_colours", lambda v: reads.model_colors(v.v_event, v.v_color), "SELECT DISTINCT model, color_index FROM v_event e LEFT JOIN v_color c ON c.provider_id = e.provider_id WHERE model <> ''")
+q("d10_colour_of_model", lambda v: reads.color_of_model(v.v_event, v.v_color), "SELECT model, max(color_index) AS color_index FROM v_event e LEFT JOIN v_color c ON c.provider_id = e.provider_id WHERE model <> '' GROUP BY 1")
+q("d11_unlocated_names", lambda v: v.v_location.where("lat is null").select("name").distinct().orderBy("name").limit(100), "SELECT DISTINCT name FROM v_location WHERE lat IS NULL ORDER BY name LIMIT 100")
+
+
+def _detail(v: Views) -> DataFrame:
+    d = reads.event_detail(v.v_event, v.v_document, v.v_provider, v.v_location, v.v_participant, v.v_ref)
+    joined = lambda c, f: F.array_join(F.transform(F.coalesce(c, F.array()), f), ";").alias(c)
+    return d.select("id", "title", "filename", "provider_name", "confidence", joined("locations", lambda x: x["name"]), joined("participants", lambda x: F.concat(x["name"], F.lit("/"), x["role"])), joined("references", lambda x: F.concat(x["reference_type"], F.lit(":"), x["verbatim_text"])))
+
+
+_DETAIL = """SELECT e.id, title, filename, p.name AS provider_name, nullif(extraction_confidence, 0) AS confidence,
+  coalesce((SELECT string_agg(l.name, ';' ORDER BY l.id) FROM v_location l WHERE l.event_id = e.id), '') AS locations,
+  coalesce((SELECT string_agg(a.name || '/' || a.role, ';' ORDER BY a.id) FROM v_participant a WHERE a.event_id = e.id), '') AS participants,
+  coalesce((SELECT string_agg(r.reference_type || ':' || r.verbatim_text, ';' ORDER BY chunk_index, span_start, r.id) FROM v_ref r WHERE r.event_id = e.id), '') AS "references"
+FROM v_event e LEFT JOIN v_document d ON d.id = e.document_id LEFT JOIN v_provider p ON p.id = e.provider_id"""
+q("d12_nested_detail", _detail, _DETAIL)
+_DATED = "SELECT *, strftime(time_start, '%Y-%m') AS month FROM v_event WHERE time_start IS NOT NULL"
+q("d13_busiest_model", lambda v: timeline.month_grid(v.v_event).select("month", "most"), f"SELECT month, max(n) AS most FROM (SELECT month, model, count(*) AS n FROM ({_DATED}) GROUP BY ALL) GROUP BY 1")
+_POS = "SELECT r.*, c.offset_start AS o, CASE WHEN verbatim_text = '' THEN NULL WHEN instr(c.text, verbatim_text) > 0 THEN instr(c.text, verbatim_text) - 1 WHEN instr(lower(c.text), lower(verbatim_text)) > 0 THEN instr(lower(c.text), lower(verbatim_text)) - 1 END + c.offset_start AS pos FROM v_ref r LEFT JOIN v_chunk c USING (document_id, chunk_index)"
+q("d15_resolution_summary", lambda v: refs.summary(refs.resolved(v.v_ref, v.v_chunk)), f"SELECT document_id, count(pos) AS resolved, count(*) AS total FROM ({_POS}) GROUP BY 1")
+q("d18_names_geocoded", lambda v: v.v_location.where("lat is null").select("name").distinct().join(v.v_gazetteer, "name").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM (SELECT DISTINCT name FROM v_location WHERE lat IS NULL) JOIN v_gazetteer USING (name)")
+q("d19_entity_references", lambda v: entities.with_reference_counts(v.v_entity, entities.exact(v.v_mention, v.v_entity)), "SELECT e.id, e.name, count(m.id) AS reference_count FROM v_entity e LEFT JOIN v_mention m ON lower(m.verbatim_text) = lower(e.name) GROUP BY ALL")
+q("d20_models_present", lambda v: reads.models_present(v.v_event), "SELECT DISTINCT coalesce(nullif(model, ''), '(sin modelo)') AS model FROM v_event")
+q("d21_dated_split", lambda v: v.v_event.agg(F.count("time_start").alias("dated"), F.count_if(F.col("time_start").isNull()).alias("undated")), "SELECT count(time_start) AS dated, count(*) - count(time_start) AS undated FROM v_event")
+
+# --- E: windows and ordered computations
+q("e1_palette_backfill", lambda v: store.assigned_colors(v.v_provider, v.v_color.limit(0)), "SELECT id AS provider_id, CAST((row_number() OVER (ORDER BY created_at, id) - 1) % 20 AS INT) AS color_index FROM v_provider")
+_RANKED = "row_number() OVER (PARTITION BY document_id{} ORDER BY time_start DESC NULLS LAST, id)"
+q("e2_prior_events", lambda v: store.prior_events(v.v_event).select("document_id", "rank", "id", "title", "time_start"), f"SELECT document_id, rank, id, title, {iso_sql('time_start')} AS time_start FROM (SELECT *, {_RANKED.format('')} AS rank FROM v_event) WHERE rank <= 10")
+q("e3_prior_per_chunk", lambda v: store.prior_per_chunk(v.v_event.select("document_id", "chunk_index").distinct(), v.v_event), f"SELECT document_id, c AS chunk_index, rank, id, title FROM (SELECT e.*, c.chunk_index AS c, row_number() OVER (PARTITION BY c.document_id, c.chunk_index ORDER BY time_start DESC NULLS LAST, e.id) AS rank FROM (SELECT DISTINCT document_id, chunk_index FROM v_event) c JOIN v_event e ON e.document_id = c.document_id AND e.chunk_index < c.chunk_index) WHERE rank <= 10")
+q("c19_earlier_chunks", lambda v: store.prior_per_chunk(v.v_event.select("document_id", "chunk_index").distinct(), v.v_event, 1).select("document_id", "chunk_index", "id"), "SELECT document_id, c AS chunk_index, id FROM (SELECT e.*, c.chunk_index AS c, row_number() OVER (PARTITION BY c.document_id, c.chunk_index ORDER BY time_start DESC NULLS LAST, e.id) AS rank FROM (SELECT DISTINCT document_id, chunk_index FROM v_event) c JOIN v_event e ON e.document_id = c.document_id AND e.chunk_index < c.chunk_index) WHERE rank = 1")
+q("e4_running_offset", lambda v: ingest.running_offsets(v.v_page_text).select("document_id", "page_no", "begin"), "SELECT document_id, page_no, CAST(coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + page_no AS BIGINT) AS begin FROM v_page_text")
+_BOUNDS = "SELECT document_id, page_start, min_by(offset_start, chunk_index) AS o FROM v_chunk GROUP BY ALL"
+q("e5_rebuilt_pages", lambda v: refs.rebuilt_pages(v.v_chunk).select("document_id", F.array_join(F.col("page_offsets").cast("array<string>"), ",").alias("offsets")), f"SELECT document_id, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) || ',' || (SELECT max(offset_end) FROM v_chunk c WHERE c.document_id = b.document_id) AS offsets FROM ({_BOUNDS}) b GROUP BY document_id")
+q("e6_reference_page", lambda v: refs.on_pages(v.v_ref, v.v_chunk), f"WITH t AS (SELECT document_id, max(offset_end) AS n FROM v_chunk GROUP BY 1), p AS (SELECT r.id, max(o) AS o, count(*) AS k FROM v_ref r JOIN ({_BOUNDS}) b ON b.document_id = r.document_id AND b.o <= r.span_start JOIN t ON t.document_id = r.document_id WHERE r.span_start < t.n AND r.span_end <= t.n GROUP BY r.id) SELECT r.id, CAST(p.k AS INT) AS page_number, CAST(span_start - p.o AS BIGINT) AS page_start, CAST(span_end - p.o AS BIGINT) AS page_end FROM v_ref r LEFT JOIN p ON p.id = r.id")
+q("e7_sentences", lambda v: chunks.sentences(v.v_document))
+q("e8_balanced_groups", lambda v: v.v_document.select("id", F.expr("transform(sequence(1, 1 + cast(id % 40 as int)), i -> cast(1 + (i * 7919 + id * 104729) % 97 as int))").alias("n")).select("id", F.array_join(chunks.group_breaks("n", 200).cast("array<string>"), ",").alias("breaks")), """
+WITH RECURSIVE s AS (SELECT id, 1 + id % 40 AS k, [CAST(1 + (i * 7919 + id * 104729) % 97 AS BIGINT) FOR i IN range(1, 2 + id % 40)] AS n FROM v_document),
+t AS (SELECT id, k, n, list_sum(n) AS total, CAST(ceil(0.51 * list_sum(n)) AS BIGINT) AS again FROM s),
+f AS (
+  SELECT id, 200 AS target, n, k, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS size, CAST([] AS BIGINT[]) AS b FROM t UNION ALL SELECT id, again, n, k, 0, 0, [] FROM t
+  UNION ALL SELECT id, target, n, k, i + 1, CASE WHEN size > 0 AND size + n[i + 1] > target THEN n[i + 1] ELSE size + n[i + 1] END, CASE WHEN size > 0 AND size + n[i + 1] > target THEN list_append(b, i) ELSE b END FROM f WHERE i < k),
+g AS (SELECT id, target, CASE WHEN len(b) > 0 AND size < 0.5 * target THEN b[:len(b) - 1] ELSE b END AS b FROM f WHERE i = k)
+SELECT t.id, array_to_string(list_prepend(0, CASE WHEN total <= 200 THEN [] WHEN (SELECT any_value(len(b)) FROM g WHERE g.id = t.id AND target = 200) = 0 AND k > 1 THEN (SELECT any_value(b) FROM g WHERE g.id = t.id AND target = again) ELSE (SELECT any_value(b) FROM g WHERE g.id = t.id AND target = 200) END), ',') AS breaks FROM t""")
+q("e9_chunks", lambda v: chunks.chunks(v.v_document.select("id", "text_content"), 1200))
+_GRID = f"SELECT month, most, greatest(1, most) * 96 + 4 AS height FROM (SELECT month, max(n) AS most FROM (SELECT month, model, count(*) AS n FROM ({_DATED}) GROUP BY ALL) GROUP BY 1)"
+_TOPS = f"SELECT month, most, height, CAST(coalesce(sum(height) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM ({_GRID})"
+q("e10_month_tops", lambda v: timeline.month_grid(v.v_event), _TOPS)
+_PLACED = f"""SELECT id, month, model, i AS position, round(i * 96 + least(height - 92 - (n - 1) * 96, max(base - i * 96) OVER (PARTITION BY month, model ORDER BY i ROWS UNBOUNDED PRECEDING)), 4) AS y, height
+FROM (SELECT id, e.month, model, height, row_number() OVER (PARTITION BY e.month, model ORDER BY time_start, id) - 1 AS i, count(*) OVER (PARTITION BY e.month, model) AS n,
+  4 + (day(time_start) - 1) / (day(last_day(time_start)) - 1) * (height - 100) AS base FROM ({_DATED}) e JOIN ({_GRID}) g ON g.month = e.month)"""
+q("e11_placement", lambda v: timeline.placed(v.v_event), f"SELECT id, month, model, position, y FROM ({_PLACED})")
+_COLS = "SELECT model, color_index, (row_number() OVER (ORDER BY coalesce(color_index, 99), model) - 1) * 165 AS x FROM (SELECT coalesce(nullif(model, ''), '(sin modelo)') AS model, max(color_index) AS color_index FROM v_event e LEFT JOIN v_color c ON c.provider_id = e.provider_id GROUP BY 1)"
+q("e12_column_order", lambda v: timeline.columns(v.v_event, v.v_color), _COLS)
+_LOG = "SELECT *, row_number() OVER (PARTITION BY document_id, step_name ORDER BY arrival) - 1 AS seq FROM v_log"
+q("e13_log_sequence", lambda v: store.log_rows(v.v_log).select("document_id", "step_name", "arrival", "seq"), f"SELECT document_id, step_name, arrival, seq FROM ({_LOG})")
+q("e14_log_cap", lambda v: store.log_rows(v.v_log, 3).select("document_id", "arrival"), "SELECT document_id, arrival FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY arrival, step_name) AS n FROM v_log) WHERE n <= 3")
+_NEWU = lambda v: v.v_usage.where("document_id % 2 = 0").withColumn("id", F.concat_ws("-", "document_id", F.expr("chunk_index + 1"))).selectExpr("id", "prompt_tokens * 10 prompt_tokens", "duration_ms + 1 duration_ms", "9.0D cost", "arrival")
+_OLDU = lambda v: v.v_usage.withColumn("id", F.concat_ws("-", "document_id", "chunk_index")).select("id", "prompt_tokens", "duration_ms", "cost", "arrival")
+_UPSERT = "WITH o AS (SELECT document_id || '-' || chunk_index AS id, prompt_tokens, duration_ms, cost, arrival FROM v_usage), n AS (SELECT document_id || '-' || (chunk_index + 1) AS id, prompt_tokens * 10 AS prompt_tokens, duration_ms + 1 AS duration_ms, CAST(9 AS DOUBLE) AS cost, arrival FROM v_usage WHERE document_id % 2 = 0) SELECT coalesce(o.id, n.id) AS id, {} FROM o FULL JOIN n ON o.id = n.id"
+q("k1_usage_upsert", lambda v: store.upserted(_OLDU(v), _NEWU(v), "id", ["prompt_tokens", "duration_ms"], "arrival").select("id", "prompt_tokens", "duration_ms", "cost"), _UPSERT.format("coalesce(n.prompt_tokens, o.prompt_tokens) AS prompt_tokens, coalesce(n.duration_ms, o.duration_ms) AS duration_ms, CASE WHEN o.id IS NULL THEN n.cost ELSE o.cost END AS cost"))
+q("k2_call_log_upsert", lambda v: store.upserted(_OLDU(v), _NEWU(v), "id", ["prompt_tokens"], "arrival").select("id", "prompt_tokens", "duration_ms"), _UPSERT.format("coalesce(n.prompt_tokens, o.prompt_tokens) AS prompt_tokens, CASE WHEN o.id IS NULL THEN n.duration_ms ELSE o.duration_ms END AS duration_ms"))
+q("e15_last_writer", lambda v: store.upserted(_OLDU(v).limit(0), v.v_usage.selectExpr("cast(document_id as string) id", "prompt_tokens", "duration_ms", "cost", "arrival"), "id", [], "arrival").select("id", "arrival"), "SELECT CAST(document_id AS VARCHAR) AS id, max(arrival) AS arrival FROM v_usage GROUP BY 1")
+q("e16_token_batches", lambda v: chunks.token_batches(v.v_chunk, "document_id", "chunk_index", "text", 300).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("batch").cast("long").alias("batch")), """
+WITH RECURSIVE s AS (SELECT document_id, chunk_index, greatest(1, (length(text) + 14) // 4) AS n FROM v_chunk),
+f AS (SELECT document_id, chunk_index, n AS size, CAST(0 AS BIGINT) AS batch FROM s WHERE chunk_index = 0
+  UNION ALL SELECT s.document_id, s.chunk_index, CASE WHEN f.size + s.n > 300 THEN s.n ELSE f.size + s.n END, CASE WHEN f.size + s.n > 300 THEN batch + 1 ELSE batch END FROM f JOIN s ON s.document_id = f.document_id AND s.chunk_index = f.chunk_index + 1)
+SELECT document_id, chunk_index, batch FROM f""")
+q("e17_order_in_month", lambda v: timeline.placed(v.v_event).select("id", "month", "model", "position"), f"SELECT id, month, model, row_number() OVER (PARTITION BY month, model ORDER BY time_start, id) - 1 AS position FROM ({_DATED})")
+
+# --- F, G: order and sets
+q("f1_event_sort", lambda v: reads.page_of(v.v_event, reads.event_order("model", "asc"), 1, 50).select("id", "model"), "SELECT id, model FROM v_event ORDER BY model ASC NULLS LAST, id LIMIT 50")
+q("f2_page_slice", lambda v: reads.page_of(v.v_event, reads.event_order(), 3, 20).select("id"), "SELECT id FROM v_event ORDER BY time_start DESC NULLS FIRST, id LIMIT 20 OFFSET 40")
+q("f3_newest_documents", lambda v: v.v_document.orderBy(F.desc("created_at")).limit(25).select("id"), "SELECT id FROM v_document ORDER BY created_at DESC LIMIT 25")
+q("f4_log_page", lambda v: reads.log_page(v.v_log, 2).select("document_id", "arrival", "severity"), "SELECT document_id, arrival, CASE WHEN severity IN ('info', 'warning', 'error') THEN severity ELSE 'info' END AS severity FROM v_log ORDER BY arrival DESC, document_id, step_name LIMIT 50 OFFSET 50")
+q("f5_call_page", lambda v: reads.call_page(v.v_usage, 2, 40).select("document_id", "arrival"), "SELECT document_id, arrival FROM v_usage ORDER BY arrival, document_id LIMIT 40 OFFSET 40")
+_MAP = f"SELECT event_id, title, filename, l.name AS location_name, lat, lon, {iso_sql('time_start')} AS time_start FROM v_location l JOIN v_event e ON e.id = l.event_id LEFT JOIN v_document d ON d.id = e.document_id WHERE lat IS NOT NULL AND lon IS NOT NULL{{}} ORDER BY e.time_start DESC NULLS LAST, event_id LIMIT {{}}"
+q("f6_top_located", lambda v: reads.map_layer(v.v_location, v.v_event, v.v_document), _MAP.format("", 500))
+q("f7_provider_order", lambda v: reads.provider_list(v.v_provider, "cfg", "url").select("id", "position"), "SELECT id, row_number() OVER (ORDER BY is_default DESC, name) AS position FROM v_provider")
+q("f8_candidate_order", lambda v: entities.fuzzy(v.v_mention, v.v_entity, 1).select("id", "rank"), "SELECT DISTINCT m.id, CAST(1 AS BIGINT) AS rank FROM v_mention m JOIN v_entity e ON contains(lower(m.verbatim_text), lower(e.name)) OR contains(lower(e.name), lower(m.verbatim_text))")
+q("f10_fetch_all", lambda v: v.v_event.orderBy(F.col("time_start").asc_nulls_last(), "id").select("id", "title"), "SELECT id, title FROM v_event")
+q("g1_distinct", lambda v: v.v_location.select("name").distinct(), "SELECT DISTINCT name FROM v_location")
+q("g3_free_colour", lambda v: v.spark.range(20).selectExpr("cast(id as int) c").join(v.v_color, F.col("c") == F.col("color_index"), "left_anti").agg(F.min("c").alias("free")), "SELECT CAST(min(c) AS INT) AS free FROM range(20) t(c) WHERE c NOT IN (SELECT color_index FROM v_color)")
+q("g4_dated_and_undated", lambda v: v.v_event.where("time_start is not null").select("id").unionByName(v.v_event.where("time_start is null").select("id")), "SELECT id FROM v_event")
+
+# --- H: scalar functions
+_DATES = "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN ' ' || strftime(ts, '%Y-%m-%d') WHEN 4 THEN 'mayo 2024' ELSE '' END AS t, CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 2 THEN date_trunc('second', ts) + INTERVAL 3 HOUR WHEN 3 THEN date_trunc('day', ts) + INTERVAL 3 HOUR END AS d FROM events"
+
+
+def _dates(v: Views) -> DataFrame:
+    f = lambda p: F.date_format("ts", p)
+    k = F.col("event_id") % 6
+    t = F.when(k == 0, f("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, f("yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(k == 2, f("yyyy-MM-dd HH:mm:ss")).when(k == 3, F.concat(F.lit(" "), f("yyyy-MM-dd"))).when(k == 4, "mayo 2024").otherwise("")
+    return v.events.select(F.col("event_id").alias("id"), t.alias("t"))
+
+
+q("h1_parsed_date", lambda v: _dates(v).select("id", S.iso(S.parsed_date(F.col("t"))).alias("at")), f"SELECT id, {iso_sql('d')} AS at FROM ({_DATES})")
+q("h2_iso", lambda v: v.v_event.select("id", S.iso(F.col("time_end")).alias("at")), f"SELECT id, {iso_sql('time_end')} AS at FROM v_event")
+q("h3_tracking_model", lambda v: v.v_document.select("id", S.tracking_model(F.col("model"), F.col("llm_mode")).alias("model")), "SELECT id, model || CASE WHEN llm_mode = 'instruct' THEN ' [I]' ELSE '' END AS model FROM v_document")
+q("h4_found_at", lambda v: v.v_ref.join(v.v_chunk.select("document_id", "chunk_index", "text"), ["document_id", "chunk_index"]).select("id", S.found_at(F.col("text"), F.col("verbatim_text")).cast("long").alias("found_at")), "SELECT r.id, CAST(CASE WHEN verbatim_text = '' THEN NULL WHEN instr(c.text, verbatim_text) > 0 THEN instr(c.text, verbatim_text) - 1 WHEN instr(lower(c.text), lower(verbatim_text)) > 0 THEN instr(lower(c.text), lower(verbatim_text)) - 1 END AS BIGINT) AS found_at FROM v_ref r JOIN v_chunk c USING (document_id, chunk_index)")
+_RESOLVED = f"SELECT id, CAST(coalesce(pos, span_start) AS BIGINT) AS span_start, CAST(coalesce(pos + length(verbatim_text), span_end) AS BIGINT) AS span_end, pos IS NOT NULL AS found FROM ({_POS})"
+q("h5_absolute_span", lambda v: refs.resolved(v.v_ref, v.v_chunk).where("found").select("id", "span_start", "span_end"), f"SELECT id, span_start, span_end FROM ({_RESOLVED}) WHERE found")
+q("k11_span_update", lambda v: refs.resolved(v.v_ref, v.v_chunk).select("id", "span_start", "span_end", "found"), _RESOLVED)
+q("h6_word_count", lambda v: v.v_document.select("id", S.word_count(F.col("text_content")).alias("n")), "SELECT id, len(regexp_extract_all(text_content, '[^\\s]+')) AS n FROM v_document")
+q("h7_normal_form", lambda v: v.v_mention.select("id", S.normal_form(F.col("verbatim_text")).alias("key")), "SELECT id, lower(strip_accents(verbatim_text)) AS key FROM v_mention")
+q("h8_either_contains", lambda v: v.v_event.join(v.v_ref.selectExpr("id", "verbatim_text"), "id").select("id", S.either_contains(F.col("title"), F.substring("verbatim_text", 1, 1)).alias("hit")), "SELECT e.id, title <> '' AND left(verbatim_text, 1) <> '' AND (contains(lower(title), lower(left(verbatim_text, 1))) OR contains(lower(left(verbatim_text, 1)), lower(title))) AS hit FROM v_event e JOIN v_ref r ON r.id = e.id")
+q("h9_token_estimate", lambda v: v.v_document.select("id", S.token_estimate(F.col("text_content")).alias("n")), "SELECT id, length(text_content) // 4 AS n FROM v_document")
+q("h10_stable_hash", lambda v: v.v_event.select("id", S.stable_hash(F.col("model")).alias("h")), "WITH m AS (SELECT DISTINCT model FROM v_event), h AS (SELECT model, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(unicode(c) AS BIGINT) FOR c IN string_split(model, '')]), lambda a, c: (a * 31 + c) & 2147483647) AS h FROM m) SELECT id, h FROM v_event JOIN h USING (model)")
+q("h11_hue", lambda v: v.v_event.select("id", S.hue(F.col("id")).alias("hue")), "SELECT id, id % 20 * 18 AS hue FROM v_event")
+q("h12_days_in_month", lambda v: v.v_event.where("time_start is not null").select("id", S.days_in_month(F.col("time_start")).cast("long").alias("days"), F.round(S.day_fraction(F.col("time_start")), 6).alias("share")), "SELECT id, day(last_day(time_start)) AS days, round((day(time_start) - 1) / (day(last_day(time_start)) - 1), 6) AS share FROM v_event WHERE time_start IS NOT NULL")
+q("h13_labels", lambda v: v.v_event.where("time_start is not null").select("id", S.month_label(F.col("time_start")).alias("month"), S.weekday_label(F.col("time_start")).alias("day")), "SELECT id, ['Ene', 'Feb', 'Mar', 'Abr', 'May', 'Jun', 'Jul', 'Ago', 'Sep', 'Oct', 'Nov', 'Dic'][month(time_start)] || ' ' || year(time_start) AS month, ['Lun', 'Mar', 'Mié', 'Jue', 'Vie', 'Sáb', 'Dom'][isodow(time_start)] || ' ' || day(time_start) || CASE WHEN strftime(time_start, '%H:%M') = '00:00' THEN '' ELSE strftime(time_start, ' %H:%M') END AS day FROM v_event WHERE time_start IS NOT NULL")
+q("h14_ids", lambda v: v.v_usage.select("document_id", "chunk_index", S.key_id(F.col("document_id"), F.col("step_name"), F.col("chunk_index")).alias("usage_id"), S.log_id(F.col("document_id"), F.col("step_name"), F.col("chunk_index")).alias("log_id")), "SELECT document_id, chunk_index, sha256(document_id || ':' || step_name || ':' || chunk_index) AS usage_id, left(sha256(document_id || step_name || chunk_index), 16) AS log_id FROM v_usage")
+q("h15_extension", lambda v: _raw(v).select("id", S.extension(F.col("filename")).alias("ext")), f"SELECT id, lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) AS ext FROM ({_RAW})")
+q("h16_shortened", lambda v: v.v_document.select("id", S.shortened(F.col("text_content"), 60).alias("t")), "SELECT id, left(text_content, 60) AS t FROM v_document")
+q("h17_event_name", lambda v: v.v_document.select("id", S.event_entity_name(F.col("text_content")).alias("name")), "SELECT id, 'Event: ' || CASE WHEN length(trim(text_content)) > 80 THEN left(trim(text_content), 80) || '...' ELSE trim(text_content) END AS name FROM v_document")
+q("h18_event_properties", lambda v: entities.event_entities(v.v_event).select("id", "name", F.get_json_object("properties", "$.document_id").alias("document"), F.get_json_object("properties", "$.title").alias("title")), "SELECT id, 'Event: ' || title AS name, CAST(document_id AS VARCHAR) AS document, left(title, 80) AS title FROM v_event")
+q("h19_role", lambda v: v.v_event.select("id", S.role_of(F.element_at(F.array(*map(F.lit, ("espacio", "humanos", "objetos", "otro"))), (F.col("id") % 4 + 1).cast("int"))).alias("role")), "SELECT id, ['location', 'participant', 'object', 'subject'][id % 4 + 1] AS role FROM v_event")
+q("h21_json_path", lambda v: v.v_event.select("id", F.get_json_object("description", "$.k").alias("k")), "SELECT id, json_extract_string(description, '$.k') AS k FROM v_event")
+q("h23_whole_number", lambda v: v.v_event.select("id", S.whole_number(F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, F.col("id").cast("string"))).alias("n")), "SELECT id, CAST(CASE WHEN id % 3 = 1 THEN id ELSE 0 END AS INT) AS n FROM v_event")
+q("h24_measures", lambda v: ingest.quality(ingest.assembled(v.v_page_text)).select("document_id", F.col("page_count").cast("long").alias("pages"), F.length("text_content").cast("long").alias("n")), f"SELECT document_id, n AS pages, length(text_content) AS n FROM ({_PAGES})")
+
+# --- K: mutations
+q("k3_log_upsert", lambda v: store.log_rows(v.v_log).select("id", "document_id", "step_name", "severity"), f"SELECT left(sha256(document_id || step_name || seq), 16) AS id, document_id, step_name, CASE WHEN severity IN ('info', 'warning', 'error') THEN severity ELSE 'info' END AS severity FROM ({_LOG})")
+_STEPS = "SELECT conv_id AS document_id, 'step ' || role AS step, turn % 5 <> 4 AS ok, CASE WHEN turn % 5 = 4 THEN 'stopped' END AS error, turn AS ts FROM conversations"
+q("k4_status", lambda v: store.latest_status(v.v_document, v.spark.sql(_STEPS.replace("conversations", "{c}"), c=v.conversations).selectExpr("document_id", "if(ok, 'processed', 'failed') status", "error error_message", "ts")), f"SELECT id, coalesce(c.status, d.status) AS status, c.error AS error_message FROM v_document d LEFT JOIN (SELECT document_id, CASE WHEN ok THEN 'processed' ELSE 'failed' END AS status, error FROM ({_STEPS}) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC) = 1) c ON c.document_id = d.id")
+q("k5_cascade", lambda v: store.without_documents(v.v_participant, store.without_documents(v.v_event, v.v_event.where("document_id % 3 > 0").select("document_id").distinct(), "document_id").select("id"), "event_id").groupBy("role").agg(F.count("*").alias("n")), "SELECT role, count(*) AS n FROM v_participant WHERE event_id NOT IN (SELECT id FROM v_event WHERE document_id % 3 = 0) GROUP BY 1")
+q("k6_provider_delete", lambda v: store.without_provider(v.v_provider, v.v_color, v.v_document, "p2")[2].groupBy("provider_id").agg(F.count("*").alias("n")), "SELECT nullif(provider_id, 'p2') AS provider_id, count(*) AS n FROM v_document GROUP BY 1")
+q("k7_geocode", lambda v: store.geocoded(v.v_location, v.v_gazetteer), "SELECT l.id, event_id, l.name, CASE WHEN l.lat IS NULL THEN g.lat ELSE l.lat END AS lat, CASE WHEN l.lat IS NULL THEN g.lon ELSE l.lon END AS lon FROM v_location l LEFT JOIN v_gazetteer g ON g.name = l.name")
+q("k8_colour_assignment", lambda v: store.assigned_colors(v.v_provider, v.v_color.where("color_index <> 1")), "SELECT id AS provider_id, CAST(CASE WHEN row_number() OVER (ORDER BY created_at, id) = 1 THEN 1 ELSE 4 END AS INT) AS color_index FROM v_provider WHERE id IN ('p1', 'p4')")
+q("k9_default_provider", lambda v: (lambda p: p.unionByName(v.spark.range(1).selectExpr("'p-default' id", "'Default' name").join(v.v_provider.where("is_default"), F.lit(True), "left_anti")))(v.v_provider.where("not is_default").select("id", "name")), "SELECT id, name FROM v_provider WHERE NOT is_default UNION ALL SELECT 'p-default', 'Default' WHERE NOT EXISTS (SELECT 1 FROM v_provider WHERE is_default)")
+
+# --- L: entities
+q("l1_exact", lambda v: entities.exact(v.v_mention, v.v_entity), "SELECT m.id, min(e.id) AS entity_id FROM v_mention m JOIN v_entity e ON lower(e.name) = lower(m.verbatim_text) GROUP BY 1")
+_FUZZY = "SELECT m.id, e.id AS entity_id, row_number() OVER (PARTITION BY m.id ORDER BY length(e.name), e.id) AS rank FROM v_mention m JOIN v_entity e ON contains(lower(m.verbatim_text), lower(e.name)) OR contains(lower(e.name), lower(m.verbatim_text))"
+q("l2_fuzzy", lambda v: entities.fuzzy(v.v_mention, v.v_entity), f"SELECT id, entity_id, rank FROM ({_FUZZY}) WHERE rank <= 5")
+_CASCADE = f"WITH x AS (SELECT m.id, min(e.id) AS entity_id FROM v_mention m JOIN v_entity e ON lower(e.name) = lower(m.verbatim_text) GROUP BY 1), f AS (SELECT id, entity_id FROM ({_FUZZY}) WHERE rank = 1 AND id NOT IN (SELECT id FROM x)) SELECT m.id, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN f.id IS NOT NULL THEN 'fuzzy' ELSE 'create' END AS stage, coalesce(x.entity_id, f.entity_id) AS entity_id, CAST(CASE WHEN x.id IS NOT NULL THEN 0.95 WHEN f.id IS NOT NULL THEN 0.9 ELSE 0.6 END AS DOUBLE) AS confidence, x.id IS NULL AND f.id IS NULL AS needs_create FROM v_mention m LEFT JOIN x ON x.id = m.id LEFT JOIN f ON f.id = m.id"
+q("l3_cascade", lambda v: entities.cascade(v.v_mention, v.v_entity), _CASCADE)
+q("h20_action", lambda v: entities.cascade(v.v_mention, v.v_entity).groupBy("stage", "confidence", "needs_create").agg(F.count("*").alias("n")), f"SELECT stage, confidence, needs_create, count(*) AS n FROM ({_CASCADE}) GROUP BY ALL")
+q("l4_event_entities", lambda v: entities.event_entities(v.v_event).select("id", "name", "entity_type"), "SELECT id, 'Event: ' || title AS name, 'event' AS entity_type FROM v_event")
+q("l5_recreate", lambda v: store.replaced(entities.event_entities(v.v_event).withColumn("document_id", F.get_json_object("properties", "$.document_id").cast("long")), entities.event_entities(v.v_event.where("document_id = 5")).withColumn("document_id", F.lit(5).cast("long")), v.v_document.where("id in (5, 6)").selectExpr("id document_id"), ["document_id"]).groupBy("document_id").agg(F.count("*").alias("n")), "SELECT document_id, count(*) AS n FROM v_event WHERE document_id <> 6 GROUP BY 1")
+q("l6_links", lambda v: entities.links(v.v_event.where("title <> ''").withColumn("title", F.concat(F.lit("person "), F.col("id") % 120)), v.v_entity), "SELECT v.id AS event_id, e.id AS entity_id FROM v_event v JOIN v_entity e ON contains('person ' || (v.id % 120), lower(e.name)) OR contains(lower(e.name), 'person ' || (v.id % 120)) WHERE v.title <> ''")
+q("l7_merged", lambda v: entities.merged_roots(v.v_entity.selectExpr("cast(id as long) id", "cast(if(id % 10 = 0, null, id - 1) as long) superseded_by")), "SELECT CAST(id AS BIGINT) AS id, CAST(greatest(id - id % 10, CASE WHEN id >= 100 THEN 100 ELSE 0 END) AS BIGINT) AS root FROM v_entity")
+q("l8_references", lambda v: entities.reference_list(v.v_ref, v.v_event, v.v_document, entities.exact(v.v_mention, v.v_entity), v.v_entity), "WITH x AS (SELECT m.id, min(e.id) AS entity_id FROM v_mention m JOIN v_entity e ON lower(e.name) = lower(m.verbatim_text) GROUP BY 1) SELECT r.id, e.title AS event_title, filename, reference_type, verbatim_text, x.entity_id, n.name AS entity_name FROM v_ref r LEFT JOIN v_event e ON e.id = r.event_id LEFT JOIN v_document d ON d.id = r.document_id LEFT JOIN x ON x.id = r.id LEFT JOIN v_entity n ON n.id = x.entity_id")
+q("b23_entity_filters", lambda v: entities.reference_list(v.v_ref, v.v_event, v.v_document, entities.exact(v.v_mention, v.v_entity), v.v_entity).where("entity_id = 3 and reference_type = 'location'").select("id", "entity_name"), "SELECT r.id, n.name AS entity_name FROM v_ref r JOIN v_mention m ON m.id = r.id JOIN v_entity n ON lower(n.name) = lower(m.verbatim_text) WHERE n.id = 3 AND reference_type = 'location'")
+
+# --- M: timeline
+q("m1_timeline", lambda v: timeline.timeline(v.v_event, v.v_color).select("id", "model", "x", "month", "top", F.round("y", 4).alias("y"), "height", "color_index", "label"), f"SELECT p.id, p.model, x, p.month, top, round(top + y, 4) AS y, p.height, color_index, coalesce(nullif(title, ''), nullif(left(description, 140), ''), '(sin título)') AS label FROM ({_PLACED}) p JOIN ({_TOPS}) t ON t.month = p.month JOIN ({_COLS}) c ON c.model = p.model JOIN v_event e ON e.id = p.id")
+q("m2_month_grid", lambda v: timeline.month_grid(v.v_event).select("month", "top", "height"), f"SELECT month, top, height FROM ({_TOPS})")
+q("m3_columns", lambda v: timeline.columns(v.v_event, v.v_color).agg(F.count("*").alias("columns"), (F.count("*") * 165 - 16).alias("width")), "SELECT count(DISTINCT model) AS columns, count(DISTINCT model) * 165 - 16 AS width FROM v_event")
+q("m4_by_model", lambda v: timeline.by_model(v.v_event, v.v_document), "SELECT source_id, e.model, count(*) AS events, count(time_start) AS dated FROM v_event e JOIN v_document d ON d.id = e.document_id GROUP BY ALL")
+
+# --- N: quality
+q("n1_domains", lambda v: checks.domains({"document": (v.v_document, {"status": F.col("status").isin(*checks.STATUSES)}), "event": (v.v_event, {"confidence": F.col("extraction_confidence").between(0, 1), "title": F.col("title") != ""}), "ref": (v.v_ref, {"kind": F.col("reference_type").isin(*store.KINDS), "span": (F.col("span_start") >= 0) & (F.col("span_end") >= F.col("span_start"))}), "log": (v.v_log, {"severity": F.col("severity").isin("info", "warning", "error")}), "color": (v.v_color, {"index": F.col("color_index").between(0, 19)})}), """
+SELECT 'document' AS "table", 'status' AS rule, count(*) FILTER (status NOT IN ('pending', 'extracting', 'extracted', 'chunking', 'chunked', 'processing', 'processed', 'failed')) AS violations FROM v_document
+UNION ALL SELECT 'event', 'confidence', count(*) FILTER (extraction_confidence NOT BETWEEN 0 AND 1) FROM v_event UNION ALL SELECT 'event', 'title', count(*) FILTER (title = '') FROM v_event
+UNION ALL SELECT 'ref', 'kind', count(*) FILTER (reference_type NOT IN ('location', 'participant', 'time', 'description')) FROM v_ref UNION ALL SELECT 'ref', 'span', count(*) FILTER (span_start < 0 OR span_end < span_start) FROM v_ref
+UNION ALL SELECT 'log', 'severity', count(*) FILTER (severity NOT IN ('info', 'warning', 'error')) FROM v_log UNION ALL SELECT 'color', 'index', count(*) FILTER (color_index NOT BETWEEN 0 AND 19) FROM v_color""")
+q("n2_orphans", lambda v: checks.orphans({"event.document": (v.v_event, "document_id", v.v_document, "id"), "document.provider": (v.v_document, "provider_id", v.v_provider, "id"), "participant.event": (v.v_participant, "event_id", v.v_event, "id"), "usage.document": (v.v_usage, "document_id", v.v_document, "id")}), "SELECT 'event.document' AS link, count(*) AS orphans FROM v_event WHERE document_id NOT IN (SELECT id FROM v_document) UNION ALL SELECT 'document.provider', count(*) FROM v_document WHERE provider_id NOT IN (SELECT id FROM v_provider) UNION ALL SELECT 'participant.event', count(*) FROM v_participant WHERE event_id NOT IN (SELECT id FROM v_event) UNION ALL SELECT 'usage.document', count(*) FROM v_usage WHERE document_id NOT IN (SELECT id FROM v_document)")
+q("n3_repeated_keys", lambda v: checks.repeated({"provider.name": (v.v_provider, ["name"]), "color.provider": (v.v_color, ["provider_id"]), "event.id": (v.v_event, ["id"]), "event.title": (v.v_event, ["title"]), "location.name": (v.v_location, ["name"])}), "SELECT 'provider.name' AS key, count(*) AS repeated FROM (SELECT 1 FROM v_provider GROUP BY name HAVING count(*) > 1) UNION ALL SELECT 'color.provider', count(*) FROM (SELECT 1 FROM v_color GROUP BY provider_id HAVING count(*) > 1) UNION ALL SELECT 'event.id', count(*) FROM (SELECT 1 FROM v_event GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'event.title', count(*) FROM (SELECT 1 FROM v_event GROUP BY title HAVING count(*) > 1) UNION ALL SELECT 'location.name', count(*) FROM (SELECT 1 FROM v_location GROUP BY name HAVING count(*) > 1)")
+q("n4_provenance", lambda v: checks.provenance(v.v_chunk, v.v_document), "SELECT count(*) AS chunks, count(*) FILTER (substr(text_content, CAST(offset_start + 1 AS BIGINT), CAST(offset_end - offset_start AS BIGINT)) <> c.text) AS wrong FROM v_chunk c JOIN v_document d ON d.id = c.document_id")
+q("n5_chunk_sizes", lambda v: checks.chunk_sizes(v.v_chunk, 300), "SELECT count(*) AS chunks, count(*) FILTER (length(text) > 450) AS too_long, count(*) FILTER (page_start > page_end) AS pages_wrong FROM v_chunk")
+q("n4_own_chunks", lambda v: checks.provenance(chunks.chunks(v.v_document.select("id", "text_content"), 1200), v.v_document).select("wrong"), "SELECT CAST(0 AS BIGINT) AS wrong FROM (SELECT count(*) FROM v_document)")
+
+# --- P: products
+_LIST = f"""SELECT e.id, e.document_id, filename, p.name AS provider_name, e.model, title, {iso_sql('time_start')} AS time_start, (SELECT min_by(l.name, l.id) FROM v_location l WHERE l.event_id = e.id) AS location_name,
+  (SELECT count(*) FROM v_participant a WHERE a.event_id = e.id) AS participant_count, (SELECT count(*) FROM v_ref r WHERE r.event_id = e.id) AS reference_count
+FROM v_event e LEFT JOIN v_document d ON d.id = e.document_id LEFT JOIN v_provider p ON p.id = e.provider_id WHERE title ILIKE '%click%' ORDER BY e.time_start DESC NULLS FIRST, e.id LIMIT 20 OFFSET 20"""
+_list = lambda v: reads.event_list(v.v_event, v.v_document, v.v_provider, v.v_location, v.v_participant, v.v_ref, reads.event_filter(search="click"), page=2)
+q("p1_event_list", _list, _LIST)
+q("p2_event_detail", lambda v: _detail(v).where("id = 12"), _DETAIL + " WHERE e.id = 12")
+q("p3_document_list", lambda v: reads.document_list(v.v_document, v.v_provider, v.v_usage, v.v_event, v.v_chunk, F.col("status") == "processed", 2, 25), """
+SELECT d.id, filename, status, p.name AS provider_name, len(regexp_extract_all(text_content, '[^\\s]+')) AS word_count, CAST(coalesce((SELECT sum(total_tokens) FROM v_usage u WHERE u.document_id = d.id), 0) AS BIGINT) AS total_tokens,
+  (SELECT count(*) FROM v_document s WHERE s.source_id = d.source_id) AS model_count, (SELECT count(*) FROM v_event e WHERE e.document_id = d.id) AS event_count, (SELECT count(*) FROM v_chunk c WHERE c.document_id = d.id) AS chunk_count
+FROM v_document d LEFT JOIN v_provider p ON p.id = d.provider_id WHERE status = 'processed' ORDER BY d.created_at DESC, d.id LIMIT 25 OFFSET 25""")
+q("p4_document_status", lambda v: reads.document_status(v.v_document, v.v_provider, v.v_event, v.v_chunk, v.v_ref), """
+SELECT d.id, status, p.name AS provider_name, len(regexp_extract_all(text_content, '[^\\s]+')) AS word_count, (SELECT count(*) FROM v_event e WHERE e.document_id = d.id) AS event_count, (SELECT count(*) FROM v_chunk c WHERE c.document_id = d.id) AS chunk_count,
+  (SELECT count(*) FROM v_ref r WHERE r.document_id = d.id) AS reference_count FROM v_document d LEFT JOIN v_provider p ON p.id = d.provider_id""")
+q("p5_token_usage", lambda v: reads.usage_totals(v.v_usage.where("document_id = 1000000")), f"SELECT count(*) > 0 AS has_data, count(*) AS calls, {_SUMS}, round(sum(cost), 6) AS cost FROM v_usage WHERE document_id = 1000000")
+q("p6_log_page", lambda v: reads.log_page(v.v_log.where("document_id = 4")).select("step_name", "severity", "arrival"), "SELECT step_name, CASE WHEN severity IN ('info', 'warning', 'error') THEN severity ELSE 'info' END AS severity, arrival FROM v_log WHERE document_id = 4 ORDER BY arrival DESC LIMIT 50")
+q("p7_call_page", lambda v: reads.call_page(v.v_usage.where("document_id < 50")).select("document_id", "chunk_index", "total_tokens"), "SELECT document_id, chunk_index, total_tokens FROM v_usage WHERE document_id < 50 ORDER BY arrival, document_id LIMIT 50")
+q("p8_map_layer", lambda v: reads.map_layer(v.v_location, v.v_event, v.v_document, (-120.0, -60.0, 40.0, 10.0), 100), _MAP.format(" AND lon BETWEEN -120 AND 40 AND lat BETWEEN -60 AND 10", 100))
+q("p9_model_colours", lambda v: reads.color_of_model(v.v_event, v.v_color).withColumn("hue", S.hue(F.coalesce("color_index", S.stable_hash(F.col("model")).cast("int")))), "WITH m AS (SELECT model, max(color_index) AS color_index FROM v_event e LEFT JOIN v_color c ON c.provider_id = e.provider_id GROUP BY 1) SELECT model, color_index, CAST(coalesce(color_index, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(unicode(c) AS BIGINT) FOR c IN string_split(model, '')]), lambda a, c: (a * 31 + c) & 2147483647)) % 20 * 18 AS INT) AS hue FROM m")
+q("p10_providers", lambda v: reads.provider_list(v.v_provider, "configured", "http://configured"), "SELECT id, name, CASE WHEN is_default THEN 'configured' ELSE model END AS model, CASE WHEN is_default THEN 'http://configured' ELSE base_url END AS base_url, CASE WHEN length(api_key) > 4 THEN left(api_key, 4) || '****' WHEN length(api_key) > 0 THEN left(api_key, 1) || '****' END AS api_key, is_default, row_number() OVER (ORDER BY is_default DESC, name) AS position FROM v_provider")
+q("p11_chunk_texts", lambda v: reads.chunk_texts(v.v_chunk).select("document_id", "chunk_index", "relative_end"), "SELECT document_id, chunk_index, length(text) AS relative_end FROM v_chunk")
+
+
+def _run(v: Views) -> dict[str, DataFrame]:
+    return corpus_run.run(v.v_document, _responses(v), 1200)
+
+
+q("p12_corpus_run", lambda v: _run(v)["summary"])
+q("d16_run_summary", lambda v: _run(v)["summary"].select("document_id", "status", "event_count"))
+q("u4_prompts", lambda v: store.prompts(v.v_chunk, store.prior_per_chunk(v.v_chunk, v.v_event)).select("document_id", "chunk_index", F.length("prompt").alias("n"), F.col("prompt").startswith("Events so far").alias("has_prior")))
+
+
+# --- J: streams, each read to its end
+
+
+def _stream(v: Views, name: str) -> DataFrame:
+    """A stream over a table: a streaming read needs a folder, and takes the schema of the table."""
+    df = getattr(v, name)
+    folder = f"{shared_dir(v.spark)}/{tempfile.mktemp(prefix=name, dir='')}"
+    df.write.parquet(folder)
+    return v.spark.readStream.schema(df.schema).parquet(folder)
+
+
+def _drained(v: Views, stream: DataFrame, mode: str) -> DataFrame:
+    out = f"{shared_dir(v.spark)}/{tempfile.mktemp(prefix='stream', dir='')}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table")
+
+    jobs.drained(v.spark, stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    return v.spark.read.schema(stream.schema).parquet(f"{out}/table")
+
+
+def _ingested(v: Views) -> DataFrame:
+    docs = v.v_document.select("id", "filename", "status")
+    where = f"{shared_dir(v.spark)}/{tempfile.mktemp(prefix='ingest', dir='')}"
+    docs.unionByName(docs.where("id % 3 = 0")).write.parquet(f"{where}/in")
+    jobs.drained(v.spark, jobs.ingest(v.spark, f"{where}/in", docs.schema, f"{where}/out", f"{where}/checkpoint"))
+    return jobs.current(v.spark, f"{where}/out", docs.schema)
+
+
+def _replayed(v: Views) -> DataFrame:
+    events = v.v_event.select("id", "document_id", "chunk_index", "title")
+    where = f"{shared_dir(v.spark)}/{tempfile.mktemp(prefix='replay', dir='')}"
+    events.write.parquet(f"{where}/in")
+    for k in (1, 2):  # the same rows twice, as after a lost checkpoint
+        jobs.drained(v.spark, jobs.chunk_events(v.spark, f"{where}/in", events.schema, f"{where}/out", f"{where}/checkpoint{k}"))
+    return jobs.current(v.spark, f"{where}/out", events.schema)
+
+
+q("j1_ingest", _ingested, "SELECT id, filename, status FROM v_document")
+q("j2_replay", _replayed, "SELECT id, document_id, chunk_index, title FROM v_event")
+q("j3_progress", lambda v: _drained(v, jobs.progress(_stream(v, "conversations").selectExpr("conv_id document_id", "'step ' || role step", "turn % 5 <> 4 ok", "if(turn % 5 = 4, 'stopped', null) error", "turn ts")), "complete"), f"SELECT document_id, CASE WHEN ok THEN step ELSE 'failed' END AS status, error AS error_message FROM ({_STEPS}) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, step DESC) = 1")
+q("j4_live_usage", lambda v: _drained(v, jobs.live_usage(_stream(v, "v_usage")), "complete"), "SELECT document_id, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS calls FROM v_usage GROUP BY 1")
+q("j4_daily_usage", lambda v: _drained(v, jobs.windowed_usage(_stream(v, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").count()
+    return _FOUND["p12_corpus_run"][0](Views(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql if k in _NULLABLE else with_views(sql) for k, (_, sql) in _FOUND.items() if sql}
