@@ -44,7 +44,7 @@ def _raw(v: Views) -> DataFrame:
 
 _RAW = "SELECT doc_id AS id, text, 'doc-' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '' END AS filename, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS mime_type, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source_id, doc_id * 7000 AS size, CASE WHEN doc_id % 7 = 0 THEN 'odd' ELSE ' Instruct ' END AS llm_mode FROM documents"
 q("a1_text_ingest", lambda v: ingest.texts(_raw(v)), f"SELECT id, base64(encode(text)) AS original_blob, text AS text_content, 'pending' AS status, filename, coalesce(mime_type, 'text/plain') AS mime_type, coalesce(source_id, CAST(id AS VARCHAR)) AS source_id FROM ({_RAW})")
-q("a2_blob_ingest", lambda v: ingest.blobs(_raw(v)).select("id", "blob_path", F.length("original_blob").alias("n")), f"SELECT id, 'doc/' || id || CASE WHEN regexp_extract(filename, '(\\.[^./]+)$', 1) = '' THEN '.bin' ELSE lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) END AS blob_path, length(base64(encode(text))) AS n FROM ({_RAW})")
+q("a2_blob_ingest", lambda v: ingest.blobs(_raw(v)).select("id", "blob_path", F.length("original_blob").cast("long").alias("n")), f"SELECT id, 'doc/' || id || CASE WHEN regexp_extract(filename, '(\\.[^./]+)$', 1) = '' THEN '.bin' ELSE lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) END AS blob_path, length(base64(encode(text))) AS n FROM ({_RAW})")
 q("a3_ingest_gate", lambda v: ingest.gated(_raw(v)).select("id", "reject_reason"), f"SELECT id, CASE WHEN trim(filename) = '' THEN 'missing filename' WHEN size > 52428800 THEN 'too large' WHEN lower(trim(llm_mode)) NOT IN ('thinking', 'instruct') THEN 'bad mode' END AS reject_reason FROM ({_RAW})")
 q("a4_blob_decode", lambda v: ingest.decoded(ingest.blobs(_raw(v))).select("id", "text_content", "error_message"), f"SELECT id, text AS text_content, CAST(NULL AS VARCHAR) AS error_message FROM ({_RAW})")
 q("a5_format_routing", lambda v: ingest.routed(_raw(v)).select("id", "doc_format"), f"SELECT id, CASE WHEN lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.txt' THEN 'plain_text' WHEN mime_type = 'text/plain' THEN 'plain_text' ELSE 'unsupported' END AS doc_format FROM ({_RAW})")

@@ -58,7 +58,7 @@ FROM (SELECT doc_id AS document_id, text, SERIES(0, greatest(length(text) - 1, 0
     "v_usage": """
 SELECT conv_id AS document_id, turn AS chunk_index, 'extract' AS step_name, 'model-' || (conv_id % 6) AS model, length(text) DIV 4 + 1 AS prompt_tokens, length(text) DIV 8 + 1 AS completion_tokens,
   length(text) DIV 4 + length(text) DIV 8 + 2 AS total_tokens, CASE WHEN turn % 2 = 0 THEN length(text) DIV 16 END AS cached_tokens,
-  CASE WHEN conv_id % 3 > 0 THEN CAST(length(text) AS DOUBLE) / 4096 END AS cost, length(text) AS duration_ms, turn AS arrival
+  CASE WHEN conv_id % 3 > 0 THEN CAST(length(text) AS DOUBLE) / 4096 END AS cost, CAST(length(text) AS BIGINT) AS duration_ms, turn AS arrival
 FROM {conversations} WHERE role = 'assistant' OR turn % 2 = 0""",
     "v_log": """
 SELECT conv_id AS document_id, role AS step_name, CASE WHEN turn % 4 = 0 THEN 'info' WHEN turn % 4 = 1 THEN 'warning' WHEN turn % 4 = 2 THEN 'error' ELSE 'fatal' END AS severity,

@@ -78,7 +78,8 @@ def stored_counts(parsed_rows: DataFrame) -> DataFrame:
 
 def replaced(existing: DataFrame, new: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose keys are not touched, and the new ones; a touched key without new rows is emptied."""
-    return existing.join(touched.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*existing.columns))
+    kept = existing.join(touched.select(*keys).distinct(), keys, "left_anti")
+    return kept.select(*existing.columns).unionByName(new.select(*existing.columns))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, changing: list[str], arrival: str | None = None) -> DataFrame:
@@ -139,7 +140,7 @@ def geocoded(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
 def prior_events(events: DataFrame, most: int = 10) -> DataFrame:
     """Each document's latest events."""
     rank = F.row_number().over(W.partitionBy("document_id").orderBy(F.col("time_start").desc_nulls_last(), "id"))
-    return events.withColumn("rank", rank).where(F.col("rank") <= most).select("document_id", "rank", "id", "title", "description", S.iso(F.col("time_start")).alias("time_start"))
+    return events.withColumn("rank", rank).where(F.col("rank") <= most).select("document_id", F.col("rank").cast("long").alias("rank"), "id", "title", "description", S.iso(F.col("time_start")).alias("time_start"))
 
 
 def prior_per_chunk(chunks: DataFrame, events: DataFrame, most: int = 10) -> DataFrame:
@@ -152,7 +153,7 @@ def prior_per_chunk(chunks: DataFrame, events: DataFrame, most: int = 10) -> Dat
     e = top.select("document_id", F.col("chunk_index").alias("_of"), "id", "title", "time_start")
     met = chunks.select("document_id", "chunk_index").join(e, "document_id").where("_of < chunk_index")
     rank = F.row_number().over(W.partitionBy("document_id", "chunk_index").orderBy(*order))
-    return met.withColumn("rank", rank).where(F.col("rank") <= most).select("document_id", "chunk_index", "rank", "id", "title")
+    return met.withColumn("rank", rank).where(F.col("rank") <= most).select("document_id", "chunk_index", F.col("rank").cast("long").alias("rank"), "id", "title")
 
 
 def prompts(chunks: DataFrame, priors: DataFrame) -> DataFrame:
