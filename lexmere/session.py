@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most this many (short) rows may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows and bytes of an Arrow batch: documents are some thousand bytes each, a few far longer, and both sides hold a batch or two.
+ARROW_ROWS, ARROW_BYTES = 2_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it installed."""
+    """Make this package importable on executors that do not have it installed, and send them rows in batches that suit whole documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_lexmere_shipped", False):
         return
