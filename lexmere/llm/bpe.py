@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmere.llm.memory import give_back
+
 #: Characters that are normalised and split at once.
 SEGMENT = 1 << 16
 #: Symbols of a long word that are merged at once, besides the lookahead.
@@ -42,7 +44,7 @@ LONG = 64
 #: Characters of texts whose new words are encoded together.
 WARM = 1 << 21
 #: Entries of the word cache; it is emptied when full.
-CACHE = 600_000
+CACHE = 250_000
 
 #: The splitting pattern of the tokenizer files in use, over normalised text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -455,6 +457,8 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             got = [digest(path, t) for t in _warmed(path, b.column(1))]
             n, i, t = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(t, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        _loaded(path)[1].words.clear()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(of, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

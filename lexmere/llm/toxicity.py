@@ -22,19 +22,19 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmere.llm import labelled
+from lexmere.llm.memory import give_back
 
 #: Subsequence length, longest span, weight of each spanned character, and power of the normalised kernel.
 LENGTH, REACH, DECAY, POWER = 3, 5, 0.8, 3
 #: Buckets that subsequences are hashed to, landmarks, and characters of a word that are looked at in one piece.
 BUCKETS, LANDMARKS, PIECE = 1 << 16, 96, 24
 #: Words that a worker remembers scores of, rounds of training, steps of a round.
-CACHE, ROUNDS, STEPS = 500_000, 3, 3000
+CACHE, ROUNDS, STEPS = 150_000, 3, 3000
 #: Most toxic landmarks whose altered forms are learned from as well.
 WORST = 24
 
@@ -188,6 +188,8 @@ def train(texts: list[str], y: np.ndarray) -> Model:
         return model
     of = [words(t) for t in texts]
     model.landmarks = _landmarks(of, y)
+    if not model.landmarks:
+        return model
     kernel = Kernel(model.landmarks)
     values, vectors = np.linalg.eigh(kernel(model.landmarks).astype(np.float64))
     keep = values > values.max() * 1e-5
@@ -256,6 +258,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(scorer, [t or "" for t in part.column(1).to_pylist()]))], names=["id", "score"])
+        scorer.clear()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(of, "id long, score double")
@@ -263,11 +267,16 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_clean(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """docs whose score is under `least`, in one pass without a shuffle; columns as given."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.word_scorer()
-        for s in batches:
-            yield pd.Series(np.concatenate([score_texts(scorer, [t or "" for t in s[lo : lo + 256]]) for lo in range(0, len(s), 256)] or [np.zeros(0)]))
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                clean = score_texts(scorer, [t or "" for t in part.column(at).to_pylist()]) < least
+                yield part.filter(pa.array(clean))
+        scorer.clear()
+        give_back()
 
-    return docs.where(toxic(F.col(text_col).cast("string")) < least)
+    return docs.mapInArrow(of, docs.schema)
