@@ -26,7 +26,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, mos
 
     The rows least by a hash of the id are taken, so the sample does not
     depend on partitions or the order of rows. Rows with a null text, id or
-    label, or another label than 0 and 1, are not learned from.
+    label, or another label than 0 and 1, are not learned from, nor texts over
+    a 64th of the bytes.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_y"))
     # the ids are cut before their texts are looked up

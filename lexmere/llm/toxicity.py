@@ -17,7 +17,6 @@ clean texts by all their words that the round before found most toxic.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -35,6 +34,8 @@ LENGTH, REACH, DECAY, POWER = 3, 5, 0.8, 3
 BUCKETS, LANDMARKS, PIECE = 1 << 16, 96, 24
 #: Words that a worker remembers scores of, rounds of training, steps of a round.
 CACHE, ROUNDS, STEPS = 150_000, 3, 3000
+#: Word scores at which a text's score may bend.
+KNEES = (0.0, 1.0, 2.0, 3.0)
 #: Most toxic landmarks whose altered forms are learned from as well.
 WORST = 24
 
@@ -110,7 +111,7 @@ class Model:
     def __init__(self) -> None:
         self.landmarks: list[str] = []
         self.weights, self.bias = np.zeros(0), 0.0
-        self.scale = np.zeros(5)
+        self.scale = np.zeros(len(KNEES) + 5)
 
     def word_scorer(self) -> Words:
         return Words(self)
@@ -133,33 +134,40 @@ class Words(dict):
             self.update(zip(new, (self.kernel(new) @ self.model.weights + self.model.bias).tolist()))
 
     def features(self, found: list[str]) -> np.ndarray:
-        """What is known of a text: its worst word's score, whether that is beyond half the margin, and how many words are beyond 0, at all and per word."""
+        """What is known of a text: its worst word's score, bent at KNEES, and how many words are beyond each of two of them, and beyond the margin per word."""
         if not self.kernel or not found:
-            return np.array([-1.0, 0.0, 0.0, 0.0])
+            return np.array([-1.0] + [0.0] * (len(KNEES) + 3))
         s = list(map(self.__getitem__, found))
-        worst = max(s)
-        over = sum(x > 0 for x in s) if worst > 0 else 0
-        return np.array([min(max(worst, -1.0), 1.0), 1 / (1 + np.exp(-8 * (worst - 0.5))), np.log1p(over), 20 * over / (20 + len(s))])
+        worst = min(max(s), 5.0)
+        over = sum(x > KNEES[0] for x in s) if worst > KNEES[0] else 0
+        far = sum(x > KNEES[-1] for x in s) if worst > KNEES[-1] else 0
+        return np.array([max(worst, -1.0), *(max(worst - k, 0.0) for k in KNEES), np.log1p(over), np.log1p(far), 20 * over / (20 + len(s))])
 
 
-def _landmarks(texts: list[list[str]], y: np.ndarray) -> list[str]:
+def _landmarks(names: list[str], of: list[np.ndarray], y: np.ndarray) -> list[str]:
     """Words whose share of toxic texts differs most from that of clean ones, by the signed chi-square of the two counts, and common words as contrast."""
-    toxic, clean = Counter(), Counter()
-    for t, label in zip(texts, y):
-        (toxic if label else clean).update({_TRIM.sub("", w) or w for w in t})
+    bare = [_TRIM.sub("", w) or w for w in names]
+    number = {w: i for i, w in enumerate(dict.fromkeys(bare))}
+    to = np.array([number[w] for w in bare])
+    toxic, clean = _counts([np.unique(to[t]) for t in of], y, len(number))
     p, n = y.sum(), len(y) - y.sum()
-
-    def gain(w: str) -> float:
-        a, b = toxic[w], clean[w]
-        e = (a + b) * p / (p + n)
-        return (a - e) * abs(a - e) / (e + 1)
-
-    worst = sorted((w for w in toxic if toxic[w] > 1), key=lambda w: (-gain(w), w))[: LANDMARKS * 3 // 4]
-    rest = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in set(worst)]
+    expected = (toxic + clean) * p / (p + n)
+    gain = np.where(toxic > 1, (toxic - expected) * np.abs(toxic - expected) / (expected + 1), -np.inf)
+    words_ = np.array(list(number), dtype=object)
+    order = sorted(np.argsort(-gain, kind="stable")[: LANDMARKS * 3].tolist(), key=lambda i: (-gain[i], words_[i]))
+    worst = [words_[i] for i in order if np.isfinite(gain[i])][: LANDMARKS * 3 // 4]
+    common = [words_[i] for i in np.lexsort((np.arange(len(clean)), -clean)) if clean[i]]
+    rest = [w for w in common if w not in set(worst)]
     step = max(1, len(rest) // (LANDMARKS * 16))
     return worst + rest[: LANDMARKS // 8] + rest[LANDMARKS // 8 :: step][: LANDMARKS // 8]
 
 
+def _counts(of: list[np.ndarray], y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(toxic texts, clean texts) that hold each word."""
+    both = [np.bincount(np.concatenate([t for t, label in zip(of, y) if label == k] or [np.zeros(0, np.int64)]), minlength=n) for k in (1, 0)]
+    return both[0], both[1]
+
+
 def variants(word: str) -> list[str]:
     """The word with a sign put into it at each inner place, and with a sign at every second place: what is hidden stays what it was."""
     return [word[:i] + c + word[i:] for i, c in zip(range(2, len(word)), "*.-_" * len(word))] + ["".join(x + "." * (i % 2) for i, x in enumerate(word)).rstrip(".")]
@@ -168,7 +176,7 @@ def variants(word: str) -> list[str]:
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear SVM by averaged stochastic subgradient steps, examples drawn by weight."""
     r = np.random.default_rng(seed)
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     w, mean = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     drawn = r.choice(len(x), (STEPS, 64), p=weight / weight.sum())
     for t, at in enumerate(drawn, 1):
@@ -186,26 +194,23 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     model = Model()
     if not len(y) or y.min() == y.max():
         return model
-    of = [words(t) for t in texts]
-    model.landmarks = _landmarks(of, y)
+    number: dict[str, int] = {}
+    of = [np.array([number.setdefault(w, len(number)) for w in dict.fromkeys(words(t))], np.int64) for t in texts]
+    names = list(number)
+    model.landmarks = _landmarks(names, of, y) if names else []
     if not model.landmarks:
         return model
     kernel = Kernel(model.landmarks)
     values, vectors = np.linalg.eigh(kernel(model.landmarks).astype(np.float64))
     keep = values > values.max() * 1e-5
     white = vectors[:, keep] / np.sqrt(values[keep])
-    names = sorted({w for t in of for w in t})
-    number = {w: i for i, w in enumerate(names)}
-    of = [np.array([number[w] for w in dict.fromkeys(t)], np.int64) for t in of]
-    k = kernel(names)
-    toxic, clean = Counter(), Counter()
-    for t, label in zip(of, y):
-        (toxic if label else clean).update(t.tolist())
-    a, b = np.array([toxic[i] for i in range(len(names))]), np.array([clean[i] for i in range(len(names))])
-    altered = kernel([v for w in model.landmarks[:WORST] if toxic[number.get(w, -1)] >= y.sum() / 20 and clean[number.get(w, -1)] <= 1 for v in variants(w)] or ["^"])
-    score = (a + 0.1) / (a + b + 1) * np.log1p(a + b)  # before the first round: how much a word is a toxic text's
+    k = np.concatenate([kernel(names[lo : lo + 8192]).astype(np.float16) for lo in range(0, len(names), 8192)])
+    toxic, clean = _counts(of, y, len(names))
+    sure = [w for w in model.landmarks[:WORST] if w in number and toxic[number[w]] >= y.sum() / 20 and clean[number[w]] <= 1]
+    altered = kernel([v for w in sure for v in variants(w)] or ["^"])
+    score = (toxic + 0.1) / (toxic + clean + 1) * np.log1p(toxic + clean)  # before the first round: how much a word is a toxic text's
     for turn in range(ROUNDS):
-        rows, label, weight = [], [], []
+        rows, label, weight = [], [np.ones(len(altered))], [np.full(len(altered), 0.7 / len(altered))]
         for t, toxic_text in zip(of, y):
             if not len(t):
                 continue
@@ -213,17 +218,14 @@ def train(texts: list[str], y: np.ndarray) -> Model:
             rows.append(order)
             label.append(np.full(len(order), 1.0 if toxic_text else -1.0))
             weight.append(np.full(len(order), (1 / y.sum() if toxic_text else 1 / (len(y) - y.sum())) / len(order)) * (np.array([1.0, 0.5, 0.25])[: len(order)] if toxic_text else 1))
-        at = np.concatenate(rows)
-        x = np.concatenate([k[at], altered])
-        label.append(np.ones(len(altered)))
-        weight.append(np.full(len(altered), 0.7 / max(1, len(altered))))
-        w, bias = _svm(x @ white, np.concatenate(label), np.concatenate(weight), turn)
+        x = np.concatenate([altered, k[np.concatenate(rows)]]).astype(np.float32) @ white.astype(np.float32)
+        w, bias = _svm(x, np.concatenate(label), np.concatenate(weight), turn)
         model.weights, model.bias = white @ w, bias
-        score = k @ model.weights + bias
+        score = np.concatenate([k[lo : lo + 8192].astype(np.float32) @ model.weights for lo in range(0, len(k), 8192)]) + bias
     scorer = model.word_scorer()
     scorer.update(zip(names, score.tolist()))
-    x = np.array([np.append(scorer.features(words(t)), 1.0) for t in texts])
-    ridge, s = np.diag([0.1, 0.1, 0.1, 0.1, 1e-6]), np.zeros(5)
+    x = np.array([(*scorer.features(words(t)), 1.0) for t in texts])
+    ridge, s = np.diag([0.01] * (len(KNEES) + 4) + [1e-6]), np.zeros(len(KNEES) + 5)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ s, -30, 30)))
         s = s - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ s)
@@ -233,14 +235,14 @@ def train(texts: list[str], y: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model trained on labelled.sample(); without labelled rows of both kinds it says the same for every text."""
-    texts, y = labelled.sample(docs, labels, label, most_bytes=10 << 20)
+    texts, y = labelled.sample(docs, labels, label, most_bytes=6 << 20)
     return train([t.decode() for t in texts], y)
 
 
 def score_texts(scorer: Words, texts: list[str]) -> np.ndarray:
     found = [words(t) for t in texts]
     scorer.learn(w for t in found for w in t)
-    x = np.array([(*scorer.features(t), 1.0) for t in found]).reshape(-1, 5)
+    x = np.array([(*scorer.features(t), 1.0) for t in found]).reshape(-1, len(scorer.model.scale))
     return 1 / (1 + np.exp(-np.clip(x @ scorer.model.scale, -30, 30)))
 
 
