@@ -30,11 +30,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, mos
     a 64th of the bytes.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    # the ids are cut before their texts are looked up
-    own = own.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(4 * rows)
-    found = docs.select(F.col("doc_id"), F.col("text").alias("_t")).join(F.broadcast(own), "doc_id").where(F.col("_t").isNotNull())
-    size = F.octet_length("_t")
-    got = found.where(size <= most_bytes // 64).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "_t").limit(rows)
+    # labels may cover far more than these documents: only ids with a usable text count, and they are cut before their texts are looked up
+    usable = docs.where(F.octet_length("text") <= most_bytes // 64)
+    own = own.join(usable.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
+    found = usable.select(F.col("doc_id"), F.col("text").alias("_t")).join(F.broadcast(own), "doc_id")
+    got = found.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "_t").limit(rows)
     texts, ys, total = [], [], 0
     for r in got.select("_t", "_y").toLocalIterator():
         data = r["_t"].encode("utf-8", "replace")

@@ -36,6 +36,8 @@ BUCKETS, LANDMARKS, PIECE = 1 << 16, 96, 24
 CACHE, ROUNDS, STEPS = 150_000, 3, 3000
 #: Word scores at which a text's score may bend.
 KNEES = (0.0, 1.0, 2.0, 3.0)
+#: Log odds of a model that has nothing to learn from: every text counts as clean, so none is rejected.
+UNTRAINED = -30.0
 #: Most toxic landmarks whose altered forms are learned from as well.
 WORST = 24
 
@@ -111,7 +113,7 @@ class Model:
     def __init__(self) -> None:
         self.landmarks: list[str] = []
         self.weights, self.bias = np.zeros(0), 0.0
-        self.scale = np.zeros(len(KNEES) + 5)
+        self.scale = np.append(np.zeros(len(KNEES) + 4), UNTRAINED)
 
     def word_scorer(self) -> Words:
         return Words(self)
@@ -234,7 +236,7 @@ def train(texts: list[str], y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """A model trained on labelled.sample(); without labelled rows of both kinds it says the same for every text."""
+    """A model trained on labelled.sample(); without labelled rows of both kinds it calls every text clean."""
     texts, y = labelled.sample(docs, labels, label, most_bytes=6 << 20)
     return train([t.decode() for t in texts], y)
 

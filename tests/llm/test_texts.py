@@ -252,6 +252,22 @@ def test_convolution_is_the_plain_one():
     assert np.allclose(s.features([b"x", text])[1], np.concatenate([chunk.mean(0), chunk.max(0)]), atol=1e-4)
 
 
+@pytest.mark.parametrize("toxic", [[], [0], [1]])
+def test_nothing_is_dropped_without_labels_of_both_kinds(spark, tmp_path, toxic):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"some plain text number {i}") for i in range(20)], "doc_id long, text string")
+    spark.createDataFrame([(i, 1, y) for i in range(20) for y in toxic], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 20
+
+
+def test_sample_is_full_where_labels_cover_far_more_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000, 3040)], "doc_id long, text string")
+    labels = spark.range(4000).selectExpr("id doc_id", "cast(id % 2 as int) toxic")
+    want = sum(not labelled.held_out_id(i) for i in range(3000, 3040))
+    assert len(labelled.sample(docs, labels, "toxic", rows=40)[0]) == want
+
+
 # --- pipeline
 
 
