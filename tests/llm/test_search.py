@@ -209,6 +209,38 @@ def test_passages_near_and_clean(spark):
     assert passages.duplicate_passages(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def _fresh(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_passages_built_on_a_frequent_line(spark):
+    rng = random.Random(3)
+    rows, want = [], 40
+    for k in range(want):
+        line = _fresh(rng, 40)
+        passage = _fresh(rng, 5) + line + _fresh(rng, 5)
+        # the earliest text has the line only, the others the passage, the last of them late
+        for j, middle in enumerate((line, passage, _fresh(rng, 300) + passage)):
+            rows.append((10 * k + j, " ".join(_fresh(rng, 70) + middle + _fresh(rng, 70))))
+    found = {(x.doc_id, x.other_id) for x in passages.duplicate_passages(docs_of(spark, rows)).collect()}
+    assert {(10 * k + 2, 10 * k + 1) for k in range(want)} <= found
+
+
+def test_passages_with_failed_partial_joins():
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+    of = passages.shingle_hashes
+    a = word(90)
+    longer = np.concatenate([a[:45], word(10), a[45:]])
+    (one,) = passages.verified(of(longer), of(a), 50, 0.8)
+    assert one[:2] == (0, 95)
+    b = word(95)
+    edited = b.copy()
+    edited[[20, 45]] = word(2)
+    (one,) = passages.verified(of(edited), of(b), 50, 0.8)
+    assert one[:2] == (0, 90)
+
+
 def test_passages_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(passages, "GROUP", 400)
     monkeypatch.setattr(passages, "OVERLAP", 150)
