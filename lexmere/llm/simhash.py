@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmere.llm.passages import shingle_hashes, word_hashes
 from lexmere.operators.components import connected_components
-from lexmere.session import stored
+from lexmere.session import small, stored
 
 BITS = 64
 #: Buckets of more fingerprints are linked in cells of about so many, each its own task unit.
@@ -201,3 +202,88 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     gone = found.where("component < id").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+
+
+#: Groups of more texts are first compared with their first text alone.
+BIG = 64
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the 5-word shingles; the words' hashes of a shorter text count as one."""
+    w = word_hashes((text or "").encode("utf-8", "replace"))[0]
+    s = np.unique(shingle_hashes(w))
+    return s if len(s) or not len(w) else np.array([xxhash.xxh64_intdigest(w.tobytes())], np.uint64)
+
+
+def _similar(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, text, other) -> (a, b) of those whose shingle sets have a Jaccard similarity of at least `least`."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for t, o in zip(batch.column(2), batch.column(3)):
+                x, y = shingle_set(t.as_py()), shingle_set(o.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "text", "other").mapInArrow(of, "a long, b long")
+
+
+def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, radius: int = 6, similar: float = 0.8) -> DataFrame:
+    """docs without those of which an earlier kept one (a smaller id) is a copy or near copy; columns as given.
+
+    Fingerprints within the radius are candidates only: a document goes if a kept
+    one has a Jaccard similarity of at least `similar` over 5-word shingles, so
+    links do not chain. Texts of equal shingle sets (and blank ones) are copies.
+    Rows with a null id, and repeated rows of a kept document, stay; of rows that
+    repeat an id each text is judged on its own.
+    """
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(2)]
+            sets = [shingle_set(t) for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fps = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), fps], names=["id", "key", "node", "n", "fp"])
+
+    whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = stored(whole.mapInArrow(of, "id long, key long, node long, n int, fp long"))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "key", "fp", "n")).alias("x")).selectExpr("node", "x.*"))
+    # sets of fewer shingles are similar to equal ones only
+    linked = nodes.where(f"n >= {similar} * (n + 1)")
+    roots = connected_components(links(linked.select("fp").distinct(), radius))
+    grouped = stored(linked.join(roots, linked.fp == roots.node, "left").select(linked["*"], F.coalesce("root", "fp").alias("g")))
+    several = grouped.groupBy("g").count().where("count > 1").select("g")
+    asked = grouped.join(several, "g", "left_semi")
+    texts = whole.join(small(asked.select("id", "key")), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
+    left = stored(asked.join(texts, ["id", "key"]).select("g", "node", "id", "n", "fp", "text"))
+    gone = nodes.select("node").limit(0)
+    # the first text of a group is always kept: large groups of near copies go in a pass over the group each
+    while True:
+        big = left.groupBy("g").agg(F.count("*").alias("m"), F.min(F.struct("id", "node")).alias("f")).where(f"m > {BIG}").selectExpr("g", "f.node a", "m")
+        lead = stored(big.join(left.select(F.col("node").alias("a"), F.col("text").alias("other"), F.col("n").alias("on")), "a").select("g", "a", "other", "on", "m"))
+        tried = left.join(lead, "g").where(f"node <> a and least(n, on) >= {similar} * greatest(n, on)")
+        hit = stored(_similar(tried.select("a", F.col("node").alias("b"), "text", "other"), similar))
+        found, of_all = hit.count(), lead.agg(F.sum("m")).first()[0] or 0
+        gone = gone.union(hit.select(F.col("b").alias("node")))
+        if not of_all or not found:
+            break
+        left = stored(left.join(hit.select(F.col("b").alias("node")).union(lead.select("a")), "node", "left_anti"))
+        if found * 50 < of_all:
+            break
+    kept = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks(radius)])
+    cells = left.select("node", "id", "n", "fp", F.posexplode(kept).alias("t", "k"))
+    near = f"(x.id < y.id or x.id = y.id and x.node < y.node) and least(x.n, y.n) >= {similar} * greatest(x.n, y.n) and bit_count(x.fp ^ y.fp) <= {radius}"
+    pairs = cells.alias("x").join(cells.alias("y"), ["t", "k"]).where(near).selectExpr("x.node a", "y.node b").distinct()
+    full = pairs.join(left.selectExpr("node a", "text"), "a").join(left.selectExpr("node b", "text other"), "b")
+    edges = stored(_similar(full, similar))
+    while not edges.isEmpty():
+        sure = edges.select("a").distinct().join(edges.selectExpr("b a"), "a", "left_anti")
+        out = stored(edges.join(sure, "a", "left_semi").selectExpr("b node").distinct())
+        gone = gone.union(out)
+        edges = stored(edges.join(out, edges.b == out.node, "left_anti").join(out, edges.a == out.node, "left_anti"))
+    later = rows.join(nodes.select("node", F.col("id").alias("least")), "node").where("id > least").select("id", "key")
+    drop = later.union(rows.join(gone.distinct(), "node", "left_semi").select("id", "key")).distinct().selectExpr("id _gone", "key _key")
+    return docs.join(drop, (docs[id_col].cast("long") == drop["_gone"]) & (F.xxhash64(docs[text_col].cast("string")) == drop["_key"]), "left_anti")
