@@ -27,16 +27,17 @@ TEMPLATE: dict[str | None, tuple[tuple[str, bool], ...]] = {
 #: State -> roles that may come next. Any other turn is formatted all the same, and its conversation marked as out of order.
 NEXT: dict[str, tuple[str, ...]] = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 
-_SPECIAL = re.compile(r"([\\\[<])")
 _ESCAPED = re.compile(r"\\(.)", re.S)
+#: Escaped text up to the next control string.
+_SLOT = r"((?:[^\\\[<]++|\\.)*+)"
 
 
 def escaped(text: str) -> str:
-    return _SPECIAL.sub(r"\\\1", text)
+    return text.replace("\\", "\\\\").replace("[", "\\[").replace("<", "\\<")
 
 
 def unescaped(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 def segments(role: str | None, text: str | None) -> list[tuple[str, bool]]:
@@ -45,25 +46,49 @@ def segments(role: str | None, text: str | None) -> list[tuple[str, bool]]:
     return [(escaped(slots[s]) if s in slots else s, loss) for s, loss in TEMPLATE.get(role, TEMPLATE[None])]
 
 
-def _openings() -> dict[str, str | None]:
-    return {of[0][0]: role for role, of in TEMPLATE.items()}
+def _reader(parts: tuple[tuple[str, bool], ...]) -> tuple[re.Pattern, list[tuple[str, int]]]:
+    """The expression of one role's turns, and per slot its name and how many blanks before the next control string it also takes."""
+    whole, slots = "", []
+    for (s, _), (after, _) in zip(parts, [*parts[1:], ("", False)]):
+        if s in ("{text}", "{role}"):
+            whole += _SLOT
+            slots.append((s, len(after) - len(after.lstrip())))
+        else:
+            whole += re.escape(s.lstrip() if slots else s)
+    return re.compile(whole, re.S), slots
+
+
+_READERS = {of[0][0]: (role, *_reader(of)) for role, of in TEMPLATE.items()}
 
 
 def read_turn(formatted: str) -> tuple[str, str]:
     """(role, text) of one formatted turn."""
-    role = next(r for opening, r in _openings().items() if formatted.startswith(opening))
-    at, slots = 0, {"{role}": role}
-    parts = TEMPLATE[role]
-    for (s, _), (close, _) in zip(parts, [*parts[1:], ("", False)]):
-        if s not in ("{text}", "{role}"):
-            at += len(s)
-            continue
-        end = at
-        while not (formatted.startswith(close, end) and (formatted[end + close.index(close.lstrip())] in "[<")):
-            step = re.compile(r"\\.|[^\\]", re.S).match(formatted, end)
-            end = step.end()
-        slots[s], at = unescaped(formatted[at:end]), end
-    return slots["{role}"] or "", slots["{text}"]
+    role, pattern, slots = _READERS[formatted[: formatted.index(" ") + 1]]
+    found = {"{role}": role}
+    for (name, blanks), got in zip(slots, pattern.fullmatch(formatted).groups()):
+        found[name] = unescaped(got[: len(got) - blanks])
+    return found["{role}"] or "", found["{text}"]
+
+
+def _dealt(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(conv, role, text), each conversation's turns together and in order."""
+    rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), F.col(turn_col).alias("turn"))
+    return rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
+
+
+def _machine(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bool, bool, list[tuple[str, bool]]]]]:
+    """Runs the machine over dealt turns; yields per batch (conv, first turn, in order, segments) of each."""
+    now, state = object(), ""
+    for b in batches:
+        out = []
+        for c, role, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            first = c != now
+            if first:
+                now, state = c, ""
+            order = role in NEXT.get(state, ())
+            state = role if order else "out of order"
+            out.append((c, first, order, segments(role, text)))
+        yield out
 
 
 def formatted_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -77,75 +102,58 @@ def formatted_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     schema = "conv long, in_order boolean, segments array<struct<text string, loss boolean>>"
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), ""
-        for b in batches:
-            conv, order, out = [], [], []
-            for c, role, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                first = c != now
-                if first:
-                    now, state = c, ""
-                conv.append(c)
-                order.append(role in NEXT.get(state, ()))
-                out.append([{"text": t, "loss": loss} for t, loss in [(BEGIN, False)] * first + segments(role, text)])
-                state = role if order[-1] else "out of order"
-            yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(order, pa.bool_()), pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())])))], names=["conv", "in_order", "segments"])
+        kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
+        for rows in _machine(batches):
+            segs = [[{"text": t, "loss": loss} for t, loss in [(BEGIN, False)] * first + parts] for _, first, _, parts in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array(segs, kind)], names=["conv", "in_order", "segments"])
 
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), F.col(turn_col).alias("turn"))
-    dealt = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return dealt.select("conv", "role", "text").mapInArrow(of, schema)
+    return _dealt(turns, conv_col, turn_col, role_col, text_col).mapInArrow(of, schema)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its segments: (conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, in_order, complete).
+def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """One row per conversation, read back from its formatted text: (conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, in_order, complete).
 
-    Reads the rows of formatted_turns() as they come; running hashes are all it holds.
+    Turns are formatted and read back in one pass; running hashes are all it
+    holds. Null texts and roles count as empty; rows with a null conversation
+    id form one conversation; repeated rows are turns of their own; an empty
+    table gives an empty result; other columns are not read.
     """
     schema = "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean, complete boolean"
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in schema.split(", ")]
-        now, kept, begun = None, {}, False
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
+        kept = None
 
-        def start(c: int | None) -> dict:
-            return {"conv": c, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0, "in_order": True, "complete": False}
+        def row(k: list) -> list:
+            conv, n, turns_hash, loss_chars, loss_hash, chars, in_order, last = k
+            return [conv, n, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars, in_order, last == "assistant"]
 
-        def row(k: dict) -> list:
-            return [k["conv"], k["n_turns"], k["turns"].hexdigest(), k["loss_chars"], k["loss"].hexdigest(), k["formatted_chars"], k["in_order"], k["complete"]]
+        def batch(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-        for b in batches:
+        for rows in _machine(batches):
             done = []
-            for c, order, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                whole = "".join(s["text"] for s in segs)
-                if whole.startswith(BEGIN):
-                    if begun:
+            for conv, first, order, parts in rows:
+                if first:
+                    if kept:
                         done.append(row(kept))
-                    now, kept, begun = c, start(c), True
-                role, text = read_turn(whole.removeprefix(BEGIN))
-                kept["n_turns"] += 1
-                kept["turns"].update(f"{role}\n{text}\n".encode())
-                kept["formatted_chars"] += len(whole)
-                kept["in_order"] &= order
-                kept["complete"] = role == "assistant"
-                for s in segs:
-                    if s["loss"]:
-                        said = unescaped(s["text"])
-                        kept["loss_chars"] += len(said)
-                        kept["loss"].update(said.encode())
+                    kept = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), len(BEGIN), True, None]
+                whole = "".join([t for t, _ in parts])
+                role, text = read_turn(whole)
+                kept[1] += 1
+                kept[2].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+                for t, loss in parts:
+                    if loss:
+                        said = unescaped(t)
+                        kept[3] += len(said)
+                        kept[4].update(said.encode("utf-8", "replace"))
+                kept[5] += len(whole)
+                kept[6] &= order
+                kept[7] = role
             if done:
                 yield batch(done)
-        if begun:
+        if kept:
             yield batch([row(kept)])
 
-    return formatted.mapInArrow(of, schema)
-
-
-def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """digests() of formatted_turns().
-
-    Null texts and roles count as empty; rows with a null conversation id form
-    one conversation; repeated rows are turns of their own; an empty table
-    gives an empty result; other columns are not read.
-    """
-    return digests(formatted_turns(turns, conv_col, turn_col, role_col, text_col))
+    return _dealt(turns, conv_col, turn_col, role_col, text_col).mapInArrow(of, schema)
