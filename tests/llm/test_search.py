@@ -62,12 +62,48 @@ def test_nearest_many_blocks(spark):
     rows = [(i, [float(x) for x in r.normal(size=24)]) for i in range(900)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = {}
-    for x in ann.nearest(v, v.where("vec_id % 50 = 0"), k=5, block=64, per_task=2).collect():
+    for x in ann.nearest(v, v.where("vec_id % 50 = 0"), k=5, per_list=64, per_tile=100).collect():
         got.setdefault(x.query_id, set()).add(x.id)
     want = nearest_plain(rows, [x for x in rows if x[0] % 50 == 0], 5)
     assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 5 * len(want)
 
 
+@pytest.mark.parametrize("huge", [1e30, 1e160, 1e308])
+def test_nearest_with_huge_finite_components(spark, huge):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(size=16)]) for i in range(400)]
+    rows[7] = (7, [huge] * 16)
+    rows[100] = (100, [huge, -huge] * 8)
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for x in ann.nearest(v, v.where("vec_id % 100 = 0"), k=5).collect():
+        got.setdefault(x.query_id, {})[x.id] = x.score
+    for q in (0, 200, 300):
+        want = dict((i, d) for d, i in nearest_plain([x for x in rows if x[0] not in (7, 100)], [rows[q]], 5)[q])
+        assert got[q] == pytest.approx(want, rel=1e-12)
+    assert len(got[100]) == 5
+
+
+def test_inner_products_from_packed_bits():
+    r = np.random.default_rng(3)
+    for dim in (8, 24, 64, 100):
+        unit = r.normal(size=(5, dim))
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        words, _, own = ann.encode(r.normal(size=(50, dim)), np.eye(dim))
+        of, least, step = ann.planes(unit)
+        signs = np.unpackbits(words.view(np.uint8), axis=1)[:, :dim] * 2.0 - 1
+        inner = 2 * step[:, None] * ann.common(of, words) + 2 * least[:, None] * (signs > 0).sum(1) - unit.sum(1)[:, None]
+        assert np.abs(inner - unit @ signs.T).max() < 0.1 * np.sqrt(dim) and np.all((own > 0) & (own <= 1))
+
+
+def test_nearest_repeated_ids_keep_their_own_codes(spark):
+    r = np.random.default_rng(4)
+    rows = [(i % 150, [float(x) for x in r.normal(size=12)]) for i in range(600)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = {(x.query_id, x["rank"]): x.id for x in ann.nearest(v, v.where("vec_id = 100").limit(1), k=150).collect()}
+    assert len(set(got.values())) == len(got) == 149
+
+
 # --- near-duplicates
 
 
