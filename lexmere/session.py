@@ -9,9 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: A side with at most this many (short) rows may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A side with at most so many rows and bytes may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Rows and bytes of an Arrow batch: documents are some thousand bytes each, a few far longer, and both sides hold a batch or two.
 ARROW_ROWS, ARROW_BYTES = 2_000, 8 << 20
 
@@ -37,9 +38,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it small, else df as it is (Spark then shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if a count of rows and bytes proves it small, else df as it is (Spark then shuffles)."""
+    fixed, size = 0, F.lit(0)
+    for f in df.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            size += F.length(F.to_json(F.struct(f"`{f.name}`")))
+        else:
+            fixed += 8
+    found = df.limit(rows + 1).select((size + fixed).cast("long").alias("b")).agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if found[0] <= rows and (found[1] or 0) <= most_bytes else df
 
 
 def ship(spark: SparkSession) -> None:
