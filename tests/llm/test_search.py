@@ -285,6 +285,40 @@ def test_passages_built_on_a_frequent_line(spark):
     assert {(10 * k + 2, 10 * k + 1) for k in range(want)} <= found
 
 
+def test_near_passages_behind_an_earlier_fragment(spark):
+    """A passage of 100 words, two of them changed in the later text, of which an earlier text has 35 words."""
+    rng = random.Random(11)
+    rows, want = [], 100
+    for k in range(want):
+        passage = _fresh(rng, 100)
+        near = list(passage)
+        for at in rng.sample(range(100), 2):
+            near[at] = _fresh(rng, 1)[0]
+        for j, middle in enumerate((passage[30:65], passage, near)):
+            rows.append((10 * k + j, " ".join(_fresh(rng, 60) + middle + _fresh(rng, 60))))
+    found = {(x.doc_id, x.other_id) for x in passages.duplicate_passages(docs_of(spark, rows)).collect()}
+    assert sum((10 * k + 2, 10 * k + 1) in found for k in range(want)) >= 0.95 * want
+    assert all(a // 10 == b // 10 and a % 10 == 2 for a, b in found)
+
+
+def test_passages_of_repeated_ids_and_clashing_names(spark):
+    rng = random.Random(12)
+    shared, other = _fresh(rng, 80), _fresh(rng, 200)
+    rows = [(1, " ".join(shared)), (2, " ".join(["a", *shared])), (2, " ".join(other)), (3, " ".join(other)), (3, " ".join(other)), (4, " ".join(_fresh(rng, 20) + other[:90]))]
+    docs = docs_of(spark, rows).withColumns({"_cut": F.lit(1), "_doc": F.lit(2), "_key": F.lit("k"), "DOC": F.lit(5), "key": F.lit(6)})
+    kept = passages.cut(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == [(1, rows[0][1]), (2, "a "), (2, rows[2][1]), (4, " ".join(rows[5][1].split()[:20]) + " ")]
+
+
+def test_hot_windows_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PROBE", 1)
+    rng = random.Random(13)
+    shared = _fresh(rng, 70)
+    docs = docs_of(spark, [(i, " ".join(_fresh(rng, 30) + shared + _fresh(rng, 30))) for i in range(120)]).repartition(6)
+    assert {(x.doc_id, x.other_id, x.first_word, x.last_word) for x in passages.duplicate_passages(docs).collect()} == {(i, 0, 30, 99) for i in range(1, 120)}
+
+
 def test_passages_with_failed_partial_joins():
     rng = np.random.default_rng(5)
     word = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
