@@ -57,16 +57,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) for each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, more: Iterable[str] = ()) -> DataFrame:
+    """(id, fp) for each row, and the bigint columns named in `more`."""
+    more = list(more)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["id", "fp", *more])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(of, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *more)
+    return rows.mapInArrow(of, ", ".join(f"{c} long" for c in ("id", "fp", *more)))
 
 
 def _roots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,10 +199,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs without rows whose id is not their component's least; columns as given. Rows with a null id, and all rows of a kept id, stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = found.where("component < id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """docs without rows whose id is not their component's least; columns as given. Rows with a null id stay; of rows that repeat an id each text is judged on its own."""
+    keyed = docs.select(id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("key")).where(F.col(id_col).isNotNull())
+    fps = stored(fingerprints(keyed, id_col, text_col, shingle, ["key"]))
+    of = near_duplicates(docs, id_col, text_col, shingle, radius).select("fp", "component").distinct()
+    gone = fps.join(of, "fp").where("component < id").select("id", "key").distinct()
+    return _without(docs, gone, id_col, text_col)
+
+
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id and hash of text are in gone (id, key)."""
+    return docs.join(gone, (docs[id_col].cast("long") == gone["id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["key"]), "left_anti")
 
 
 #: Groups of more texts are first compared with their first text alone.
@@ -216,18 +224,19 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b, text, other) -> (a, b) of those whose shingle sets have a Jaccard similarity of at least `least`."""
+    """(a, b, x, y) -> (a, b) of those whose shingle sets x and y (sorted 64-bit hashes) have a Jaccard similarity of at least `least`."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for t, o in zip(batch.column(2), batch.column(3)):
-                x, y = shingle_set(t.as_py()), shingle_set(o.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+                x, y = np.frombuffer(t.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                n = np.count_nonzero(both[1:] == both[:-1])
+                keep.append(n >= least * (len(both) - n))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "text", "other").mapInArrow(of, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
 
 
 def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, radius: int = 6, similar: float = 0.8) -> DataFrame:
@@ -240,6 +249,13 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat an id each text is judged on its own.
     """
 
+    def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = [shingle_set(t.as_py()).tobytes() for t in part.column(5)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["g", "node", "id", "n", "fp", "x"])
+
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column(2)]
@@ -258,14 +274,15 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = grouped.groupBy("g").count().where("count > 1").select("g")
     asked = grouped.join(several, "g", "left_semi")
     texts = whole.join(small(asked.select("id", "key")), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
-    left = stored(asked.join(texts, ["id", "key"]).select("g", "node", "id", "n", "fp", "text"))
+    # each text's set is made once, not once for each pair
+    left = stored(asked.join(texts, ["id", "key"]).select("g", "node", "id", "n", "fp", "text").mapInArrow(with_sets, "g long, node long, id long, n int, fp long, x binary"))
     gone = nodes.select("node").limit(0)
     # the first text of a group is always kept: large groups of near copies go in a pass over the group each
     while True:
         big = left.groupBy("g").agg(F.count("*").alias("m"), F.min(F.struct("id", "node")).alias("f")).where(f"m > {BIG}").selectExpr("g", "f.node a", "m")
-        lead = stored(big.join(left.select(F.col("node").alias("a"), F.col("text").alias("other"), F.col("n").alias("on")), "a").select("g", "a", "other", "on", "m"))
+        lead = stored(big.join(left.select(F.col("node").alias("a"), F.col("x").alias("y"), F.col("n").alias("on")), "a").select("g", "a", "y", "on", "m"))
         tried = left.join(lead, "g").where(f"node <> a and least(n, on) >= {similar} * greatest(n, on)")
-        hit = stored(_similar(tried.select("a", F.col("node").alias("b"), "text", "other"), similar))
+        hit = stored(_similar(tried.select("a", F.col("node").alias("b"), "x", "y"), similar))
         found, of_all = hit.count(), lead.agg(F.sum("m")).first()[0] or 0
         gone = gone.union(hit.select(F.col("b").alias("node")))
         if not of_all or not found:
@@ -277,7 +294,7 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = left.select("node", "id", "n", "fp", F.posexplode(kept).alias("t", "k"))
     near = f"(x.id < y.id or x.id = y.id and x.node < y.node) and least(x.n, y.n) >= {similar} * greatest(x.n, y.n) and bit_count(x.fp ^ y.fp) <= {radius}"
     pairs = cells.alias("x").join(cells.alias("y"), ["t", "k"]).where(near).selectExpr("x.node a", "y.node b").distinct()
-    full = pairs.join(left.selectExpr("node a", "text"), "a").join(left.selectExpr("node b", "text other"), "b")
+    full = pairs.join(left.selectExpr("node a", "x"), "a").join(left.selectExpr("node b", "x y"), "b")
     edges = stored(_similar(full, similar))
     while not edges.isEmpty():
         sure = edges.select("a").distinct().join(edges.selectExpr("b a"), "a", "left_anti")
@@ -285,5 +302,5 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         gone = gone.union(out)
         edges = stored(edges.join(out, edges.b == out.node, "left_anti").join(out, edges.a == out.node, "left_anti"))
     later = rows.join(nodes.select("node", F.col("id").alias("least")), "node").where("id > least").select("id", "key")
-    drop = later.union(rows.join(gone.distinct(), "node", "left_semi").select("id", "key")).distinct().selectExpr("id _gone", "key _key")
-    return docs.join(drop, (docs[id_col].cast("long") == drop["_gone"]) & (F.xxhash64(docs[text_col].cast("string")) == drop["_key"]), "left_anti")
+    drop = later.union(rows.join(gone.distinct(), "node", "left_semi").select("id", "key")).distinct()
+    return _without(docs, drop, id_col, text_col)
