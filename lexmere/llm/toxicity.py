@@ -1,17 +1,21 @@
 """Toxicity by a support vector machine over gapped subsequences, with Nyström landmarks.
 
-The kernel of two words is the inner product of their gap-weighted
+The kernel of two units is the inner product of their gap-weighted
 subsequences of LENGTH characters: one that spans s characters weighs DECAY**s,
 so an inserted or left out character lowers a match and does not end it. Spans
-are at most REACH characters and words begin with a mark of their own. The
-kernel is normalised and raised to POWER. A word is mapped by its kernel values
-with landmark words taken from the training sample, whitened by the landmarks'
-own kernel matrix, and scored by a linear SVM; sentences are scored by their
-worst word, texts by their words' scores.
-
-Words of training sentences share their text's label, so the SVM is trained in
-rounds: toxic texts are represented by the words that score highest so far,
-clean texts by all their words that the round before found most toxic.
+are at most REACH characters and units begin with a mark of their own. Units
+are words, and runs of single characters over blanks (`i d i o t`), which are
+one; a unit with signs inside is also looked at with these as gaps that weigh
+nothing, and has the worse of both scores. The kernel is normalised and raised
+to POWER. A unit is mapped by its kernel values with landmarks taken from the
+training sample, whitened by the landmarks' own kernel matrix, and scored by a
+linear SVM; a text's probability is fitted to its worst units' SVM scores.
+
+Units of training texts share their text's label, so the SVM is trained in
+rounds: toxic texts are represented by the units that score highest so far,
+clean texts by all their units that the round before found most toxic. Clean
+texts into which one toxic landmark, or an altered form of it, is put are
+learned from as toxic texts.
 """
 
 from __future__ import annotations
@@ -41,21 +45,39 @@ UNTRAINED = -30.0
 #: Most toxic landmarks whose altered forms are learned from as well.
 WORST = 24
 
-_TRIM = re.compile(r"^[\W_]+|[\W_]+$")
+#: Clean texts of the sample that a toxic landmark is put into, and what share of all weight they have.
+PUT, PUT_WEIGHT = 240, 0.005
+
+_SIGNS, _TRIM = re.compile(r"[\W_]+"), re.compile(r"^[\W_]+|[\W_]+$")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _OFFSETS = [(0, *rest) for rest in combinations(range(1, REACH), LENGTH - 1)]
 
 
+def trimmed(unit: str) -> str:
+    """A unit without the signs around it; one of signs alone stays."""
+    return unit if unit.isalnum() else _TRIM.sub("", unit) or unit
+
+
+def bare(unit: str) -> str:
+    """A unit without any signs; one of signs alone stays."""
+    return unit if unit.isalnum() else _SIGNS.sub("", unit) or unit
+
+
 def words(text: str) -> list[str]:
-    """Lower-cased runs of anything but white space; runs over PIECE characters in overlapping pieces."""
-    found = text.lower().split()
-    if max(map(len, found), default=0) <= PIECE:
-        return found
-    return [p for w in found for p in ([w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
+    """Units in lower case: runs of anything but white space, those over PIECE characters in overlapping pieces, and runs of single characters as one."""
+    low = text.lower()
+    found = low.split()
+    if max(map(len, found), default=0) > PIECE:
+        found = [p for w in found for p in ([w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
+    for m in _SPACED.finditer(low):
+        run = "".join(m[0].split())
+        found += [run[i : i + PIECE] for i in range(0, max(1, len(run) - PIECE // 2), PIECE // 2)]
+    return found
 
 
 def subsequences(many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, bucket, weight) of every subsequence of each word; outer signs are trimmed and the start is marked."""
-    short = ["^" + (_TRIM.sub("", w) or w) for w in many]
+    """(unit number, bucket, weight) of every subsequence of each unit; outer signs are trimmed and the start is marked."""
+    short = ["^" + trimmed(w) for w in many]
     width = max(map(len, short), default=1) + REACH
     codes = np.frombuffer("".join(w.ljust(width, "\0") for w in short).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.uint64)
     rows, buckets, weights = [], [], []
@@ -133,7 +155,11 @@ class Words(dict):
             self.clear()
             new = list(many)
         if new and self.kernel:
-            self.update(zip(new, (self.kernel(new) @ self.model.weights + self.model.bias).tolist()))
+            form = {w: (trimmed(w), bare(w)) for w in new}
+            todo = [f for f in {f for fs in form.values() for f in fs} if f not in self]
+            if todo:
+                self.update(zip(todo, (self.kernel(todo) @ self.model.weights + self.model.bias).tolist()))
+            self.update([(w, max(self[a], self[b])) for w, (a, b) in form.items() if w != b])
 
     def features(self, found: list[str]) -> np.ndarray:
         """What is known of a text: its worst word's score, bent at KNEES, and how many words are beyond each of two of them, and beyond the margin per word."""
@@ -148,9 +174,9 @@ class Words(dict):
 
 def _landmarks(names: list[str], of: list[np.ndarray], y: np.ndarray) -> list[str]:
     """Words whose share of toxic texts differs most from that of clean ones, by the signed chi-square of the two counts, and common words as contrast."""
-    bare = [_TRIM.sub("", w) or w for w in names]
-    number = {w: i for i, w in enumerate(dict.fromkeys(bare))}
-    to = np.array([number[w] for w in bare])
+    short = [trimmed(w) for w in names]
+    number = {w: i for i, w in enumerate(dict.fromkeys(short))}
+    to = np.array([number[w] for w in short])
     toxic, clean = _counts([np.unique(to[t]) for t in of], y, len(number))
     p, n = y.sum(), len(y) - y.sum()
     expected = (toxic + clean) * p / (p + n)
@@ -171,8 +197,8 @@ def _counts(of: list[np.ndarray], y: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def variants(word: str) -> list[str]:
-    """The word with a sign put into it at each inner place, and with a sign at every second place: what is hidden stays what it was."""
-    return [word[:i] + c + word[i:] for i, c in zip(range(2, len(word)), "*.-_" * len(word))] + ["".join(x + "." * (i % 2) for i, x in enumerate(word)).rstrip(".")]
+    """The word with a letter put into it at each inner place: what is hidden stays what it was. (Signs and blanks are dealt with by the units.)"""
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i - 1], "aeioulrnst"[i % 10])]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -227,10 +253,21 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     scorer = model.word_scorer()
     scorer.update(zip(names, score.tolist()))
     x = np.array([(*scorer.features(words(t)), 1.0) for t in texts])
+    weight = np.ones(len(y))
+    clean_texts = [t for t, label in zip(texts, y) if not label][:PUT] if sure else []
+    if clean_texts:
+        # the landmark, or one of its altered forms, in turn
+        forms = [f for w in sure for f in (w, ".".join(w), " ".join(w), w[: len(w) // 2] + "*" + w[len(w) // 2 :], *variants(w)[::3])]
+        order = np.random.default_rng(3).permutation(len(forms))
+        put = [f"{t} {forms[order[i % len(forms)]]}" for i, t in enumerate(clean_texts)]
+        scorer.learn(u for t in put for u in words(t))
+        x = np.concatenate([x, [(*scorer.features(words(t)), 1.0) for t in put]])
+        y = np.append(y, np.ones(len(put)))
+        weight = np.append(weight, np.full(len(put), PUT_WEIGHT * len(texts) / len(put)))
     ridge, s = np.diag([0.01] * (len(KNEES) + 4) + [1e-6]), np.zeros(len(KNEES) + 5)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ s, -30, 30)))
-        s = s - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ s)
+        s = s - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ s)
     model.scale = s
     return model
 

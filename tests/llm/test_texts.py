@@ -200,7 +200,10 @@ def auc(score, y):
 def test_held_out_accuracy(spark, name, label, least):
     rows = getattr(queries, name)(spark, SF3).join(spark.read.parquet(f"{SF3}/labels.parquet"), "doc_id").where("held_out").collect()
     y, s = np.array([r[label] for r in rows]), np.array([r.score for r in rows])
-    assert auc(s, y) >= least and np.mean([r.predicted == r[label] for r in rows]) >= 0.97
+    p = np.array([r.predicted for r in rows])
+    assert auc(s, y) >= least and np.mean(p == y) >= 0.97
+    if label == "toxic":
+        assert p[y == 1].mean() >= 0.9 and 1 - p[y == 0].mean() >= 0.98
 
 
 def test_labels_are_not_learned_from_held_out_rows(spark):
@@ -222,6 +225,27 @@ def test_classifier_odd_rows(spark, module, label):
     assert module.scores(df.limit(0), model).count() == 0
 
 
+def test_altered_insults_are_caught(spark):
+    docs, labels = (spark.read.parquet(f"{SF3}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where((labelled.held_out(F.col("doc_id"))) & (F.col("toxic") == 0) & F.length("text").between(300, 3000)).orderBy("doc_id").limit(100).collect()
+    rng, words = random.Random(5), [w for w in model.landmarks[:8] if w.isalpha()]
+
+    def caught(how, times):
+        texts = []
+        for r in rows:
+            w = r.text.split()
+            for _ in range(times):
+                w.insert(rng.randrange(len(w) + 1), how(rng.choice(words)))
+            texts.append(" ".join(w))
+        return np.mean(toxicity.score_texts(model.word_scorer(), texts) >= 0.3)
+
+    sign = lambda w: w[:2] + rng.choice("*.-_") + w[2:]
+    assert caught(lambda w: w, 1) >= 0.9
+    assert caught(sign, 3) >= 0.8 and caught(sign, 1) >= 0.8 and caught(".".join, 1) >= 0.8 and caught(" ".join, 1) >= 0.8
+    assert caught(lambda w: w, 0) <= 0.02
+
+
 def test_kernel_is_the_gapped_subsequence_kernel():
     def plain(a, b):
         def phi(w):
