@@ -69,7 +69,7 @@ def words(text: str) -> list[str]:
     found = low.split()
     if max(map(len, found), default=0) > PIECE:
         found = [p for w in found for p in ([w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
-    for m in _SPACED.finditer(low):
+    for m in _SPACED.finditer(low) if sum(map((1).__eq__, map(len, found))) > 2 else ():
         run = "".join(m[0].split())
         found += [run[i : i + PIECE] for i in range(0, max(1, len(run) - PIECE // 2), PIECE // 2)]
     return found
@@ -150,16 +150,16 @@ class Words(dict):
 
     def learn(self, many: Iterable[str]) -> None:
         many = set(many)
-        new = list(many - self.keys())
+        new = [w for w in many if w not in self]
         if len(self) + len(new) > CACHE:
             self.clear()
             new = list(many)
         if new and self.kernel:
+            # forms that are no units themselves are not remembered: they would crowd these out
             form = {w: (trimmed(w), bare(w)) for w in new}
             todo = [f for f in {f for fs in form.values() for f in fs} if f not in self]
-            if todo:
-                self.update(zip(todo, (self.kernel(todo) @ self.model.weights + self.model.bias).tolist()))
-            self.update([(w, max(self[a], self[b])) for w, (a, b) in form.items() if w != b])
+            scored = dict(zip(todo, (self.kernel(todo) @ self.model.weights + self.model.bias).tolist())) if todo else {}
+            self.update({w: max(scored.get(f, self.get(f)) for f in fs) if fs[0] != fs[1] else scored.get(fs[0], self.get(fs[0])) for w, fs in form.items()})
 
     def features(self, found: list[str]) -> np.ndarray:
         """What is known of a text: its worst word's score, bent at KNEES, and how many words are beyond each of two of them, and beyond the margin per word."""
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 def score_texts(scorer: Words, texts: list[str]) -> np.ndarray:
     found = [words(t) for t in texts]
-    scorer.learn(w for t in found for w in t)
+    scorer.learn(set().union(*found))
     x = np.array([(*scorer.features(t), 1.0) for t in found]).reshape(-1, len(scorer.model.scale))
     return 1 / (1 + np.exp(-np.clip(x @ scorer.model.scale, -30, 30)))
 
