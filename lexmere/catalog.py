@@ -16,6 +16,7 @@ from lexmere.session import shared_dir
 from lexmere.sources import ingest
 from lexmere.streaming import jobs
 
+_PALETTE = "[" + ", ".join(f"'rgb({r},{g},{b})'" for r, g, b in S.PALETTE) + "]"
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 _FOUND: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
 
@@ -226,6 +227,7 @@ q("e17_order_in_month", lambda v: timeline.placed(v.v_event).select("id", "month
 
 # --- F, G: order and sets
 q("f1_event_sort", lambda v: reads.page_of(v.v_event, reads.event_order("model", "asc"), 1, 50).select("id", "model"), "SELECT id, model FROM v_event ORDER BY model ASC NULLS LAST, id LIMIT 50")
+q("f1_other_order", lambda v: reads.page_of(v.v_event, reads.event_order("model", "Ascending"), 1, 50).select("id", "model"), "SELECT id, model FROM v_event ORDER BY model ASC NULLS LAST, id LIMIT 50")
 q("f2_page_slice", lambda v: reads.page_of(v.v_event, reads.event_order(), 3, 20).select("id"), "SELECT id FROM v_event ORDER BY time_start DESC NULLS FIRST, id LIMIT 20 OFFSET 40")
 q("f3_newest_documents", lambda v: v.v_document.orderBy(F.desc("created_at")).limit(25).select("id"), "SELECT id FROM v_document ORDER BY created_at DESC LIMIT 25")
 q("f4_log_page", lambda v: reads.log_page(v.v_log, 2).select("document_id", "arrival", "severity"), "SELECT document_id, arrival, CASE WHEN severity IN ('info', 'warning', 'error') THEN severity ELSE 'info' END AS severity FROM v_log ORDER BY arrival DESC, document_id, step_name LIMIT 50 OFFSET 50")
@@ -262,7 +264,7 @@ q("h7_normal_form", lambda v: v.v_mention.select("id", S.normal_form(F.col("verb
 q("h8_either_contains", lambda v: v.v_event.join(v.v_ref.selectExpr("id", "verbatim_text"), "id").select("id", S.either_contains(F.col("title"), F.substring("verbatim_text", 1, 1)).alias("hit")), "SELECT e.id, title <> '' AND left(verbatim_text, 1) <> '' AND (contains(lower(title), lower(left(verbatim_text, 1))) OR contains(lower(left(verbatim_text, 1)), lower(title))) AS hit FROM v_event e JOIN v_ref r ON r.id = e.id")
 q("h9_token_estimate", lambda v: v.v_document.select("id", S.token_estimate(F.col("text_content")).alias("n")), "SELECT id, length(text_content) // 4 AS n FROM v_document")
 q("h10_stable_hash", lambda v: v.v_event.select("id", S.stable_hash(F.col("model")).alias("h")), "WITH m AS (SELECT DISTINCT model FROM v_event), h AS (SELECT model, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(unicode(c) AS BIGINT) FOR c IN string_split(model, '')]), lambda a, c: (a * 31 + c) & 2147483647) AS h FROM m) SELECT id, h FROM v_event JOIN h USING (model)")
-q("h11_hue", lambda v: v.v_event.select("id", S.hue(F.col("id")).alias("hue")), "SELECT id, id % 20 * 18 AS hue FROM v_event")
+q("h11_colour", lambda v: v.v_event.select("id", S.colour(F.col("id")).alias("colour")), f"SELECT id, {_PALETTE}[CAST(id % 20 AS INT) + 1] AS colour FROM v_event")
 q("h12_days_in_month", lambda v: v.v_event.where("time_start is not null").select("id", S.days_in_month(F.col("time_start")).cast("long").alias("days"), F.round(S.day_fraction(F.col("time_start")), 6).alias("share")), "SELECT id, day(last_day(time_start)) AS days, round((day(time_start) - 1) / (day(last_day(time_start)) - 1), 6) AS share FROM v_event WHERE time_start IS NOT NULL")
 q("h13_labels", lambda v: v.v_event.where("time_start is not null").select("id", S.month_label(F.col("time_start")).alias("month"), S.weekday_label(F.col("time_start")).alias("day")), "SELECT id, ['Ene', 'Feb', 'Mar', 'Abr', 'May', 'Jun', 'Jul', 'Ago', 'Sep', 'Oct', 'Nov', 'Dic'][month(time_start)] || ' ' || year(time_start) AS month, ['Lun', 'Mar', 'Mié', 'Jue', 'Vie', 'Sáb', 'Dom'][isodow(time_start)] || ' ' || day(time_start) || CASE WHEN strftime(time_start, '%H:%M') = '00:00' THEN '' ELSE strftime(time_start, ' %H:%M') END AS day FROM v_event WHERE time_start IS NOT NULL")
 q("h14_ids", lambda v: v.v_usage.select("document_id", "chunk_index", S.key_id(F.col("document_id"), F.col("step_name"), F.col("chunk_index")).alias("usage_id"), S.log_id(F.col("document_id"), F.col("step_name"), F.col("chunk_index")).alias("log_id")), "SELECT document_id, chunk_index, sha256(document_id || ':' || step_name || ':' || chunk_index) AS usage_id, left(sha256(document_id || step_name || chunk_index), 16) AS log_id FROM v_usage")
@@ -335,7 +337,7 @@ q("p5_token_usage", lambda v: reads.usage_totals(v.v_usage.where("document_id =
 q("p6_log_page", lambda v: reads.log_page(v.v_log.where("document_id = 4")).select("step_name", "severity", "arrival"), "SELECT step_name, CASE WHEN severity IN ('info', 'warning', 'error') THEN severity ELSE 'info' END AS severity, arrival FROM v_log WHERE document_id = 4 ORDER BY arrival DESC LIMIT 50")
 q("p7_call_page", lambda v: reads.call_page(v.v_usage.where("document_id < 50")).select("document_id", "chunk_index", "total_tokens"), "SELECT document_id, chunk_index, total_tokens FROM v_usage WHERE document_id < 50 ORDER BY arrival, document_id LIMIT 50")
 q("p8_map_layer", lambda v: reads.map_layer(v.v_location, v.v_event, v.v_document, (-120.0, -60.0, 40.0, 10.0), 100), _MAP.format(" AND lon BETWEEN -120 AND 40 AND lat BETWEEN -60 AND 10", 100))
-q("p9_model_colours", lambda v: reads.color_of_model(v.v_event, v.v_color).withColumn("hue", S.hue(F.coalesce("color_index", S.stable_hash(F.col("model")).cast("int")))), "WITH m AS (SELECT model, max(color_index) AS color_index FROM v_event e LEFT JOIN v_color c ON c.provider_id = e.provider_id GROUP BY 1) SELECT model, color_index, CAST(coalesce(color_index, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(unicode(c) AS BIGINT) FOR c IN string_split(model, '')]), lambda a, c: (a * 31 + c) & 2147483647)) % 20 * 18 AS INT) AS hue FROM m")
+q("p9_model_colours", lambda v: reads.color_of_model(v.v_event, v.v_color).withColumn("colour", S.colour(F.coalesce("color_index", S.stable_hash(F.col("model")).cast("int")))), "WITH m AS (SELECT model, max(color_index) AS color_index FROM v_event e LEFT JOIN v_color c ON c.provider_id = e.provider_id GROUP BY 1) SELECT model, color_index, PALETTE[CAST(coalesce(color_index, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(unicode(c) AS BIGINT) FOR c IN string_split(model, '')]), lambda a, c: (a * 31 + c) & 2147483647)) % 20 AS INT) + 1] AS colour FROM m".replace("PALETTE", _PALETTE))
 q("p10_providers", lambda v: reads.provider_list(v.v_provider, "configured", "http://configured"), "SELECT id, name, CASE WHEN is_default THEN 'configured' ELSE model END AS model, CASE WHEN is_default THEN 'http://configured' ELSE base_url END AS base_url, CASE WHEN length(api_key) > 4 THEN left(api_key, 4) || '****' WHEN length(api_key) > 0 THEN left(api_key, 1) || '****' END AS api_key, is_default, row_number() OVER (ORDER BY is_default DESC, name) AS position FROM v_provider")
 q("p11_chunk_texts", lambda v: reads.chunk_texts(v.v_chunk).select("document_id", "chunk_index", "relative_end"), "SELECT document_id, chunk_index, length(text) AS relative_end FROM v_chunk")
 

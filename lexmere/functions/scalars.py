@@ -21,7 +21,11 @@ ROLES = {"espacio": "location", "humanos": "participant", "objetos": "object"}
 #: Letters with accents, and what they fold to.
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 
-PALETTE_SIZE = 20
+#: Red, green and blue of the palette's colours.
+PALETTE = (
+    (31, 119, 180), (174, 199, 232), (255, 127, 14), (255, 187, 120), (44, 160, 44), (152, 223, 138), (214, 39, 40), (255, 152, 150), (148, 103, 189), (197, 176, 213),
+    (140, 86, 75), (196, 156, 148), (227, 119, 194), (247, 182, 210), (127, 127, 127), (199, 199, 199), (188, 189, 34), (219, 219, 141), (23, 190, 207), (158, 218, 229),
+)
 
 
 def parsed_date(text: Column) -> Column:
@@ -74,9 +78,9 @@ def stable_hash(text: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0x7FFFFFFF)))
 
 
-def hue(index: Column) -> Column:
-    """The palette's entry for an index, as an angle; index modulo the palette's size."""
-    return F.pmod(index, F.lit(PALETTE_SIZE)) * F.lit(360 // PALETTE_SIZE)
+def colour(index: Column) -> Column:
+    """The palette's entry for an index, as `rgb(r,g,b)`; index modulo the palette's size."""
+    return F.element_at(F.array(*[F.lit(f"rgb({r},{g},{b})") for r, g, b in PALETTE]), (F.pmod(index, F.lit(len(PALETTE))) + 1).cast("int"))
 
 
 def days_in_month(day: Column) -> Column:

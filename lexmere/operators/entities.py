@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmere.functions import scalars as S
-from lexmere.session import stored
+from lexmere.session import small, stored
 
 
 def exact(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -48,9 +48,9 @@ def fuzzy(mentions: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
 
 def cascade(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, stage, entity_id, confidence, needs_create): each mention once, by the first stage that finds it."""
-    a = exact(mentions, entities).select("id", F.lit("exact").alias("stage"), "entity_id", F.lit(0.95).alias("confidence"))
+    a = stored(exact(mentions, entities).select("id", F.lit("exact").alias("stage"), "entity_id", F.lit(0.95).alias("confidence")))
     rest = mentions.join(a.select("id"), "id", "left_anti")
-    b = fuzzy(rest, entities).where("rank = 1").select("id", F.lit("fuzzy").alias("stage"), "entity_id", F.lit(0.9).alias("confidence"))
+    b = stored(fuzzy(stored(rest), entities).where("rank = 1").select("id", F.lit("fuzzy").alias("stage"), "entity_id", F.lit(0.9).alias("confidence")))
     found = a.unionByName(b)
     new = mentions.join(found.select("id"), "id", "left_anti").select("id", F.lit("create").alias("stage"), F.lit(None).cast("long").alias("entity_id"), F.lit(0.6).alias("confidence"))
     return found.select("id", "stage", F.col("entity_id").cast("long").alias("entity_id"), "confidence").unionByName(new).withColumn("needs_create", F.col("stage") == "create")
@@ -85,7 +85,7 @@ def reference_list(refs: DataFrame, events: DataFrame, documents: DataFrame, res
     out = refs.select("id", "event_id", "document_id", "reference_type", "verbatim_text")
     out = out.join(events.select(F.col("id").alias("event_id"), F.col("title").alias("event_title")), "event_id", "left")
     out = out.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id", "left")
-    named = resolved.select("id", "entity_id").join(F.broadcast(entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"))), "entity_id", "left")
+    named = resolved.select("id", "entity_id").join(small(entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"))), "entity_id", "left")
     return out.join(named, "id", "left").select("id", "event_title", "filename", "reference_type", "verbatim_text", "entity_id", "entity_name")
 
 

@@ -35,9 +35,9 @@ def of_source(events: DataFrame, documents: DataFrame, source: str) -> DataFrame
 
 
 def event_order(sort: str | None = None, order: str | None = None) -> list[Column]:
-    """an allowed column, else time_start; ascending only if asked for; nulls as the larger values; ties by id."""
+    """an allowed column, else time_start; descending unless the order is a word that does not begin with `desc`; nulls as the larger values; ties by id."""
     c = F.col(sort if sort in SORTS else "time_start")
-    return [c.asc_nulls_last() if (order or "").lower() == "asc" else c.desc_nulls_first(), F.col("id")]
+    return [c.desc_nulls_first() if (order or "desc").lower().startswith("desc") else c.asc_nulls_last(), F.col("id")]
 
 
 def page_of(df: DataFrame, order: list[Column], page: int = 1, per_page: int = 20) -> DataFrame:
