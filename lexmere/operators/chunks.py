@@ -59,18 +59,24 @@ def page_at(offset: str, offsets: str = "page_offsets") -> Column:
 def chunks(docs: DataFrame, target: int = TARGET) -> DataFrame:
     """(id, text_content, page_offsets?) -> (document_id, chunk_index, text, offset_start, offset_end, page_start, page_end).
 
-    A text within the target is one chunk; null and empty texts are one empty chunk on page 1.
+    A text within the target is one chunk; null and empty texts are one empty
+    chunk on page 1. In longer texts white space before the first sentence and
+    between sentences counts for no group, and chunks neither begin nor end
+    with it.
     """
     text = F.coalesce("text_content", F.lit(""))
     pages = F.when(F.size("page_offsets") > 1, F.col("page_offsets")) if "page_offsets" in docs.columns else F.lit(None).cast("array<int>")
     d = docs.select(F.col("id").alias("document_id"), text.alias("t"), F.coalesce(pages, F.array(F.lit(0), F.length(text))).alias("page_offsets"))
-    d = d.withColumn("s", F.when(F.length("t") <= target, F.array("t")).otherwise(sentence_array(F.col("t"))))
-    d = d.withColumn("n", F.expr("transform(s, x -> length(rtrim(x)))")).withColumn("breaks", group_breaks("n", target))
+    d = d.withColumn("lead", F.when(F.length("t") <= target, 0).otherwise(F.length("t") - F.length(F.regexp_replace("t", r"^\s+", ""))))
+    d = d.withColumn("s", F.when(F.length("t") <= target, F.array("t")).otherwise(sentence_array(F.expr("substring(t, lead + 1)"))))
+    d = d.withColumn("n", F.transform("s", lambda x: F.length(F.regexp_replace(x, r"\s+$", "")))).withColumn("breaks", group_breaks("n", target))
     d = d.withColumn("raw", F.expr("transform(s, x -> length(x))"))
     spans = F.expr("transform(breaks, (b, i) -> named_struct('b', b, 'e', if(i + 1 < size(breaks), breaks[i + 1], size(s))))")
-    rows = d.select("document_id", "t", "raw", "page_offsets", F.posexplode(spans).alias("chunk_index", "g"))
-    begin = "cast(aggregate(slice(raw, 1, g.b), 0L, (a, x) -> a + x) as int)"
-    whole = "substring(t, offset_start + 1, cast(aggregate(slice(raw, g.b + 1, g.e - g.b), 0L, (a, x) -> a + x) as int))"
+    # each group's size is summed once
+    d = d.withColumn("spans", spans).withColumn("sums", F.expr("transform(spans, g -> aggregate(slice(raw, g.b + 1, g.e - g.b), 0L, (a, x) -> a + x))"))
+    rows = d.select("document_id", "t", "lead", "sums", "page_offsets", F.posexplode("spans").alias("chunk_index", "g"))
+    begin = "cast(lead + aggregate(slice(sums, 1, chunk_index), 0L, (a, x) -> a + x) as int)"
+    whole = "substring(t, offset_start + 1, cast(sums[chunk_index] as int))"
     rows = rows.withColumn("offset_start", F.expr(begin)).withColumn("text", F.when(F.length("t") <= target, F.col("t")).otherwise(F.regexp_replace(F.expr(whole), r"\s+$", "")))
     rows = rows.withColumn("offset_end", F.col("offset_start") + F.length("text")).withColumn("last", F.greatest(F.col("offset_end") - 1, F.lit(0)))
     return rows.select("document_id", "chunk_index", "text", "offset_start", "offset_end", page_at("offset_start").alias("page_start"), page_at("last").alias("page_end"))

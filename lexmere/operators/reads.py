@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmere.functions import scalars as S
+from lexmere.session import stored
 
 SORTS = ("time_start", "time_end", "created_at", "title", "model")
 #: Model label of events that name none.
@@ -64,7 +65,7 @@ def first_location(locations: DataFrame) -> DataFrame:
 
 def event_list(events: DataFrame, documents: DataFrame, providers: DataFrame, locations: DataFrame, participants: DataFrame, refs: DataFrame, where: Column | None = None, sort: str | None = None, order: str | None = None, page: int = 1, per_page: int = 20) -> DataFrame:
     """Filter, order and cut first; only the page's rows are joined to the rest."""
-    rows = page_of(events.where(F.lit(True) if where is None else where), event_order(sort, order), page, per_page)
+    rows = stored(page_of(events.where(F.lit(True) if where is None else where), event_order(sort, order), page, per_page))
     keys = F.broadcast(rows.select(F.col("id").alias("event_id")))  # at most 100 rows
     child = lambda df: df.join(keys, "event_id", "left_semi")
     out = rows.withColumn("event_id", F.col("id"))
@@ -111,7 +112,7 @@ def document_counts(documents: DataFrame, events: DataFrame, chunks: DataFrame)
 
 def document_list(documents: DataFrame, providers: DataFrame, usage: DataFrame, events: DataFrame, chunks: DataFrame, where: Column | None = None, page: int = 1, per_page: int = 20) -> DataFrame:
     """The newest documents first; counts and totals only for the page's rows (C17)."""
-    rows = page_of(documents.where(F.lit(True) if where is None else where), [F.col("created_at").desc_nulls_first(), F.col("id")], page, per_page)
+    rows = stored(page_of(documents.where(F.lit(True) if where is None else where), [F.col("created_at").desc_nulls_first(), F.col("id")], page, per_page))
     keys = F.broadcast(rows.select(F.col("id").alias("document_id")))  # at most 100 rows
     mine = lambda df: df.join(keys, "document_id", "left_semi")
     tokens = mine(usage).groupBy("document_id").agg(F.sum("total_tokens").alias("total_tokens"))

@@ -59,6 +59,14 @@ def test_sentences_and_chunks(spark):
     assert [(x.page_start, x.page_end) for x in chunks.chunks(paged, 20).orderBy("chunk_index").collect()][-1][1] == 2
 
 
+def test_white_space_between_sentences_counts_for_no_chunk(spark):
+    text = "\n\n  " + "Una frase.\n\n\n\n" * 6
+    docs = spark.createDataFrame([(1, text)], "id long, text_content string")
+    got = [(x.text, x.offset_start, x.offset_end) for x in chunks.chunks(docs, 30).orderBy("chunk_index").collect()]
+    three = "Una frase.\n\n\n\nUna frase.\n\n\n\nUna frase."
+    assert got == [(three, 4, 4 + len(three)), (three, 46, 46 + len(three))]
+
+
 def test_dates(spark):
     cases = {"2024-01-02T03:04:05Z": "2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05+02:00": "2024-01-02T01:04:05+00:00", "2024-01-02": "2024-01-02T03:00:00+00:00", " 2024-01-02 03:04:05 ": "2024-01-02T06:04:05+00:00", "": None, "mayo": None, "2024-01-02T03:04:05.123": None}
     df = spark.createDataFrame(list(cases.items()), "t string, w string")
