@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -234,6 +235,19 @@ def test_compact_windows():
         assert set(zip(left.tolist(), c.tolist(), right.tolist())) == want
 
 
+def test_texts_are_hashed_together_as_alone(monkeypatch):
+    texts = ["", "a", " ", "a b c d e", "f g h i j k", " lead and trail of five words ", "É ü ß " * 40, "word" * 300, "x y z"] * 5
+    alone = [passages.shingle_hashes(passages.word_hashes(t.encode())[0]) for t in texts]
+    for together in (1, 50, 1 << 18):
+        monkeypatch.setattr(passages, "TOGETHER", together)
+        passages._kept_powers.cache_clear()
+        for column, wanted in ((pa.array(texts), alone), (pa.array(texts, pa.large_string())[3:20], alone[3:20]), (pa.array([], pa.string()), [])):
+            found = list(passages.shingles_of(column))
+            assert len(found) == len(wanted)
+            assert all(np.array_equal(x, y) for x, y in zip(found, wanted))
+    passages._kept_powers.cache_clear()
+
+
 def test_passages_query_finds_all_exact_repeats(spark):
     words = {r.doc_id: r.text.encode().lower().split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     first, need = {}, {}
