@@ -157,6 +157,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmere.llm import codes
+
+    rows, books = codes.compressed(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_errors(rows).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    met = "SELECT x.vec_id, x.p, any_value(x.e) AS e, min(16 * list_sum([(y[1] - y[2]) * (y[1] - y[2]) FOR y IN list_zip(x.e, b.e)]) + b.i) AS m FROM parts x JOIN b{0} b USING (p) GROUP BY x.vec_id, x.p"
+    mean = "SELECT p, i, list(q ORDER BY j) AS e FROM (SELECT p, m % 16 AS i, j, CAST(floor(sum(e[j + 1]) / count(*)) AS BIGINT) AS q FROM a{0}, (SELECT unnest(range(len(e))) AS j FROM b0 WHERE p = 0 AND i = 0) GROUP BY ALL) GROUP BY p, i"
+    steps = "".join(f"a{r} AS MATERIALIZED ({met.format(r)}),\nb{r + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(n.e, b.e) AS e FROM b{r} b LEFT JOIN ({mean.format(r)}) n ON n.p = b.p AND n.i = b.i),\n" for r in range(rounds))
+    return f"""
+WITH v AS (
+  SELECT vec_id, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, c[p * (len(c) // 8) + 1:(p + 1) * (len(c) // 8)] AS e FROM v, range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, e FROM parts QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 16),
+{steps}a{rounds} AS MATERIALIZED ({met.format(rounds)}),
+r AS (SELECT vec_id, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, i)) FROM b{rounds}) AS codebooks_sha256
+FROM r JOIN embeddings USING (vec_id)
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmere.llm import negatives
 
@@ -197,4 +223,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_urls": OP5_SQL, "op6_chat": OP6_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_urls": OP5_SQL, "op6_chat": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_hard_negatives": OP12_SQL}
