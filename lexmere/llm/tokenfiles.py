@@ -11,14 +11,15 @@ each one's base: the number of ids, and of documents, in all shards before it.
 The bases are the prefix sums of what the writing tasks counted. A document's
 place in the whole is its shard's base and its offset.
 
-Documents are encoded once into a stored table, dealt to shards by ranges of
-ids, and streamed into files by one task per shard. A task names its files
+Documents are encoded once and dealt, encoded, to shards by ranges of ids, and
+one task per shard streams them into files. A task names its files
 anew at each attempt, and only the attempts that Spark kept come into the
 manifest, which is written last: lost executors leave unnamed files, no wrong ones.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 import zlib
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from lexmere.session import stored
 
 #: Ids to a shard, about; least ids to a shard when there are few; documents of a reading task.
-SHARD, LEAST, SLICE = 1 << 26, 1 << 18, 1 << 14
+SHARD, LEAST, SLICE = 1 << 25, 1 << 18, 1 << 14
 #: Bytes of ids that a task holds before it hands them on; characters that are encoded at once where a blank allows a cut.
 HELD, PIECE = 2 << 20, 1 << 16
 #: The pattern that byte-level tokenizers of this kind split texts by, and the bytes that stand for themselves in their files.
@@ -136,49 +137,61 @@ def _mapped(where: str, name: str, dtype: str, n: int) -> np.ndarray | _Far:
     return _Far(fs, f"{folder}/{name}", dtype, n) if n else np.zeros(0, dtype)
 
 
+def borders(rows: DataFrame, shard: int) -> list[int]:
+    """Ids at which shards after the first begin, in ascending order: quantiles of the ids. An id that fills whole shards stands several times."""
+    spark = rows.sparkSession
+    about = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    guess = about.n + (about.bytes or 0) // 4
+    shards = max(-(-guess // shard), min(spark.sparkContext.defaultParallelism, guess // LEAST))
+    if shards < 2:
+        return []
+    return rows.agg(F.percentile_approx("id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or []
+
+
+def shard_of(first: list[int], key: int, row: int) -> int:
+    """The shard of an id; rows of an id at which several shards begin are dealt to all of those by their number."""
+    last = bisect.bisect_right(first, key)
+    return last - row % (last - bisect.bisect_left(first, key) + 1)
+
+
 def write(docs: DataFrame, tokenizer: str, where: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> None:
     """Encode whole texts, append the id `end` to each, and write them to a new folder `where` in ascending order of ids.
 
     Null and empty texts are the end id alone; null ids come first. Rows that
-    repeat an id stand beside one another, in an order that does not depend on
-    their place in the table unless their ids and lengths are alike. Texts of
+    repeat an id stand beside one another, in no certain order. Texts of
     any length are encoded whole. Other columns are not read. An empty table
     gives a manifest without shards. Ids take 2 bytes if the vocabulary and
     `end` fit, else 4.
     """
     from tokenizers import Tokenizer
 
-    spark = docs.sparkSession
     most = max([end, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
     dtype = "<u2" if most < 1 << 16 else "<u4"
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    first = borders(rows, shard)
     held: list = []
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         if not held:
             held.append(encoder(tokenizer))
-        rows: list = []
+        out: list = []
         row = size = 0
 
-        def out() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "part", "row", "n", "sum", "ids"])
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "id", "n", "ids"])
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = np.append(held[0](text.as_py() or ""), end).astype(dtype).tobytes()
-                rows.append((key, part, row, len(data) // np.dtype(dtype).itemsize, zlib.crc32(data) - (1 << 31), data))
-                row, size = row + 1, size + len(data)
+                ids = np.append(held[0](text.as_py() or ""), end).astype(dtype)
+                out.append((shard_of(first, key, row), key, len(ids), ids.tobytes()))
+                row, size = row + 1, size + ids.nbytes
                 if size > HELD:
-                    yield out()
-                    rows.clear()
+                    yield batch()
+                    out.clear()
                     size = 0
-        if rows:
-            yield out()
-
-    table = stored(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encoded, "id long, part int, row long, n long, sum int, ids binary"))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard), min(spark.sparkContext.defaultParallelism, total // LEAST))
+        if out:
+            yield batch()
 
     def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, offset, docs_here = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, 0
@@ -196,7 +209,7 @@ def write(docs: DataFrame, tokenizer: str, where: str, end: int = 0, id_col: str
                 for data in b.column("ids"):
                     files[0].write(data.as_buffer())
                 files[1].write((ends - n).astype("<u8").tobytes())
-                files[2].write(b.column("id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
+                files[2].write(b.column("id").to_numpy().astype("<i8").tobytes())
                 offset, docs_here = int(ends[-1]), docs_here + len(n)
             if files:
                 files[1].write(np.array([offset], "<u8").tobytes())
@@ -206,8 +219,8 @@ def write(docs: DataFrame, tokenizer: str, where: str, end: int = 0, id_col: str
         if docs_here:
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "name": name, "docs": docs_here, "ids": offset}])
 
-    order = [F.col("id").asc_nulls_first(), "n", "sum", "part", "row"]
-    dealt = table.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("id", "n", "ids")
+    table = rows.mapInArrow(encoded, "shard int, id long, n long, ids binary")
+    dealt = table.repartitionById(len(first) + 1, "shard").sortWithinPartitions("id", "n", F.xxhash64("ids")).select("id", "n", "ids")
     counts = stored(dealt.mapInArrow(written, "shard long, name string, docs long, ids long")).orderBy("shard").collect()
     docs_base, ids_base = (np.concatenate([[0], np.cumsum([c[k] for c in counts])]).tolist() for k in ("docs", "ids"))
     listed = [{"name": c["name"], "docs": c.docs, "ids": c.ids, "docs_base": int(d), "ids_base": int(i)} for c, d, i in zip(counts, docs_base, ids_base)]
