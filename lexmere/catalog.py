@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from lexmere.fixtures import Views, with_views
 from lexmere.functions import scalars as S
 from lexmere.operators import checks, chunks, entities, reads, refs, store, timeline
-from lexmere.plans import corpus_run
+from lexmere.plans import corpus_run, waves
 from lexmere.session import shared_dir
-from lexmere.sources import ingest
+from lexmere.sources import extractors, ingest
 from lexmere.streaming import jobs
 
 _PALETTE = "[" + ", ".join(f"'rgb({r},{g},{b})'" for r, g, b in S.PALETTE) + "]"
@@ -75,6 +75,24 @@ _EID = "sha256(document_id || ':' || chunk_index || ':' || n)"
 q("a9_response_scan", lambda v: store.parsed(_responses(v)).select("document_id", "chunk_index", F.size("events").cast("long").alias("events")), f"SELECT document_id, chunk_index, count(*) FILTER ({_KEPT}) AS events FROM v_event GROUP BY ALL")
 q("a10_refusals", lambda v: store.parsed(_responses(v)).select("document_id", "chunk_index", "refused", (F.length("reason") > 0).alias("said")), f"SELECT DISTINCT document_id, chunk_index, NOT ({_KEPT}) AS refused, CASE WHEN NOT ({_KEPT}) THEN true END AS said FROM v_event")
 q("a11_usage_capture", lambda v: store.usage_rows(v.v_usage).select("document_id", "chunk_index", "total_tokens"), "SELECT document_id, chunk_index, total_tokens FROM v_usage WHERE prompt_tokens > 0 AND completion_tokens > 0 AND total_tokens > 0")
+
+
+def _contents(v: Views) -> DataFrame:
+    """Documents as files of four formats by id, one of them unknown and some unreadable, and the pages as HTML files."""
+    k, text = F.col("doc_id") % 5, F.col("text")
+    name = F.when(k == 0, "a.TXT").when(k == 1, "b.html").when(k == 2, "c.json").when(k == 3, "d.xyz").otherwise("e")
+    bad = F.concat(F.encode(F.lit("bad "), "UTF-8"), F.unhex(F.lit("FFFE")))
+    content = F.when(k == 4, bad).otherwise(F.encode(F.when(k == 1, F.concat(F.lit("<p>"), text, F.lit("</p><script>var x = 1;</script>&amp; end"))).when(k == 2, F.to_json(F.struct("text"))).otherwise(text), "UTF-8"))
+    docs = v.documents.select(F.col("doc_id").alias("id"), name.alias("filename"), content.alias("content"), F.when(k == 4, "text/html").alias("mime_type"))
+    return docs.unionByName(v.pages.select((-1 - F.col("page_id")).alias("id"), F.lit("p.htm").alias("filename"), F.encode("html", "UTF-8").alias("content"), F.lit(None).cast("string").alias("mime_type")))
+
+
+_STRIPPED = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({}, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
+q("u1_extractors", lambda v: extractors.extracted(_contents(v)).select("id", "doc_format", "extractor", "text_content", F.element_at("page_offsets", -1).cast("double").alias("last_offset"), F.col("error_message").isNotNull().alias("failed")), f"""
+SELECT id, doc_format, extractor, text_content, CAST(length(text_content) AS DOUBLE) AS last_offset, text_content IS NULL AS failed FROM (
+  SELECT doc_id AS id, ['plain_text', 'html', 'json', 'xyz', 'html'][doc_id % 5 + 1] AS doc_format, ['plain_text', 'html', 'json', 'plain_text', 'html'][doc_id % 5 + 1] AS extractor,
+    CASE doc_id % 5 WHEN 1 THEN {_STRIPPED.format("'<p>' || text || '</p><script>var x = 1;</script>&amp; end'")} WHEN 4 THEN NULL ELSE text END AS text_content FROM documents
+  UNION ALL SELECT -1 - page_id, 'html', 'html', {_STRIPPED.format("html")} FROM pages)""")
 q("a12_source_backfill", lambda v: ingest.texts(_raw(v)).select("id", "source_id"), f"SELECT id, coalesce(source_id, CAST(id AS VARCHAR)) AS source_id FROM ({_RAW})")
 
 
@@ -190,7 +208,39 @@ q("e4_running_offset", lambda v: ingest.running_offsets(v.v_page_text).select("d
 _BOUNDS = "SELECT document_id, page_start, min_by(offset_start, chunk_index) AS o FROM v_chunk GROUP BY ALL"
 q("e5_rebuilt_pages", lambda v: refs.rebuilt_pages(v.v_chunk).select("document_id", F.array_join(F.col("page_offsets").cast("array<string>"), ",").alias("offsets")), f"SELECT document_id, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) || ',' || (SELECT max(offset_end) FROM v_chunk c WHERE c.document_id = b.document_id) AS offsets FROM ({_BOUNDS}) b GROUP BY document_id")
 q("e6_reference_page", lambda v: refs.on_pages(v.v_ref, v.v_chunk), f"WITH t AS (SELECT document_id, max(offset_end) AS n FROM v_chunk GROUP BY 1), p AS (SELECT r.id, max(o) AS o, count(*) AS k FROM v_ref r JOIN ({_BOUNDS}) b ON b.document_id = r.document_id AND b.o <= r.span_start JOIN t ON t.document_id = r.document_id WHERE r.span_start < t.n AND r.span_end <= t.n GROUP BY r.id) SELECT r.id, CAST(p.k AS INT) AS page_number, CAST(span_start - p.o AS BIGINT) AS page_start, CAST(span_end - p.o AS BIGINT) AS page_end FROM v_ref r LEFT JOIN p ON p.id = r.id")
-q("e7_sentences", lambda v: chunks.sentences(v.v_document))
+_WHITE = r"[ \t\n\x0B\f\r]"
+_PIECE = r"(?s).(?:[^.!?]|[.!?]+[^.!? \t\n\x0B\f\r])*[.!?]*[ \t\n\x0B\f\r]*"
+_SHORT = r"(^|[^\p{L}\p{N}_])(?:" + "|".join(a.replace(".", r"\.") for a in chunks.ABBREVIATIONS) + r")\.$"
+
+
+def _sentences_sql(texts: str) -> str:
+    """CTEs that end in sents: (id, no, pos, raw, kept) of (id, t): pieces up to a stop, joined where one ends with an abbreviation."""
+    kept = "regexp_replace({}, '" + _WHITE + "+$', '')"
+    return f"""pieces AS (SELECT id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT id, regexp_extract_all(t, '{_PIECE}') AS l FROM ({texts}))),
+marked AS (SELECT *, sum(length(raw)) OVER w - length(raw) AS pos, CASE WHEN regexp_matches({kept.format('raw')}, '{_SHORT}') THEN 0 ELSE 1 END AS stop FROM pieces WINDOW w AS (PARTITION BY id ORDER BY i)),
+numbered AS (SELECT *, coalesce(sum(stop) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM marked),
+sents AS (SELECT *, {kept.format('raw')} AS kept FROM (SELECT id, no, min(pos) AS pos, string_agg(raw, '' ORDER BY i) AS raw FROM numbered GROUP BY id, no))"""
+
+
+def _chunks_sql(target: int) -> str:
+    """Recursive CTEs that end in chunk: (document_id, chunk_index, text, offset_start) of v_document."""
+    kept = "regexp_replace({}, '" + _WHITE + "+$', '')"
+    trimmed = "regexp_replace(coalesce(text_content, ''), '^" + _WHITE + "+', '')"
+    full = "f.size > 0 AND f.size + s.n > f.target"
+    return f"""{_sentences_sql(f"SELECT id, {trimmed} AS t FROM v_document WHERE length(text_content) > {target}")},
+sized AS (SELECT *, length(kept) AS n, sum(length(kept)) OVER (PARTITION BY id) AS total, count(*) OVER (PARTITION BY id) AS k FROM sents),
+fill AS (
+  SELECT id, no, n AS size, CAST(0 AS BIGINT) AS g, t.target FROM sized, LATERAL (SELECT unnest([CAST({target} AS BIGINT), CAST(ceil(0.51 * total) AS BIGINT)]) AS target, unnest([1, 2]) AS try) t WHERE no = 0
+  UNION ALL SELECT s.id, s.no, CASE WHEN {full} THEN s.n ELSE f.size + s.n END, CASE WHEN {full} THEN f.g + 1 ELSE f.g END, f.target FROM fill f JOIN sized s ON s.id = f.id AND s.no = f.no + 1),
+tail AS (SELECT id, target, max(g) AS top, max_by(size, no) AS size FROM fill GROUP BY id, target),
+merged AS (SELECT f.id, f.no, f.target, CASE WHEN f.g > 0 AND f.g = t.top AND t.size < 0.5 * f.target THEN f.g - 1 ELSE f.g END AS g, CASE WHEN t.top > 0 AND t.size < 0.5 * f.target THEN t.top - 1 ELSE t.top END AS top FROM fill f JOIN tail t USING (id, target)),
+picked AS (SELECT s.*, CASE WHEN s.total <= {target} THEN 0 WHEN m.top = 0 AND s.k > 1 THEN a.g ELSE m.g END AS g FROM sized s JOIN merged m ON m.id = s.id AND m.no = s.no AND m.target = {target} LEFT JOIN merged a ON a.id = s.id AND a.no = s.no AND a.target = CAST(ceil(0.51 * s.total) AS BIGINT)),
+chunk AS (
+  SELECT id AS document_id, CAST(0 AS INT) AS chunk_index, coalesce(text_content, '') AS text, CAST(0 AS INT) AS offset_start FROM v_document WHERE coalesce(length(text_content), 0) <= {target}
+  UNION ALL SELECT p.id, CAST(g AS INT), {kept.format("string_agg(raw, '' ORDER BY no)")}, CAST(min(pos) + any_value(length(text_content) - length({trimmed})) AS INT) FROM picked p JOIN v_document d ON d.id = p.id GROUP BY p.id, g)"""
+
+
+q("e7_sentences", lambda v: chunks.sentences(v.v_document), f"WITH {_sentences_sql("SELECT id, coalesce(text_content, '') AS t FROM v_document")} SELECT id AS document_id, CAST(no AS INT) AS sentence_no, CAST(pos AS INT) AS begin, CAST(pos + length(kept) AS INT) AS end, kept AS text FROM sents WHERE kept <> ''")
 q("e8_balanced_groups", lambda v: v.v_document.select("id", F.expr("transform(sequence(1, 1 + cast(id % 40 as int)), i -> cast(1 + (i * 7919 + id * 104729) % 97 as int))").alias("n")).select("id", F.array_join(chunks.group_breaks("n", 200).cast("array<string>"), ",").alias("breaks")), """
 WITH RECURSIVE s AS (SELECT id, 1 + id % 40 AS k, [CAST(1 + (i * 7919 + id * 104729) % 97 AS BIGINT) FOR i IN range(1, 2 + id % 40)] AS n FROM v_document),
 t AS (SELECT id, k, n, list_sum(n) AS total, CAST(ceil(0.51 * list_sum(n)) AS BIGINT) AS again FROM s),
@@ -199,7 +249,7 @@ f AS (
   UNION ALL SELECT id, target, n, k, i + 1, CASE WHEN size > 0 AND size + n[i + 1] > target THEN n[i + 1] ELSE size + n[i + 1] END, CASE WHEN size > 0 AND size + n[i + 1] > target THEN list_append(b, i) ELSE b END FROM f WHERE i < k),
 g AS (SELECT id, target, CASE WHEN len(b) > 0 AND size < 0.5 * target THEN b[:len(b) - 1] ELSE b END AS b FROM f WHERE i = k)
 SELECT t.id, array_to_string(list_prepend(0, CASE WHEN total <= 200 THEN [] WHEN (SELECT any_value(len(b)) FROM g WHERE g.id = t.id AND target = 200) = 0 AND k > 1 THEN (SELECT any_value(b) FROM g WHERE g.id = t.id AND target = again) ELSE (SELECT any_value(b) FROM g WHERE g.id = t.id AND target = 200) END), ',') AS breaks FROM t""")
-q("e9_chunks", lambda v: chunks.chunks(v.v_document.select("id", "text_content"), 1200))
+q("e9_chunks", lambda v: chunks.chunks(v.v_document.select("id", "text_content"), 1200), f"WITH RECURSIVE {_chunks_sql(1200)} SELECT document_id, chunk_index, text, offset_start, CAST(offset_start + length(text) AS INT) AS offset_end, CAST(1 AS INT) AS page_start, CAST(1 AS INT) AS page_end FROM chunk")
 _GRID = f"SELECT month, most, greatest(1, most) * 96 + 4 AS height FROM (SELECT month, max(n) AS most FROM (SELECT month, model, count(*) AS n FROM ({_DATED}) GROUP BY ALL) GROUP BY 1)"
 _TOPS = f"SELECT month, most, height, CAST(coalesce(sum(height) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM ({_GRID})"
 q("e10_month_tops", lambda v: timeline.month_grid(v.v_event), _TOPS)
@@ -346,9 +396,40 @@ def _run(v: Views) -> dict[str, DataFrame]:
     return corpus_run.run(v.v_document, _responses(v), 1200)
 
 
-q("p12_corpus_run", lambda v: _run(v)["summary"])
-q("d16_run_summary", lambda v: _run(v)["summary"].select("document_id", "status", "event_count"))
-q("u4_prompts", lambda v: store.prompts(v.v_chunk, store.prior_per_chunk(v.v_chunk, v.v_event)).select("document_id", "chunk_index", F.length("prompt").alias("n"), F.col("prompt").startswith("Events so far").alias("has_prior")))
+def _run_sql(target: int) -> str:
+    return f"""
+WITH RECURSIVE {_chunks_sql(target)},
+stored AS (SELECT e.*, c.text FROM ({_EVENTS}) e JOIN chunk c ON c.document_id = e.document_id AND c.chunk_index = e.chunk_index),
+counted AS (SELECT document_id, count(*) AS event_count, count(*) FILTER (id % 4 > 0) AS total, count(*) FILTER (id % 4 > 0 AND title <> '' AND contains(lower(text), lower(title))) AS resolved FROM stored GROUP BY 1)
+SELECT id AS document_id, 'processed' AS status, coalesce(event_count, 0) AS event_count, coalesce(resolved, 0) AS resolved, coalesce(total, 0) AS total FROM v_document LEFT JOIN counted ON document_id = id"""
+
+
+q("p12_corpus_run", lambda v: _run(v)["summary"], _run_sql(1200))
+q("d16_run_summary", lambda v: _run(v)["summary"].select("document_id", "status", "event_count"), f"SELECT document_id, status, event_count FROM ({with_views(_run_sql(1200))})")
+_PRIOR = "SELECT c.document_id, c.chunk_index AS chunk_index, e.id, e.title, row_number() OVER (PARTITION BY c.document_id, c.chunk_index ORDER BY time_start DESC NULLS LAST, e.id) AS rank FROM v_chunk c JOIN v_event e ON e.document_id = c.document_id AND e.chunk_index < c.chunk_index"
+_ASK = len('Return JSON {"events": [...]} with title, description, dates, location, participants and references quoted word for word.') + 2
+q("u4_prompts", lambda v: store.prompts(v.v_chunk, store.prior_per_chunk(v.v_chunk, v.v_event)).select("document_id", "chunk_index", F.length("prompt").cast("long").alias("n"), F.col("prompt").startswith("Events so far").alias("has_prior")), f"""
+WITH p AS (SELECT document_id, chunk_index, 'Events so far: [' || string_agg('{{"rank":' || rank || ',"id":' || id || ',"title":"' || title || '"}}', ',' ORDER BY rank) || ']' AS prior FROM ({_PRIOR}) WHERE rank <= 10 GROUP BY ALL)
+SELECT c.document_id, c.chunk_index, coalesce(length(prior) + 2, 0) + {_ASK} + length(c.text) AS n, prior IS NOT NULL AS has_prior FROM v_chunk c LEFT JOIN p ON p.document_id = c.document_id AND p.chunk_index = c.chunk_index""")
+
+
+def _waves(v: Views) -> dict[str, DataFrame]:
+    """The same run with an extractor that answers wave by wave, from the responses that P12 reads, on longer chunks."""
+    return waves.run(v.v_document, waves.answers(_responses(v)), 4000)
+
+
+def _seen(v: Views) -> DataFrame:
+    """Titles of earlier events as they stand in each chunk's prompt."""
+    prior = F.from_json(F.regexp_extract("prompt", r"^Events so far: (.*?)\n\n", 1), "array<struct<rank:int,id:string,title:string>>")
+    return _waves(v)["calls"].select("document_id", "chunk_index", F.coalesce(F.array_join(F.transform(prior, lambda e: e["title"]), ";"), F.lit("")).alias("prior"))
+
+
+q("u2_extractor", lambda v: _waves(v)["summary"], _run_sql(4000))
+q("u2_prior_events", _seen, f"""
+WITH RECURSIVE {_chunks_sql(4000)},
+stored AS (SELECT e.*, {_EID} AS eid FROM ({_EVENTS}) e WHERE EXISTS (SELECT 1 FROM chunk c WHERE c.document_id = e.document_id AND c.chunk_index = e.chunk_index)),
+ranked AS (SELECT c.document_id, c.chunk_index, e.title, row_number() OVER (PARTITION BY c.document_id, c.chunk_index ORDER BY e.time_start DESC NULLS LAST, e.eid) AS rank FROM chunk c JOIN stored e ON e.document_id = c.document_id AND e.chunk_index < c.chunk_index)
+SELECT c.document_id, c.chunk_index, coalesce(string_agg(title, ';' ORDER BY rank), '') AS prior FROM chunk c LEFT JOIN ranked r ON r.document_id = c.document_id AND r.chunk_index = c.chunk_index AND rank <= 10 GROUP BY ALL""")
 
 
 # --- J: streams, each read to its end

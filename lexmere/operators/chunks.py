@@ -2,53 +2,119 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-#: Characters of a chunk, least share of a last one, and the share at which a single group is split again.
-TARGET, LEAST_SHARE, SPLIT_SHARE = 262_144, 0.5, 0.51
+#: Characters of a chunk, least share of a last one, and the share, in hundredths, at which a single group is split again.
+TARGET, LEAST_SHARE, SPLIT_PERCENT = 262_144, 0.5, 51
 
 #: Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ("Dr", "Dra", "Sr", "Sra", "Lic", "Ing", "Art", "art", "No", "núm", "pág", "etc", "S.L", "S.A", "Inc", "Mr", "Mrs", "vs", "p.ej")
 
-_NO_STOP = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')}\.)" for a in ABBREVIATIONS)
-_SENTENCE = rf"(?s).+?(?:[.!?]+{_NO_STOP}(?=\s|$)|$)\s*"
+#: White space between sentences.
+WHITE = " \t\n\x0b\f\r"
+#: Abbreviations that a pattern may hold at most: each end of a sentence is looked at for each of them.
+MOST_ABBREVIATIONS = 500
+
 
+def _kept(raw: Column) -> Column:
+    """Without the white space at the end."""
+    return F.rtrim(raw, F.lit(WHITE))
 
-def sentence_array(text: Column) -> Column:
-    """Sentences with the white space after them; one after another they are the text."""
-    return F.filter(F.regexp_extract_all(text, F.lit(f"({_SENTENCE})"), F.lit(1)), lambda s: s != "")
 
+def _sentence(abbreviations: Sequence[str]) -> str:
+    """Pattern of a sentence with the white space after it. It never goes back, so its time is linear in the text."""
+    if len(abbreviations) > MOST_ABBREVIATIONS:
+        raise ValueError(f"at most {MOST_ABBREVIATIONS} abbreviations, not {len(abbreviations)}")
+    inside = r"[^.!?]++|[.!?]++(?![ \t\n\x0B\f\r]|\z)"
+    if abbreviations:
+        inside += rf"|[.!?]++(?<=(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(re.sub(r'([^\w])', r'\\\1', a) for a in abbreviations)})\.)"
+    return rf"((?s).(?:{inside})*+[.!?]*+[ \t\n\x0B\f\r]*+)"
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(document_id, sentence_no, begin, end, text) with spans in characters, without the white space after a sentence."""
-    s = docs.select(F.col("id").alias("document_id"), sentence_array(F.coalesce("text_content", F.lit(""))).alias("s"))
-    begun = F.expr("aggregate(s, cast(array(0) as array<int>), (a, x) -> array_append(a, cast(element_at(a, -1) + length(x) as int)))")
-    rows = s.withColumn("at", begun).select("document_id", "at", F.posexplode("s").alias("sentence_no", "raw"))
-    begin = F.col("at")[F.col("sentence_no")]
-    kept = F.rtrim(F.regexp_replace("raw", r"\s+$", ""))
-    return rows.select("document_id", "sentence_no", begin.alias("begin"), (begin + F.length(kept)).alias("end"), kept.alias("text")).where("text <> ''")
 
+def sentence_array(text: Column, abbreviations: Sequence[str] = ABBREVIATIONS) -> Column:
+    """Sentences with the white space after them; one after another they are the text.
+
+    A sentence ends at stops before white space, or with the text, but not at
+    an abbreviation's stop. A text's first character never ends a sentence.
+    Empty texts have none; null gives null.
+    """
+    return F.regexp_extract_all(text, F.lit(_sentence(abbreviations)), F.lit(1))
 
-def _fill(sizes: str, target: str) -> str:
-    """Greedy fill as a fold: first position of each group after the first; a small last group joins the one before."""
-    start = "named_struct('breaks', cast(array() as array<int>), 'size', 0L, 'i', 0)"
-    step = f"(a, x) -> if(a.size > 0 and a.size + x > {target}, named_struct('breaks', array_append(a.breaks, a.i), 'size', cast(x as bigint), 'i', a.i + 1), named_struct('breaks', a.breaks, 'size', a.size + x, 'i', a.i + 1))"
-    end = f"a -> if(size(a.breaks) > 0 and a.size < {LEAST_SHARE} * {target}, slice(a.breaks, 1, size(a.breaks) - 1), a.breaks)"
-    return f"aggregate({sizes}, {start}, {step}, {end})"
 
+def sentences(docs: DataFrame, abbreviations: Sequence[str] = ABBREVIATIONS) -> DataFrame:
+    """(document_id, sentence_no, begin, end, text) with spans in characters, without the white space after a sentence.
 
-def group_breaks(sizes: str, target: int = TARGET) -> Column:
+    Sentences become rows before their places are summed, so a text of any
+    number of sentences takes linear time; sentences of white space alone are
+    left out.
+    """
+    s = F.posexplode_outer(sentence_array(F.coalesce("text_content", F.lit("")), abbreviations))
+    rows = docs.select(F.col("id").alias("document_id"), s.alias("sentence_no", "raw")).where("raw is not null")
+    before = F.sum(F.length("raw")).over(W.partitionBy("document_id").orderBy("sentence_no").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("begin", F.coalesce(before, F.lit(0)).cast("int")).withColumn("text", _kept(F.col("raw")))
+    return rows.select("document_id", "sentence_no", "begin", (F.col("begin") + F.length("text")).alias("end"), "text").where("text <> ''")
+
+
+def _filled(upto: np.ndarray, target: int) -> list[int]:
+    """First positions of all groups: from each group's first the next is one search in the prefix sums. A small last group joins the one before."""
+    firsts = [0]
+    while True:
+        first = firsts[-1]
+        nxt = int(np.searchsorted(upto, upto[first] + target, "right")) - 1
+        if upto[min(nxt, len(upto) - 1)] == upto[first]:
+            nxt += 1  # a size over the target stands in a group of its own, with sizes of 0 before it
+        if nxt >= len(upto) - 1:
+            break
+        firsts.append(nxt)
+    return firsts[:-1] if len(firsts) > 1 and upto[-1] - upto[firsts[-1]] < LEAST_SHARE * target else firsts
+
+
+def grouped(upto: np.ndarray, target: int) -> list[int]:
+    """E8 for prefix sums of sizes, 0 first."""
+    total = int(upto[-1])
+    if total <= target:
+        return [0]
+    firsts = _filled(upto, target)
+    return _filled(upto, -(-total * SPLIT_PERCENT // 100)) if len(firsts) == 1 and len(upto) > 2 else firsts
+
+
+def _groups(target: int) -> Callable[[Column, Column], Column]:
+    """(sizes, widths) -> [(first position, widths before it)] of all groups."""
+
+    def of(sizes: pa.Array, widths: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False))])
+        n, wide = (pc.fill_null(x.flatten(), 0).to_numpy(zero_copy_only=False) for x in (sizes, widths))
+        out = []
+        for lo, hi in zip(ends, ends[1:]):
+            upto, at = (np.concatenate([[0], np.cumsum(x[lo:hi], dtype=np.int64)]) for x in (n, wide))
+            out.append([{"first": i, "at": int(at[i])} for i in grouped(upto, target)])
+        return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("at", pa.int64())])))
+
+    return F.arrow_udf(of, "array<struct<first:int,at:bigint>>")
+
+
+def group_breaks(sizes: str | Column, target: int = TARGET) -> Column:
     """First positions of all groups of an array column of sizes.
 
     All in one group if the total is within the target; if filling to the
     target gives one group all the same and there are several sentences, fill
-    to ceil(SPLIT_SHARE * total) instead.
+    to ceil(0.51 * total) instead. Null and empty arrays are one group, null
+    sizes are 0.
+
+    A higher-order fold copies its state at every element, so one that gathers
+    breaks takes quadratic time. Here prefix sums are searched once for each
+    group, in Arrow batches: only sizes go to Python, never texts.
     """
-    total = f"aggregate({sizes}, 0L, (a, x) -> a + x)"
-    first, again = _fill(sizes, f"{target}L"), _fill(sizes, f"cast(ceil({SPLIT_SHARE} * {total}) as bigint)")
-    chosen = f"case when {total} <= {target} then cast(array() as array<int>) when size({first}) = 0 and size({sizes}) > 1 then {again} else {first} end"
-    return F.expr(f"concat(array(0), {chosen})")
+    sizes = F.col(sizes) if isinstance(sizes, str) else sizes
+    return F.transform(_groups(target)(sizes, sizes), lambda g: g["first"])
 
 
 def page_at(offset: str, offsets: str = "page_offsets") -> Column:
@@ -56,29 +122,34 @@ def page_at(offset: str, offsets: str = "page_offsets") -> Column:
     return F.expr(f"greatest(1, least(size(filter({offsets}, o -> o <= {offset})), size({offsets}) - 1))")
 
 
-def chunks(docs: DataFrame, target: int = TARGET) -> DataFrame:
+def chunks(docs: DataFrame, target: int = TARGET, abbreviations: Sequence[str] = ABBREVIATIONS) -> DataFrame:
     """(id, text_content, page_offsets?) -> (document_id, chunk_index, text, offset_start, offset_end, page_start, page_end).
 
     A text within the target is one chunk; null and empty texts are one empty
     chunk on page 1. In longer texts white space before the first sentence and
     between sentences counts for no group, and chunks neither begin nor end
-    with it.
+    with it. A long text of white space alone is one empty chunk at its end.
+
+    Sentences are found once; each chunk's text is made of its own sentences,
+    and no row carries the whole text: time is linear in the text.
     """
     text = F.coalesce("text_content", F.lit(""))
     pages = F.when(F.size("page_offsets") > 1, F.col("page_offsets")) if "page_offsets" in docs.columns else F.lit(None).cast("array<int>")
+    one = lambda t, begin: F.array(F.struct(F.lit(0).alias("chunk_index"), t.alias("text"), begin.cast("int").alias("offset_start")))
+
     d = docs.select(F.col("id").alias("document_id"), text.alias("t"), F.coalesce(pages, F.array(F.lit(0), F.length(text))).alias("page_offsets"))
-    d = d.withColumn("lead", F.when(F.length("t") <= target, 0).otherwise(F.length("t") - F.length(F.regexp_replace("t", r"^\s+", ""))))
-    d = d.withColumn("s", F.when(F.length("t") <= target, F.array("t")).otherwise(sentence_array(F.expr("substring(t, lead + 1)"))))
-    d = d.withColumn("n", F.transform("s", lambda x: F.length(F.regexp_replace(x, r"\s+$", "")))).withColumn("breaks", group_breaks("n", target))
-    d = d.withColumn("raw", F.expr("transform(s, x -> length(x))"))
-    spans = F.expr("transform(breaks, (b, i) -> named_struct('b', b, 'e', if(i + 1 < size(breaks), breaks[i + 1], size(s))))")
-    # each group's size is summed once
-    d = d.withColumn("spans", spans).withColumn("sums", F.expr("transform(spans, g -> aggregate(slice(raw, g.b + 1, g.e - g.b), 0L, (a, x) -> a + x))"))
-    rows = d.select("document_id", "t", "lead", "sums", "page_offsets", F.posexplode("spans").alias("chunk_index", "g"))
-    begin = "cast(lead + aggregate(slice(sums, 1, chunk_index), 0L, (a, x) -> a + x) as int)"
-    whole = "substring(t, offset_start + 1, cast(sums[chunk_index] as int))"
-    rows = rows.withColumn("offset_start", F.expr(begin)).withColumn("text", F.when(F.length("t") <= target, F.col("t")).otherwise(F.regexp_replace(F.expr(whole), r"\s+$", "")))
-    rows = rows.withColumn("offset_end", F.col("offset_start") + F.length("text")).withColumn("last", F.greatest(F.col("offset_end") - 1, F.lit(0)))
+    whole, lead = F.length("t") <= target, F.length("t") - F.length(F.ltrim("t", F.lit(WHITE)))
+    d = d.select("document_id", "page_offsets", F.when(whole, F.lit(None)).otherwise(lead).alias("lead"), F.when(whole, F.array("t")).otherwise(sentence_array(F.ltrim("t", F.lit(WHITE)), abbreviations)).alias("s"))
+    # a text of white space alone has no sentence: one empty chunk
+    # only sizes go to the fill; a text of white space alone has no sentence, and is one empty chunk
+    d = d.withColumn("groups", _groups(target)(F.transform("s", lambda x: F.length(_kept(x))), F.transform("s", F.length)))
+    last = F.size("groups") - 1
+    held = lambda g, k: F.slice("s", g["first"] + 1, F.when(k < last, F.get("groups", k + 1)["first"]).otherwise(F.size("s")) - g["first"])
+    built = F.transform("groups", lambda g, k: F.struct(k.alias("chunk_index"), F.array_join(held(g, k), "").alias("raw"), g["at"].alias("at")))
+    # outer: for the inner generator Catalyst would copy all that stands behind the array into a filter
+    d = d.select("document_id", "page_offsets", "lead", F.explode_outer(built).alias("c"))
+    d = d.select("document_id", "page_offsets", "c.chunk_index", F.when(F.col("lead").isNull(), F.col("c.raw")).otherwise(_kept(F.col("c.raw"))).alias("text"), (F.coalesce("lead", F.lit(0)) + F.col("c.at")).cast("int").alias("offset_start"))
+    rows = d.withColumn("offset_end", F.col("offset_start") + F.length("text")).withColumn("last", F.greatest(F.col("offset_end") - 1, F.lit(0)))
     return rows.select("document_id", "chunk_index", "text", "offset_start", "offset_end", page_at("offset_start").alias("page_start"), page_at("last").alias("page_end"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmere.functions import scalars as S
+from lexmere.operators.refs import resolved
 
 EVENT = (
     "title string, description string, time_start string, time_end string, time_precision string, location struct<name string, location_type string>,"
@@ -156,9 +157,37 @@ def prior_per_chunk(chunks: DataFrame, events: DataFrame, most: int = 10) -> Dat
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select("document_id", "chunk_index", F.col("rank").cast("long").alias("rank"), "id", "title")
 
 
+def prior_lists(ranked: DataFrame) -> DataFrame:
+    """(document_id, rank, id, title) -> (document_id, prior): each document's events as JSON, in order of rank."""
+    return ranked.groupBy("document_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "id", "title")))).alias("prior"))
+
+
+def prompt_text(prior: Column, text: Column) -> Column:
+    """U4: the prior events, if any, what is asked for, and the chunk."""
+    ask = F.lit('Return JSON {"events": [...]} with title, description, dates, location, participants and references quoted word for word.')
+    return F.concat_ws("\n\n", F.concat(F.lit("Events so far: "), prior), ask, text)
+
+
 def prompts(chunks: DataFrame, priors: DataFrame) -> DataFrame:
-    """U4: (document_id, chunk_index, prompt): the prior events, if any, what is asked for, and the chunk."""
+    """U4: (document_id, chunk_index, prompt) from (document_id, chunk_index, rank, id, title) of prior events."""
     p = priors.groupBy("document_id", "chunk_index").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "id", "title")))).alias("prior"))
-    ask = F.lit('Return JSON {"events": [...]} with title, description, dates, location, participants and references quoted word for word.')
-    parts = [F.concat(F.lit("Events so far: "), F.col("prior")), ask, F.col("text")]
-    return chunks.join(p, ["document_id", "chunk_index"], "left").select("document_id", "chunk_index", F.concat_ws("\n\n", *parts).alias("prompt"))
+    return chunks.join(p, ["document_id", "chunk_index"], "left").select("document_id", "chunk_index", prompt_text(F.col("prior"), F.col("text")).alias("prompt"))
+
+
+def run_summary(documents: DataFrame, parsed_rows: DataFrame, resolved_refs: DataFrame) -> DataFrame:
+    """(document_id, status, event_count, resolved, total) of every document of a run."""
+    counts = stored_counts(parsed_rows).groupBy("document_id").agg(F.sum("events_stored").alias("event_count"))
+    refs = resolved_refs.groupBy("document_id").agg(F.count_if("found").alias("resolved"), F.count("*").alias("total"))
+    out = documents.select(F.col("id").alias("document_id")).join(counts, "document_id", "left").join(refs, "document_id", "left")
+    return out.select("document_id", F.lit("processed").alias("status"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("event_count", "resolved", "total")])
+
+
+def no_responses(chunks: DataFrame) -> DataFrame:
+    """An empty table of responses to these chunks."""
+    return chunks.limit(0).select("document_id", "chunk_index", F.lit("").alias("response_text"))
+
+
+def run_tables(documents: DataFrame, chunks: DataFrame, parsed_rows: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a run by name; chunks, parsed_rows and events are stored ones."""
+    refs = resolved(reference_rows(events), chunks)
+    return {"chunks": chunks, "events": events, "locations": location_rows(events), "participants": participant_rows(events), "edges": edges(events), "references": refs, "summary": run_summary(documents, parsed_rows, refs)}

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexmere.operators import chunks as C
-from lexmere.operators import refs as R
 from lexmere.operators import store as T
 from lexmere.session import stored
 
@@ -20,8 +18,4 @@ def run(documents: DataFrame, responses: DataFrame, target: int = C.TARGET) -> d
     chunks = stored(C.chunks(documents, target))
     parsed = stored(T.parsed(responses.join(chunks.select("document_id", "chunk_index"), ["document_id", "chunk_index"], "left_semi")))
     events = stored(T.event_rows(parsed, documents))
-    refs = R.resolved(T.reference_rows(events), chunks)
-    counts = T.stored_counts(parsed).groupBy("document_id").agg(F.sum("events_stored").alias("event_count"))
-    summary = documents.select(F.col("id").alias("document_id")).join(counts, "document_id", "left").join(R.summary(refs), "document_id", "left")
-    summary = summary.select("document_id", F.lit("processed").alias("status"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("event_count", "resolved", "total")])
-    return {"chunks": chunks, "events": events, "locations": T.location_rows(events), "participants": T.participant_rows(events), "edges": T.edges(events), "references": refs, "summary": summary}
+    return T.run_tables(documents, chunks, parsed, events)

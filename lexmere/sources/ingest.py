@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmere.functions import scalars as S
+from lexmere.functions.arrays import running_sums
 
 #: Largest blob, in bytes.
 MOST_BYTES = 50 << 20
@@ -80,7 +81,7 @@ def assembled(pages: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"])
     out = pages.groupBy("document_id").agg(ordered.alias("p"))
     text = F.array_join("p", chr(12))
-    ends = F.expr("transform(sequence(1, size(p)), i -> aggregate(slice(p, 1, i), 0, (s, t) -> s + length(t)) + i - 1)")
+    ends = F.transform(running_sums(F.transform("p", F.length)), lambda e, i: (e + i).cast("int"))
     inner = F.slice(ends, 1, F.size("p") - 1)
     return out.select("document_id", text.alias("text_content"), F.concat(F.array(F.lit(0)), inner, F.array(F.length(text))).alias("page_offsets"))
 
