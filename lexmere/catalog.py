@@ -22,7 +22,7 @@ _FOUND: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
 
 
 #: Whole numbers that may be null are compared as doubles.
-_NULLABLE = {"b17_sampling": ["instruct_top_k"], "c7_reference_chunk": ["offset_end"], "c9_model_colour": ["color_index"], "d9_model_colours": ["color_index"], "d10_colour_of_model": ["color_index"], "e6_reference_page": ["page_number", "page_start", "page_end"], "e12_column_order": ["color_index"], "h4_found_at": ["found_at"], "l3_cascade": ["entity_id"], "l8_references": ["entity_id"], "m1_timeline": ["color_index"], "p9_model_colours": ["color_index"]}
+_NULLABLE = {"b17_sampling": ["instruct_top_k"], "c7_reference_chunk": ["offset_end"], "c9_model_colour": ["color_index"], "d9_model_colours": ["color_index"], "d10_colour_of_model": ["color_index"], "e6_reference_page": ["page_number", "page_start", "page_end"], "e6_all_pages": ["page_number", "page_start", "page_end"], "m1_history": ["color_index"], "e12_column_order": ["color_index"], "h4_found_at": ["found_at"], "l3_cascade": ["entity_id"], "l8_references": ["entity_id"], "m1_timeline": ["color_index"], "p9_model_colours": ["color_index"]}
 
 
 def q(name: str, run: Callable[[Views], DataFrame], sql: str | None = None) -> None:
@@ -309,6 +309,9 @@ q("h4_found_at", lambda v: v.v_ref.join(v.v_chunk.select("document_id", "chunk_i
 _RESOLVED = f"SELECT id, CAST(coalesce(pos, span_start) AS BIGINT) AS span_start, CAST(coalesce(pos + length(verbatim_text), span_end) AS BIGINT) AS span_end, pos IS NOT NULL AS found FROM ({_POS})"
 q("h5_absolute_span", lambda v: refs.resolved(v.v_ref, v.v_chunk).where("found").select("id", "span_start", "span_end"), f"SELECT id, span_start, span_end FROM ({_RESOLVED}) WHERE found")
 q("k11_span_update", lambda v: refs.resolved(v.v_ref, v.v_chunk).select("id", "span_start", "span_end", "found"), _RESOLVED)
+q("k11_all_chunks", lambda v: refs.resolved(v.v_quote, v.v_chunk).select("id", "span_start", "span_end", "found"), _RESOLVED.replace("v_ref", "v_quote"))
+q("d15_all_chunks", lambda v: refs.summary(refs.resolved(v.v_quote, v.v_chunk)), f"SELECT document_id, count(pos) AS resolved, count(*) AS total FROM ({_POS.replace('v_ref', 'v_quote')}) GROUP BY 1")
+q("e6_all_pages", lambda v: refs.on_pages(v.v_quote, v.v_chunk), f"WITH t AS (SELECT document_id, max(offset_end) AS n FROM v_chunk GROUP BY 1), p AS (SELECT r.id, max(o) AS o, count(*) AS k FROM v_quote r JOIN ({_BOUNDS}) b ON b.document_id = r.document_id AND b.o <= r.span_start JOIN t ON t.document_id = r.document_id WHERE r.span_start < t.n AND r.span_end <= t.n GROUP BY r.id) SELECT r.id, CAST(p.k AS INT) AS page_number, CAST(span_start - p.o AS BIGINT) AS page_start, CAST(span_end - p.o AS BIGINT) AS page_end FROM v_quote r LEFT JOIN p ON p.id = r.id")
 q("h6_word_count", lambda v: v.v_document.select("id", S.word_count(F.col("text_content")).alias("n")), "SELECT id, len(regexp_extract_all(text_content, '[^\\s]+')) AS n FROM v_document")
 q("h7_normal_form", lambda v: v.v_mention.select("id", S.normal_form(F.col("verbatim_text")).alias("key")), "SELECT id, lower(strip_accents(verbatim_text)) AS key FROM v_mention")
 q("h8_either_contains", lambda v: v.v_event.join(v.v_ref.selectExpr("id", "verbatim_text"), "id").select("id", S.either_contains(F.col("title"), F.substring("verbatim_text", 1, 1)).alias("hit")), "SELECT e.id, title <> '' AND left(verbatim_text, 1) <> '' AND (contains(lower(title), lower(left(verbatim_text, 1))) OR contains(lower(left(verbatim_text, 1)), lower(title))) AS hit FROM v_event e JOIN v_ref r ON r.id = e.id")
@@ -348,11 +351,16 @@ q("l4_event_entities", lambda v: entities.event_entities(v.v_event).select("id",
 q("l5_recreate", lambda v: store.replaced(entities.event_entities(v.v_event).withColumn("document_id", F.get_json_object("properties", "$.document_id").cast("long")), entities.event_entities(v.v_event.where("document_id = 5")).withColumn("document_id", F.lit(5).cast("long")), v.v_document.where("id in (5, 6)").selectExpr("id document_id"), ["document_id"]).groupBy("document_id").agg(F.count("*").alias("n")), "SELECT document_id, count(*) AS n FROM v_event WHERE document_id <> 6 GROUP BY 1")
 q("l6_links", lambda v: entities.links(v.v_event.where("title <> ''").withColumn("title", F.concat(F.lit("person "), F.col("id") % 120)), v.v_entity), "SELECT v.id AS event_id, e.id AS entity_id FROM v_event v JOIN v_entity e ON contains('person ' || (v.id % 120), lower(e.name)) OR contains(lower(e.name), 'person ' || (v.id % 120)) WHERE v.title <> ''")
 q("l7_merged", lambda v: entities.merged_roots(v.v_entity.selectExpr("cast(id as long) id", "cast(if(id % 10 = 0, null, id - 1) as long) superseded_by")), "SELECT CAST(id AS BIGINT) AS id, CAST(greatest(id - id % 10, CASE WHEN id >= 100 THEN 100 ELSE 0 END) AS BIGINT) AS root FROM v_entity")
+q("l7_cycles", lambda v: entities.merged_roots(v.v_entity.selectExpr("cast(id as long) id", "cast(case when id < 10 then (id + 1) % 10 when id < 100 then id - 5 when id % 10 = 9 then id - 3 else id + 1 end as long) superseded_by")), "SELECT CAST(id AS BIGINT) AS id, CAST(CASE WHEN id < 100 THEN 0 WHEN id >= 190 THEN 197 ELSE id // 10 * 10 + 6 END AS BIGINT) AS root FROM v_entity")
 q("l8_references", lambda v: entities.reference_list(v.v_ref, v.v_event, v.v_document, entities.exact(v.v_mention, v.v_entity), v.v_entity), "WITH x AS (SELECT m.id, min(e.id) AS entity_id FROM v_mention m JOIN v_entity e ON lower(e.name) = lower(m.verbatim_text) GROUP BY 1) SELECT r.id, e.title AS event_title, filename, reference_type, verbatim_text, x.entity_id, n.name AS entity_name FROM v_ref r LEFT JOIN v_event e ON e.id = r.event_id LEFT JOIN v_document d ON d.id = r.document_id LEFT JOIN x ON x.id = r.id LEFT JOIN v_entity n ON n.id = x.entity_id")
 q("b23_entity_filters", lambda v: entities.reference_list(v.v_ref, v.v_event, v.v_document, entities.exact(v.v_mention, v.v_entity), v.v_entity).where("entity_id = 3 and reference_type = 'location'").select("id", "entity_name"), "SELECT r.id, n.name AS entity_name FROM v_ref r JOIN v_mention m ON m.id = r.id JOIN v_entity n ON lower(n.name) = lower(m.verbatim_text) WHERE n.id = 3 AND reference_type = 'location'")
 
 # --- M: timeline
 q("m1_timeline", lambda v: timeline.timeline(v.v_event, v.v_color).select("id", "model", "x", "month", "top", F.round("y", 4).alias("y"), "height", "color_index", "label"), f"SELECT p.id, p.model, x, p.month, top, round(top + y, 4) AS y, p.height, color_index, coalesce(nullif(title, ''), nullif(left(description, 140), ''), '(sin título)') AS label FROM ({_PLACED}) p JOIN ({_TOPS}) t ON t.month = p.month JOIN ({_COLS}) c ON c.model = p.model JOIN v_event e ON e.id = p.id")
+_HISTORY = lambda sql: sql.replace("v_event", "v_history")
+q("m1_history", lambda v: timeline.timeline(v.v_history, v.v_color).select("id", "model", "x", "month", "top", F.round("y", 4).alias("y"), "height", "color_index", "label"), _HISTORY(f"SELECT p.id, p.model, x, p.month, top, round(top + y, 4) AS y, p.height, color_index, coalesce(nullif(title, ''), nullif(left(description, 140), ''), '(sin título)') AS label FROM ({_PLACED}) p JOIN ({_TOPS}) t ON t.month = p.month JOIN ({_COLS}) c ON c.model = p.model JOIN v_event e ON e.id = p.id"))
+q("e11_history", lambda v: timeline.placed(v.v_history), _HISTORY(f"SELECT id, month, model, position, y FROM ({_PLACED})"))
+q("e10_history", lambda v: timeline.month_grid(v.v_history), _HISTORY(_TOPS))
 q("m2_month_grid", lambda v: timeline.month_grid(v.v_event).select("month", "top", "height"), f"SELECT month, top, height FROM ({_TOPS})")
 q("m3_columns", lambda v: timeline.columns(v.v_event, v.v_color).agg(F.count("*").alias("columns"), (F.count("*") * 165 - 16).alias("width")), "SELECT count(DISTINCT model) AS columns, count(DISTINCT model) * 165 - 16 AS width FROM v_event")
 q("m4_by_model", lambda v: timeline.by_model(v.v_event, v.v_document), "SELECT source_id, e.model, count(*) AS events, count(time_start) AS dated FROM v_event e JOIN v_document d ON d.id = e.document_id GROUP BY ALL")

@@ -48,6 +48,15 @@ FROM (
   SELECT e.event_id, e.user_id % 200 AS document_id, e.event_id * 37 % 100 DIV 500 AS chunk_index, e.event_id * 37 % 100 AS pos, substr(d.text, CAST(1 + e.event_id * 37 % 100 AS INT), 12) AS q,
     CASE WHEN e.event_id % 5 = 0 THEN 'location' WHEN e.event_id % 5 = 1 THEN 'participant' WHEN e.event_id % 5 = 2 THEN 'time' WHEN e.event_id % 5 = 3 THEN 'description' ELSE 'bogus' END AS kind
   FROM {events} e JOIN {documents} d ON d.doc_id = e.user_id % 200)""",
+    "v_quote": """
+SELECT event_id AS id, event_id, document_id, chunk_index, kind AS reference_type,
+  CASE WHEN event_id % 11 = 0 THEN 'no such text ' || event_id WHEN event_id % 5 = 0 THEN translate(q, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE q END AS verbatim_text, pos + 1 AS span_start, pos + 21 AS span_end
+FROM (
+  SELECT event_id, document_id, pos DIV 500 AS chunk_index, pos, substr(text, CAST(1 + pos AS INT), 20) AS q, CASE WHEN event_id % 2 = 0 THEN 'location' ELSE 'participant' END AS kind
+  FROM (SELECT e.event_id, d.doc_id AS document_id, d.text, e.event_id * 7919 % greatest(length(d.text) - 20, 1) AS pos FROM {events} e JOIN {documents} d ON d.doc_id = e.user_id % 200))""",
+    "v_history": """
+SELECT id, document_id, chunk_index, title, description, CASE WHEN time_start IS NULL THEN NULL ELSE TIMESTAMP_NTZ '2022-11-03 00:00:00' + MINUTES((k + CASE WHEN k > 5 THEN 1 ELSE 0 END) * 43830 + id * 7717 % 30000) END AS time_start, time_precision, provider_id, model
+FROM (SELECT *, id * 31 % 14 AS k FROM {v_event})""",
     "v_chunk": """
 SELECT document_id, i AS chunk_index, substr(text, CAST(i * 500 + 1 AS INT), 500) AS text, i * 500 AS offset_start, least(n, i * 500 + 500) AS offset_end,
   1 + i * 500 DIV 1500 AS page_start, 1 + greatest(least(n, i * 500 + 500) - 1, 0) DIV 1500 AS page_end

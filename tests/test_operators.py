@@ -166,3 +166,80 @@ def test_run_is_repeatable(spark):
     assert out["events"].collect() == corpus_run.run(docs, resp)["events"].collect()
     once = store.replaced(out["edges"], out["edges"], out["edges"], ["document_id", "chunk_index"])
     assert sorted(once.collect()) == sorted(out["edges"].collect())
+
+
+def test_no_key_gathers_the_pairs(spark):
+    """One-letter names meet nearly every text; no key's block holds over a hundredth of the pairs, and all pairs are found."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 6))) for _ in range(200)]
+    texts = sorted({" ".join(r.choice(words) for _ in range(4)) for _ in range(3000)})
+    needles = [*"abcdefghij", "ab", "a ", *words[:40], "nowhere", texts[0]]
+    n = spark.createDataFrame([("x", w) for w in needles] + [("y", "abc")], "side string, needle string")
+    t = spark.createDataFrame([("x", w) for w in texts] + [("y", "b")], "side string, text string")
+    blocks = [x["count"] for x in entities.dealt(n, t, 200).groupBy("side", "key", "block").count().collect()]
+    assert sum(blocks) > 20_000 and max(blocks) <= sum(blocks) / 100
+    got = sorted((x.needle, x.text) for x in entities.contained(n, t, 200).collect())
+    assert got == sorted((w, u) for w in needles for u in texts if w in u)
+
+
+def test_containment_of_odd_names(spark):
+    e = spark.createDataFrame([(1, "a"), (2, "Á"), (3, None), (4, "  "), (5, "ab"), (6, "a b c"), (6, "a b c")], "id long, name string")
+    m = spark.createDataFrame([(1, "A"), (2, ""), (3, None), (4, "xaby"), (5, "B")], "id long, verbatim_text string")
+    got = sorted((x.id, x.entity_id) for x in entities.fuzzy(m, e, 99).collect())
+    assert got == [(1, 1), (1, 2), (1, 5), (1, 6), (4, 1), (4, 2), (4, 5), (5, 5), (5, 6)]
+    assert entities.fuzzy(m.limit(0), e).count() == entities.fuzzy(m, e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows,roots", [
+    ([(1, 2), (2, 3), (3, 1)], {1: 1, 2: 1, 3: 1}),
+    ([(4, 5), (5, 4), (6, 5), (7, 6), (8, 8), (9, None), (10, 99)], {4: 4, 5: 4, 6: 4, 7: 4, 8: 8, 9: 9, 10: 99}),
+    ([(i, i + 1) for i in range(40)] + [(40, None), (50, 0), (51, 50)] + [(100 + i, 100 + (i + 1) % 13) for i in range(13)] + [(200 + i, 201 + i) for i in range(30)] + [(230, 105)], {**dict.fromkeys([*range(41), 50, 51], 40), **dict.fromkeys([*range(100, 113), *range(200, 231)], 100)}),
+    ([(None, 1), (1, None), (1, None), (2, 3), (2, 1), (3, None)], {1: 1, 2: 1, 3: 3}),
+    ([], {}),
+])
+def test_merges(spark, rows, roots):
+    got = entities.merged_roots(spark.createDataFrame(rows, "id long, superseded_by long")).collect()
+    assert {x.id: x.root for x in got} == roots and len(got) == len(roots)
+
+
+def test_quotes_of_a_chunk_are_searched_together(spark):
+    text = ("Sobre la ÑANDÚ y el río. " * 400) + "aaaaab fin"
+    r = random.Random(6)
+    quotes = ["", "ñandú", "a", "aa", "aaab", "zz", "fin", "Fin", "FIN", "río. Sobre", "RÍO. s"] + [text[i : i + r.randint(1, 40)] for i in (r.randrange(len(text) - 40) for _ in range(300))]
+    assert refs.positions(text, quotes) == [text.find(q) for q in quotes]
+    rows = [(i, 1, 0, q, 5, 6) for i, q in enumerate([*quotes, None])] + [(1000, None, 0, "a", 5, 6), (1001, 1, None, "a", 5, 6), (1002, 1, 0, "fin", None, None), (1002, 1, 0, "fin", None, None)]
+    refs_in = spark.createDataFrame(rows, "id long, document_id long, chunk_index long, verbatim_text string, span_start int, span_end int").withColumn("text", F.lit("x")).withColumn("part", F.lit(1))
+    c = spark.createDataFrame([(1, 0, text, 10), (1, 0, "other", 99), (1, 1, None, 0), (2, 0, "a", 0)], "document_id long, chunk_index int, text string, offset_start int").withColumn("parts", F.lit(1))
+    want = lambda q: next((p + 10 for p in (text.find(q), text.lower().find(q.lower())) if p >= 0), None) if q else None
+    got = refs.resolved(refs_in, c).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        at = want(x.verbatim_text) if x.document_id and x.chunk_index == 0 else None
+        assert (x.found, x.span_start) == (at is not None, at if at is not None else 5 if x.id < 1002 else None), x
+        assert at is None or x.span_end == at + len(x.verbatim_text)
+    parts = refs.located(refs_in.where("verbatim_text <> ''").selectExpr("document_id", "chunk_index", "verbatim_text quote").distinct(), c, 40).where("document_id = 1 and chunk_index = 0")
+    assert {x.quote: x["at"] for x in parts.collect()} == {q: want(q) for q in quotes if q}
+    assert refs.resolved(refs_in.limit(0), c).count() == 0 and refs.resolved(refs_in, c.limit(0)).where("found").count() == 0
+
+
+def test_a_chunk_is_sent_once(spark):
+    """Texts are dealt by (document, chunk) once, for the join with their quotes' counts, and lie right for the search."""
+    from lexmere.session import stored
+
+    r = stored(spark.range(10).selectExpr("id", "id document_id", "id chunk_index", "concat(id, 'q') verbatim_text", "1 span_start", "2 span_end"))
+    c = stored(spark.range(10).selectExpr("id document_id", "id chunk_index", "concat('mark', id) text", "0 offset_start"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = refs.resolved(r, c)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    search = next(i for i, x in enumerate(lines) if "FlatMapCoGroupsInArrow" in x)
+    scan = next(i for i, x in enumerate(lines) if i > search and "Scan parquet" in x and "text#" in x)
+    # what stands above the scan of the texts, up to the search
+    way, at = [], depth(lines[scan])
+    for x in reversed(lines[search:scan]):
+        if depth(x) < at:
+            way, at = [*way, x], depth(x)
+    assert sum("Exchange" in x for x in way) == 1, plan
