@@ -15,6 +15,7 @@ from lexmere.plans import corpus_run, waves
 from lexmere.session import shared_dir
 from lexmere.sources import extractors, ingest
 from lexmere.streaming import jobs
+from lexmere.streaming.tables import Bucketed
 
 _PALETTE = "[" + ", ".join(f"'rgb({r},{g},{b})'" for r, g, b in S.PALETTE) + "]"
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
@@ -361,6 +362,11 @@ _HISTORY = lambda sql: sql.replace("v_event", "v_history")
 q("m1_history", lambda v: timeline.timeline(v.v_history, v.v_color).select("id", "model", "x", "month", "top", F.round("y", 4).alias("y"), "height", "color_index", "label"), _HISTORY(f"SELECT p.id, p.model, x, p.month, top, round(top + y, 4) AS y, p.height, color_index, coalesce(nullif(title, ''), nullif(left(description, 140), ''), '(sin título)') AS label FROM ({_PLACED}) p JOIN ({_TOPS}) t ON t.month = p.month JOIN ({_COLS}) c ON c.model = p.model JOIN v_event e ON e.id = p.id"))
 q("e11_history", lambda v: timeline.placed(v.v_history), _HISTORY(f"SELECT id, month, model, position, y FROM ({_PLACED})"))
 q("e10_history", lambda v: timeline.month_grid(v.v_history), _HISTORY(_TOPS))
+q("m2_filled_months", lambda v: timeline.month_grid(v.v_history, "America/Argentina/Buenos_Aires", True).select("month", "most", "height", "top"), """
+WITH n AS (SELECT strftime(time_start - INTERVAL 3 HOUR, '%Y-%m') AS month, max(count(*)) OVER (PARTITION BY strftime(time_start - INTERVAL 3 HOUR, '%Y-%m')) AS most FROM v_history WHERE time_start IS NOT NULL GROUP BY 1, model),
+e AS (SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series(strptime(min(month), '%Y-%m'), strptime(max(month), '%Y-%m'), INTERVAL 1 MONTH)) AS m FROM n)),
+h AS (SELECT month, coalesce(any_value(most), 0) AS most, greatest(1, coalesce(any_value(most), 0)) * 96 + 4 AS height FROM e LEFT JOIN n USING (month) GROUP BY month)
+SELECT month, most, height, CAST(coalesce(sum(height) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM h""")
 q("m2_month_grid", lambda v: timeline.month_grid(v.v_event).select("month", "top", "height"), f"SELECT month, top, height FROM ({_TOPS})")
 q("m3_columns", lambda v: timeline.columns(v.v_event, v.v_color).agg(F.count("*").alias("columns"), (F.count("*") * 165 - 16).alias("width")), "SELECT count(DISTINCT model) AS columns, count(DISTINCT model) * 165 - 16 AS width FROM v_event")
 q("m4_by_model", lambda v: timeline.by_model(v.v_event, v.v_document), "SELECT source_id, e.model, count(*) AS events, count(time_start) AS dated FROM v_event e JOIN v_document d ON d.id = e.document_id GROUP BY ALL")
@@ -466,7 +472,7 @@ def _ingested(v: Views) -> DataFrame:
     where = f"{shared_dir(v.spark)}/{tempfile.mktemp(prefix='ingest', dir='')}"
     docs.unionByName(docs.where("id % 3 = 0")).write.parquet(f"{where}/in")
     jobs.drained(v.spark, jobs.ingest(v.spark, f"{where}/in", docs.schema, f"{where}/out", f"{where}/checkpoint"))
-    return jobs.current(v.spark, f"{where}/out", docs.schema)
+    return jobs.ingested(v.spark, f"{where}/out", docs.schema)
 
 
 def _replayed(v: Views) -> DataFrame:
@@ -475,9 +481,20 @@ def _replayed(v: Views) -> DataFrame:
     events.write.parquet(f"{where}/in")
     for k in (1, 2):  # the same rows twice, as after a lost checkpoint
         jobs.drained(v.spark, jobs.chunk_events(v.spark, f"{where}/in", events.schema, f"{where}/out", f"{where}/checkpoint{k}"))
-    return jobs.current(v.spark, f"{where}/out", events.schema)
+    return jobs.events_table(v.spark, f"{where}/out", events.schema).read()
 
 
+def _upserted(v: Views) -> DataFrame:
+    """The upserts of K1 as a stream in two batches."""
+    old, new = _OLDU(v), _NEWU(v)
+    where = f"{shared_dir(v.spark)}/{tempfile.mktemp(prefix='usage', dir='')}"
+    for rows in (old, new):
+        rows.select(*old.columns).write.mode("append").parquet(f"{where}/in")
+        jobs.drained(v.spark, jobs.usage_upserts(v.spark, f"{where}/in", old.schema, f"{where}/out", f"{where}/checkpoint", ["prompt_tokens", "duration_ms"]))
+    return Bucketed(v.spark, f"{where}/out", old.schema, "id").read().select("id", "prompt_tokens", "duration_ms", "cost")
+
+
+q("j2_usage_upserts", _upserted, _UPSERT.format("coalesce(n.prompt_tokens, o.prompt_tokens) AS prompt_tokens, coalesce(n.duration_ms, o.duration_ms) AS duration_ms, CASE WHEN o.id IS NULL THEN n.cost ELSE o.cost END AS cost"))
 q("j1_ingest", _ingested, "SELECT id, filename, status FROM v_document")
 q("j2_replay", _replayed, "SELECT id, document_id, chunk_index, title FROM v_event")
 q("j3_progress", lambda v: _drained(v, jobs.progress(_stream(v, "conversations").selectExpr("conv_id document_id", "'step ' || role step", "turn % 5 <> 4 ok", "if(turn % 5 = 4, 'stopped', null) error", "turn ts")), "complete"), f"SELECT document_id, CASE WHEN ok THEN step ELSE 'failed' END AS status, error AS error_message FROM ({_STEPS}) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, step DESC) = 1")

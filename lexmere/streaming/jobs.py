@@ -1,4 +1,4 @@
-"""Structured Streaming jobs over folders of rows; every one ends in the same tables when a batch is run again."""
+"""Structured Streaming jobs over folders of rows; every one ends in the same tables when a batch is run again, or a checkpoint is lost."""
 
 from __future__ import annotations
 
@@ -10,44 +10,48 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lexmere.operators import store as T
+from lexmere.streaming.tables import Appended, Bucketed, run_of
 
 
-def _existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest snapshot under a path, or an empty table."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = sorted(int(s.getPath().getName()[1:]) for s in (fs.listStatus(hadoop) if fs.exists(hadoop) else []) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return spark.read.schema(schema).parquet(f"{path}/v{done[-1]}") if done else spark.createDataFrame([], schema)
+def _started(source: DataFrame, checkpoint: str, apply: Callable[[DataFrame, str, int], object]) -> StreamingQuery:
+    run = run_of(source.sparkSession, checkpoint)
+    each = lambda batch, number: apply(batch, run, number)
+    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merged(source: DataFrame, path: str, checkpoint: str, schema: StructType, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """Each micro-batch makes snapshot v{batch} of a table out of the one before; a batch that is run again overwrites its own snapshot."""
+def merged(source: DataFrame, table: Bucketed, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], keep: int = 2) -> StreamingQuery:
+    """Each micro-batch rewrites the buckets it touches; a batch that is run again changes nothing. The last `keep` versions stay."""
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number}")
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(hadoop):
-            fs.delete(hadoop, True)
-        merge(_existing(spark, path, schema), batch).write.parquet(f"{path}/v{number}")
+    def apply(batch: DataFrame, run: str, number: int) -> None:
+        table.apply(batch, run, number, merge)
+        table.expire(keep)
 
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _started(source, checkpoint, apply)
 
 
-def current(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return _existing(spark, path, schema)
+def ingest(spark: SparkSession, source: str, schema: StructType, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
+    """Each document once: rows whose id is there already are ignored, and a batch writes its new rows alone."""
+    return _started(spark.readStream.schema(schema).parquet(source), checkpoint, Appended(spark, path, schema, key).add)
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Each document once: rows whose id is there already are ignored."""
-    new = lambda old, batch: old.unionByName(batch.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*old.columns))
-    return merged(spark.readStream.schema(schema).parquet(source), path, checkpoint, schema, new)
+def ingested(spark: SparkSession, path: str, schema: StructType, key: str = "id") -> DataFrame:
+    """What J1 has written."""
+    return Appended(spark, path, schema, key).read()
+
+
+def events_table(spark: SparkSession, path: str, schema: StructType, buckets: int = 64) -> Bucketed:
+    return Bucketed(spark, path, schema, "document_id", buckets)
 
 
 def chunk_events(spark: SparkSession, source: str, schema: StructType, path: str, checkpoint: str) -> StreamingQuery:
     """A batch's chunks replace what the table has for them."""
     keys = ["document_id", "chunk_index"]
-    return merged(spark.readStream.schema(schema).parquet(source), path, checkpoint, schema, lambda old, batch: T.replaced(old, batch, batch, keys))
+    return merged(spark.readStream.schema(schema).parquet(source), events_table(spark, path, schema), checkpoint, lambda old, batch: T.replaced(old, batch, batch, keys))
+
+
+def usage_upserts(spark: SparkSession, source: str, schema: StructType, path: str, checkpoint: str, changing: list[str], key: str = "id", arrival: str = "arrival") -> StreamingQuery:
+    """K1, K2 on a stream: rows by key; where a key is there already, only the `changing` columns take the newest value."""
+    return merged(spark.readStream.schema(schema).parquet(source), Bucketed(spark, path, schema, key), checkpoint, lambda old, batch: T.upserted(old, batch, key, changing, arrival))
 
 
 def progress(steps: DataFrame) -> DataFrame:
