@@ -89,6 +89,15 @@ def _contents(v: Views) -> DataFrame:
 
 
 _STRIPPED = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({}, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
+def _looked_up(v: Views) -> DataFrame:
+    """Places without coordinates, looked up by a function that knows names of even length; the gazetteer is what is known before."""
+    found = store.looked_up(v.v_location, v.v_gazetteer, lambda name: (len(name), -len(name)) if len(name) % 2 == 0 else None)
+    return store.geocoded(v.v_location, found)
+
+
+q("u3_geocoder", _looked_up, """
+WITH g AS (SELECT name, lat, lon FROM v_gazetteer UNION ALL SELECT DISTINCT name, CASE WHEN length(name) % 2 = 0 THEN CAST(length(name) AS DOUBLE) END, CASE WHEN length(name) % 2 = 0 THEN CAST(-length(name) AS DOUBLE) END FROM v_location WHERE lat IS NULL AND name NOT IN (SELECT name FROM v_gazetteer))
+SELECT l.id, event_id, l.name, CASE WHEN l.lat IS NULL THEN g.lat ELSE l.lat END AS lat, CASE WHEN l.lat IS NULL THEN g.lon ELSE l.lon END AS lon FROM v_location l LEFT JOIN g ON g.name = l.name""")
 q("u1_extractors", lambda v: extractors.extracted(_contents(v)).select("id", "doc_format", "extractor", "text_content", F.element_at("page_offsets", -1).cast("double").alias("last_offset"), F.col("error_message").isNotNull().alias("failed")), f"""
 SELECT id, doc_format, extractor, text_content, CAST(length(text_content) AS DOUBLE) AS last_offset, text_content IS NULL AS failed FROM (
   SELECT doc_id AS id, ['plain_text', 'html', 'json', 'xyz', 'html'][doc_id % 5 + 1] AS doc_format, ['plain_text', 'html', 'json', 'plain_text', 'html'][doc_id % 5 + 1] AS extractor,
@@ -242,6 +251,13 @@ chunk AS (
 
 
 q("e7_sentences", lambda v: chunks.sentences(v.v_document), f"WITH {_sentences_sql("SELECT id, coalesce(text_content, '') AS t FROM v_document")} SELECT id AS document_id, CAST(no AS INT) AS sentence_no, CAST(pos AS INT) AS begin, CAST(pos + length(kept) AS INT) AS end, kept AS text FROM sents WHERE kept <> ''")
+q("h22_abbreviations", lambda v: chunks.learned_abbreviations(v.v_document).withColumn("score", F.round("score", 4)), r"""
+WITH t AS (SELECT unnest(regexp_extract_all(text_content, '\p{L}+(?:\.\p{L}+)*\.?')) AS t FROM v_document),
+w AS (SELECT rtrim(t, '.') AS word, count(*) FILTER (ends_with(t, '.')) AS a, count(*) FILTER (NOT ends_with(t, '.')) AS b FROM t GROUP BY 1),
+p AS (SELECT CAST(sum(a) AS DOUBLE) / sum(a + b) AS p FROM w),
+s AS (SELECT word, a, b, length(word) - length(replace(word, '.', '')) AS dots, -2 * (a * ln(p / 0.99) + b * ln((1 - p) / 0.01)) AS ll FROM w, p)
+SELECT word, a AS with_stop, b AS without_stop, round(round(ll * exp(-(length(word) - dots)) * (dots + 1) * pow(length(word) - dots, CAST(-b AS DOUBLE)), 6), 4) AS score
+FROM s WHERE a > 0 AND round(ll * exp(-(length(word) - dots)) * (dots + 1) * pow(length(word) - dots, CAST(-b AS DOUBLE)), 6) >= 0.3""")
 q("e8_balanced_groups", lambda v: v.v_document.select("id", F.expr("transform(sequence(1, 1 + cast(id % 40 as int)), i -> cast(1 + (i * 7919 + id * 104729) % 97 as int))").alias("n")).select("id", F.array_join(chunks.group_breaks("n", 200).cast("array<string>"), ",").alias("breaks")), """
 WITH RECURSIVE s AS (SELECT id, 1 + id % 40 AS k, [CAST(1 + (i * 7919 + id * 104729) % 97 AS BIGINT) FOR i IN range(1, 2 + id % 40)] AS n FROM v_document),
 t AS (SELECT id, k, n, list_sum(n) AS total, CAST(ceil(0.51 * list_sum(n)) AS BIGINT) AS again FROM s),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexmere.session import stored
+
 #: Characters of a chunk, least share of a last one, and the share, in hundredths, at which a single group is split again.
 TARGET, LEAST_SHARE, SPLIT_PERCENT = 262_144, 0.5, 51
 
@@ -153,10 +155,78 @@ def chunks(docs: DataFrame, target: int = TARGET, abbreviations: Sequence[str] =
     return rows.select("document_id", "chunk_index", "text", "offset_start", "offset_end", page_at("offset_start").alias("page_start"), page_at("last").alias("page_end"))
 
 
+def batch_numbers(sizes: np.ndarray, most: int, filled: int = 0, number: int = 0) -> tuple[np.ndarray, int, int]:
+    """(batch of each size, tokens in the last batch, its number), going on from a batch `number` that holds `filled` tokens already. Each batch's end is one search in the prefix sums."""
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    out, i = np.empty(len(sizes), np.int64), 0
+    while i < len(sizes):
+        j = int(np.searchsorted(upto, upto[i] + most - filled, "right")) - 1
+        if j <= i and filled:
+            filled, number = 0, number + 1
+            continue
+        j = max(j, i + 1)  # a row over the limit is a batch of its own
+        out[i:j], filled = number, filled + int(upto[j] - upto[i])
+        i = j
+    return out, filled, number
+
+
 def token_batches(rows: DataFrame, key: str, order: str, text: str, most: int = 240_000) -> DataFrame:
-    """(key, order, batch): rows in order, a new batch where an estimate of a quarter of the characters and 14 more would pass the limit."""
-    size = F.greatest(F.lit(1), F.floor((F.length(F.coalesce(text, F.lit(""))) + 14) / 4)).cast("long")
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.alias("n")))).alias("r"))
-    step = f"(a, x) -> if(a.size > 0 and a.size + x.n > {most}, named_struct('b', array_append(a.b, element_at(a.b, -1) + 1), 'size', x.n), named_struct('b', array_append(a.b, element_at(a.b, -1)), 'size', a.size + x.n))"
-    fold = F.expr(f"aggregate(r, named_struct('b', array(0), 'size', 0L), {step}, a -> slice(a.b, 2, size(a.b)))")
-    return g.select(key, F.explode(F.arrays_zip(F.col("r.o").alias("o"), fold.alias("b"))).alias("z")).select(key, F.col("z.o").alias(order), F.col("z.b").alias("batch"))
+    """(key, order, batch): rows in order, a new batch where an estimate of a quarter of the characters and 14 more would pass the limit.
+
+    Rows are dealt by key and sorted, and stream through with the open batch's
+    size as the only state: time is linear, and memory an Arrow batch, in keys
+    of any number of rows. One key's rows pass one task, as each batch depends
+    on all before it. Rows of one key and order stand by size; null keys are
+    one key. Texts do not travel, only their sizes.
+    """
+    size = F.greatest(F.lit(1), F.floor((F.length(F.coalesce(text, F.lit(""))) + 14) / 4)).cast("long").alias("n")
+    named = rows.select(F.col(key).alias("key"), F.col(order).alias("at"), size)
+    kinds = [named.schema[c].dataType.simpleString() for c in ("key", "at")]
+
+    def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filled, number = (), 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            runs, sizes, out, at = pc.run_end_encode(b.column(0)), b.column(2).to_numpy(), [], 0
+            for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if (value,) != now:
+                    now, filled, number = (value,), 0, 0
+                found, filled, number = batch_numbers(sizes[at:end], most, filled, number)
+                out.append(found)
+                at = end
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(out))], names=["key", "at", "batch"])
+
+    found = named.repartition("key").sortWithinPartitions("key", "at", "n").mapInArrow(numbered, f"key {kinds[0]}, at {kinds[1]}, batch long")
+    return found.select(F.col("key").alias(key), F.col("at").alias(order), "batch")
+
+
+def learned_abbreviations(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """(word, with_stop, without_stop, score): words of the corpus that a stop follows too often to be sentence ends.
+
+    Dunning's log-likelihood that a word and a stop belong together, against
+    that they meet by chance, made smaller for long words and for each time the
+    word stands without a stop, greater for stops inside it. All words of all
+    documents are counted in one aggregation. `abbreviations` gives the highest
+    as a list for `sentences` and `chunks`.
+    """
+    tokens = docs.select(F.explode(F.regexp_extract_all("text_content", F.lit(r"(\p{L}+(?:\.\p{L}+)*\.?)"), F.lit(1))).alias("t"))
+    stop = F.col("t").endswith(".")
+    n = tokens.groupBy("t").agg(F.count("*").alias("n"))
+    words = stored(n.groupBy(F.rtrim("t", F.lit(".")).alias("word")).agg(F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("with_stop"), F.sum(F.when(stop, 0).otherwise(F.col("n"))).alias("without_stop")))
+    total = words.agg(F.sum("with_stop").alias("s"), F.sum(F.col("with_stop") + F.col("without_stop")).alias("n")).first()
+    if not total.s or total.s == total.n:
+        return words.limit(0).withColumn("score", F.lit(0.0))
+    share = total.s / total.n
+    a, b = F.col("with_stop").cast("double"), F.col("without_stop").cast("double")
+    likelihood = -2 * (a * F.log(F.lit(share / 0.99)) + b * F.log(F.lit((1 - share) / 0.01)))
+    dots = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
+    letters = (F.length("word") - dots).cast("double")
+    score = likelihood * F.exp(-letters) * (dots + 1) * F.pow(letters, -b)
+    return words.withColumn("score", F.round(score, 6)).where((F.col("with_stop") > 0) & (F.col("score") >= least))
+
+
+def abbreviations(learned: DataFrame) -> tuple[str, ...]:
+    """The fixed abbreviations and the highest learned ones, as many as a pattern may hold."""
+    more = learned.where(~F.col("word").isin(*ABBREVIATIONS)).orderBy(F.desc("score"), "word").limit(MOST_ABBREVIATIONS - len(ABBREVIATIONS)).collect()
+    return (*ABBREVIATIONS, *[r.word for r in more])

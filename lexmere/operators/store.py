@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmere.functions import scalars as S
 from lexmere.operators.refs import resolved
+from lexmere.session import stored
 
 EVENT = (
     "title string, description string, time_start string, time_end string, time_precision string, location struct<name string, location_type string>,"
@@ -138,6 +142,33 @@ def geocoded(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return locations.join(g, "name", "left").select("id", "event_id", "name", fill("lat"), fill("lon"))
 
 
+def looked_up(locations: DataFrame, cache: DataFrame, geocode: Callable[[str], tuple[float, float] | None], most: int = 100) -> DataFrame:
+    """(name, lat, lon): the cache, and with it what a user's function says of up to `most` unlocated names that it does not have.
+
+    Names are asked once each, in order of name, in tasks; a name without a
+    place is kept with nulls and not asked again. A name on which the function
+    raises stays out, so that the next run asks again. Null and blank names are
+    not asked. `geocoded` then fills the locations.
+    """
+    kinds = "name string, lat double, lon double"
+
+    def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                try:
+                    at = geocode(name)
+                    rows.append((name, *(map(float, at) if at is not None else (None, None))))
+                except Exception:  # noqa: BLE001  what the user's function raises concerns this name and this run alone
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.float64(), pa.float64()))], names=["name", "lat", "lon"])
+
+    names = locations.where("lat is null and trim(name) <> ''").select("name").distinct().join(cache.select("name"), "name", "left_anti")
+    found = names.orderBy("name").limit(most).repartition(8, "name").mapInArrow(asked, kinds)
+    # asked once, whatever reads the table after
+    return cache.select("name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).unionByName(stored(found))
+
+
 def prior_events(events: DataFrame, most: int = 10) -> DataFrame:
     """Each document's latest events."""
     rank = F.row_number().over(W.partitionBy("document_id").orderBy(F.col("time_start").desc_nulls_last(), "id"))

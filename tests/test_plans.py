@@ -184,3 +184,60 @@ def test_extractors_that_answer_too_much_or_nothing(spark):
     assert none["events"].count() == 0 and none["summary"].first().event_count == 0
     empty = waves.run(docs.limit(0), twice)
     assert empty["calls"].count() == 0 and empty["summary"].count() == 0
+
+
+def test_token_batches_of_one_large_key(spark):
+    """A million rows of one key, in order and in linear time; and small keys as one row after another gives them."""
+    rows = spark.range(1_000_000).selectExpr("if(id % 1000 = 0, id, -1) k", "id o", "repeat('x', cast(id % 90 as int)) t")
+    got = chunks.token_batches(rows, "k", "o", "t", 1000).where("k = -1").groupBy("batch").agg(F.count("*").alias("n"), F.min("o").alias("first"), F.max("o").alias("last")).orderBy("batch").collect()
+    assert sum(x.n for x in got) == 999_000 and [x.batch for x in got] == list(range(len(got)))
+    assert all(a.last < b.first for a, b in zip(got, got[1:]))
+    r = random.Random(5)
+    small = [(r.choice(["a", "b", None]), i, "x" * r.choice([0, 5, 50, 900])) for i in range(300)]
+    want, state = {}, {}
+    for k, o, t in small:
+        n = max(1, (len(t) + 14) // 4)
+        filled, number = state.get(k, (0, 0))
+        filled, number = (n, number + 1) if filled and filled + n > 100 else (filled + n, number)
+        state[k] = filled, number
+        want[o] = number
+    df = spark.createDataFrame(small, "k string, o long, t string").repartition(5)
+    assert {x.o: x.batch for x in chunks.token_batches(df, "k", "o", "t", 100).collect()} == want
+    assert chunks.token_batches(df.limit(0), "k", "o", "t").count() == 0
+
+
+def test_learned_abbreviations(spark):
+    plain = ["La casa grande come pan. El pan es casa.", "El pan come la casa. La casa es pan grande."]
+    rows = [(i, plain[i % 2] + " Vive en la Avda. Colón con la Sgta. Ruiz de la S.R.L. Sur.") for i in range(200)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "id long, text_content string")
+    learned = {x.word for x in chunks.learned_abbreviations(docs).collect()}
+    assert {"Avda", "Sgta", "S.R.L"} <= learned and not {"casa", "pan", "grande", "La", "la"} & learned
+    own = chunks.abbreviations(chunks.learned_abbreviations(docs))
+    assert own[: len(chunks.ABBREVIATIONS)] == chunks.ABBREVIATIONS
+    texts = [x.text for x in chunks.sentences(docs.where("id = 0"), own).collect()]
+    assert "Vive en la Avda. Colón con la Sgta. Ruiz de la S.R.L. Sur." in texts
+    assert chunks.learned_abbreviations(docs.where("id >= 900")).count() == 0
+
+
+def test_names_are_asked_once(spark, tmp_path):
+    from lexmere.operators import store
+
+    places = [(1, 1, "Lima", None, None), (2, 1, "Lima", None, None), (3, 2, "Quito", 1.0, 2.0), (4, 2, "Nowhere", None, None), (5, 3, "Down", None, None), (6, 3, None, None, None), (7, 3, " ", None, None)]
+    loc = spark.createDataFrame(places, "id long, event_id long, name string, lat double, lon double")
+    none = spark.createDataFrame([], "name string, lat double, lon double")
+    where = str(tmp_path)
+
+    def geocode(name):
+        with open(f"{where}/asked", "a") as f:
+            f.write(name + "\n")
+        if name == "Down":
+            raise OSError
+        return (-12, -77) if name == "Lima" else None
+
+    cache = store.looked_up(loc, none, geocode)
+    assert {tuple(x) for x in cache.collect()} == {("Lima", -12.0, -77.0), ("Nowhere", None, None)}
+    got = {x.id: x.lat for x in store.geocoded(loc, cache).collect()}
+    assert got == {1: -12.0, 2: -12.0, 3: 1.0, 4: None, 5: None, 6: None, 7: None}
+    store.looked_up(loc, cache, geocode).count()
+    assert sorted(open(f"{where}/asked").read().split()) == ["Down", "Down", "Lima", "Nowhere"]
+    assert store.looked_up(loc, none, lambda n: None, 1).collect() == [("Down", None, None)]
