@@ -47,7 +47,8 @@ def usage_rows(usage: DataFrame) -> DataFrame:
 def event_rows(parsed_rows: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per event, with its children still nested, a deterministic id and the document's provider and tracking model."""
     stamp = documents.select(F.col("id").alias("document_id"), "provider_id", S.tracking_model(F.col("model"), F.col("llm_mode")).alias("model"))
-    e = parsed_rows.select("document_id", "chunk_index", F.posexplode("events").alias("n", "e")).join(stamp, "document_id", "left")
+    # outer: for the inner generator Catalyst would copy the parsing of events into a filter
+    e = parsed_rows.select("document_id", "chunk_index", F.posexplode_outer("events").alias("n", "e")).where("n is not null").join(stamp, "document_id", "left")
     return e.select(
         S.key_id(F.col("document_id"), F.col("chunk_index"), F.col("n")).alias("id"), "document_id", "chunk_index", F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce("e.description", F.lit("")).alias("description"),
         S.parsed_date(F.col("e.time_start")).alias("time_start"), S.parsed_date(F.col("e.time_end")).alias("time_end"), "e.time_precision", "provider_id", "model", "e.location", "e.participants", "e.references",
@@ -61,13 +62,13 @@ def location_rows(events: DataFrame) -> DataFrame:
 
 def participant_rows(events: DataFrame) -> DataFrame:
     """Named participants; the role defaults to subject, confidence to 1."""
-    p = events.select(F.col("id").alias("event_id"), F.posexplode("participants").alias("n", "p"))
+    p = events.select(F.col("id").alias("event_id"), F.posexplode_outer("participants").alias("n", "p"))
     return p.where(F.coalesce(F.trim("p.name"), F.lit("")) != "").select("event_id", "n", F.trim("p.name").alias("name"), F.coalesce(F.when(F.col("p.role") != "", F.col("p.role")), F.lit("subject")).alias("role"), F.lit(1.0).alias("confidence"))
 
 
 def reference_rows(events: DataFrame) -> DataFrame:
     """References of the four kinds; missing texts and spans are empty and 0."""
-    r = events.select(F.col("id").alias("event_id"), "document_id", "chunk_index", F.posexplode("references").alias("n", "r"))
+    r = events.select(F.col("id").alias("event_id"), "document_id", "chunk_index", F.posexplode_outer("references").alias("n", "r"))
     return r.where(F.col("r.reference_type").isin(*KINDS)).select("event_id", "document_id", "chunk_index", "n", "r.reference_type", F.coalesce("r.verbatim_text", F.lit("")).alias("verbatim_text"), S.whole_number(F.col("r.span_start")).alias("span_start"), S.whole_number(F.col("r.span_end")).alias("span_end"))
 
 
