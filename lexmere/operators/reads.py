@@ -70,7 +70,7 @@ def event_list(events: DataFrame, documents: DataFrame, providers: DataFrame, lo
     child = lambda df: df.join(keys, "event_id", "left_semi")
     out = rows.withColumn("event_id", F.col("id"))
     out = out.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id", "left")
-    out = out.join(F.broadcast(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))), "provider_id", "left")
+    out = out.join(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")), "provider_id", "left")
     out = out.join(first_location(child(locations)), "event_id", "left")
     out = out.join(child_counts(child(participants), "participant_count"), "event_id", "left").join(child_counts(child(refs), "reference_count"), "event_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -84,7 +84,7 @@ def event_detail(events: DataFrame, documents: DataFrame, providers: DataFrame,
     par = participants.groupBy("event_id").agg(array("id", "name", "role", F.nullif("confidence", F.lit(0.0)).alias("confidence")).alias("participants"))
     ref = refs.groupBy("event_id").agg(array("chunk_index", "span_start", "id", "reference_type", "verbatim_text").alias("references"))
     out = events.withColumn("event_id", F.col("id")).join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id", "left")
-    out = out.join(F.broadcast(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))), "provider_id", "left")
+    out = out.join(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")), "provider_id", "left")
     for c in (loc, par, ref):
         out = out.join(c, "event_id", "left")
     return out.select("id", "title", "filename", "provider_name", F.nullif("extraction_confidence", F.lit(0.0)).alias("confidence"), "locations", "participants", "references")
@@ -117,7 +117,7 @@ def document_list(documents: DataFrame, providers: DataFrame, usage: DataFrame,
     mine = lambda df: df.join(keys, "document_id", "left_semi")
     tokens = mine(usage).groupBy("document_id").agg(F.sum("total_tokens").alias("total_tokens"))
     sources = F.broadcast(rows.select("source_id").distinct())
-    out = rows.join(F.broadcast(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))), "provider_id", "left")
+    out = rows.join(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")), "provider_id", "left")
     out = out.join(tokens, out.id == tokens.document_id, "left").drop("document_id")
     out = out.join(source_sizes(documents.join(sources, "source_id", "left_semi")), "source_id", "left")
     out = out.join(document_counts(rows, mine(events), mine(chunks)), "id")
@@ -127,7 +127,7 @@ def document_list(documents: DataFrame, providers: DataFrame, usage: DataFrame,
 def document_status(documents: DataFrame, providers: DataFrame, events: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
     """Status, provider and counts of every document."""
     r = refs.groupBy("document_id").agg(F.count("*").alias("reference_count"))
-    out = documents.join(document_counts(documents, events, chunks), "id").join(F.broadcast(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))), "provider_id", "left")
+    out = documents.join(document_counts(documents, events, chunks), "id").join(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")), "provider_id", "left")
     out = out.join(r, out.id == r.document_id, "left")
     return out.select("id", "status", "provider_name", S.word_count(F.col("text_content")).alias("word_count"), "event_count", "chunk_count", F.coalesce("reference_count", F.lit(0)).alias("reference_count"))
 
@@ -169,7 +169,7 @@ def boxes_hit(boxes: DataFrame, locations: DataFrame) -> DataFrame:
 def model_colors(events: DataFrame, colors: DataFrame) -> DataFrame:
     """Distinct pairs of a named model and its provider's colour."""
     named = events.where((F.col("model").isNotNull()) & (F.col("model") != ""))
-    return named.join(F.broadcast(colors), "provider_id", "left").select("model", "color_index").distinct()
+    return named.join(colors, "provider_id", "left").select("model", "color_index").distinct()
 
 
 def color_of_model(events: DataFrame, colors: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def sampling(documents: DataFrame, providers: DataFrame) -> DataFrame:
     own = providers.select(F.col("id").alias("provider_id"), "instruct_temperature", "instruct_top_p", "instruct_top_k")
     on = F.lower(F.trim("llm_mode")) == "instruct"
     of = lambda c, d: F.when(on, F.coalesce(c, F.lit(d))).alias(c)
-    return documents.join(F.broadcast(own), "provider_id", "left").select("id", of("instruct_temperature", 0.7), of("instruct_top_p", 0.9), of("instruct_top_k", 40))
+    return documents.join(own, "provider_id", "left").select("id", of("instruct_temperature", 0.7), of("instruct_top_p", 0.9), of("instruct_top_k", 40))
 
 
 def log_page(log: DataFrame, page: int = 1) -> DataFrame:
