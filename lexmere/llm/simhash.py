@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmere.llm.passages import shingle_hashes, word_hashes
+from lexmere.llm.passages import _mix, shingle_hashes, word_hashes
 from lexmere.operators.components import connected_components
 from lexmere.session import small, stored
 
@@ -216,11 +216,26 @@ def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Da
 BIG = 64
 
 
+def _set_of(words: np.ndarray) -> np.ndarray:
+    s = np.unique(shingle_hashes(words))
+    return s if len(s) or not len(words) else np.array([xxhash.xxh64_intdigest(words.tobytes())], np.uint64)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct hashes of the 5-word shingles; the words' hashes of a shorter text count as one."""
-    w = word_hashes((text or "").encode("utf-8", "replace"))[0]
-    s = np.unique(shingle_hashes(w))
-    return s if len(s) or not len(w) else np.array([xxhash.xxh64_intdigest(w.tobytes())], np.uint64)
+    return _set_of(word_hashes((text or "").encode("utf-8", "replace"))[0])
+
+
+def sketches(words: np.ndarray, many: int) -> list[int]:
+    """`many` independent signed fingerprints of the distinct ones of a text's word hashes; no words: 0."""
+    own = np.unique(words)
+    counts = np.zeros((many, BITS), np.int64)
+    for at in range(0, len(own), STEP):
+        for k in range(many):
+            with np.errstate(over="ignore"):
+                h = _mix(own[at : at + STEP] + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(own), axis=1).view(">i8")[:, 0].tolist()
 
 
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -239,14 +254,17 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
 
 
-def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, radius: int = 6, similar: float = 0.8) -> DataFrame:
+def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = 4, radius: int = 4, similar: float = 0.8) -> DataFrame:
     """docs without those of which an earlier kept one (a smaller id) is a copy or near copy; columns as given.
 
-    Fingerprints within the radius are candidates only: a document goes if a kept
-    one has a Jaccard similarity of at least `similar` over 5-word shingles, so
-    links do not chain. Texts of equal shingle sets (and blank ones) are copies.
-    Rows with a null id, and repeated rows of a kept document, stay; of rows that
-    repeat an id each text is judged on its own.
+    Each text has `many` independent fingerprints over its distinct words, and
+    texts of which any are within the radius are candidates: several at a small
+    radius miss fewer near copies than one at a large radius that has as many
+    tables. They are candidates only: a document goes if a kept one has a Jaccard
+    similarity of at least `similar` over 5-word shingles, so links do not chain.
+    Texts of equal shingle sets (and null, empty and blank ones) are copies. Rows
+    with a null id, and repeated rows of a kept document, stay; of rows that
+    repeat an id each text is judged on its own. Empty table: empty result.
     """
 
     def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,28 +272,35 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 sets = [shingle_set(t.as_py()).tobytes() for t in part.column(5)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["g", "node", "id", "n", "fp", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["g", "node", "id", "n", "fps", "x"])
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(2)]
-            sets = [shingle_set(t) for t in texts]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fps = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), fps], names=["id", "key", "node", "n", "fp"])
+            node, n, fps = [], [], []
+            for t in b.column(2):
+                w = word_hashes((t.as_py() or "").encode("utf-8", "replace"))[0]
+                s = _set_of(w)
+                node.append(xxhash.xxh64_intdigest(s.tobytes()))
+                n.append(len(s))
+                fps.append(sketches(w, many))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=["id", "key", "node", "n", "fps"])
 
     whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(whole.mapInArrow(of, "id long, key long, node long, n int, fp long"))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "key", "fp", "n")).alias("x")).selectExpr("node", "x.*"))
+    rows = stored(whole.mapInArrow(of, "id long, key long, node long, n int, fps array<long>"))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "key", "fps", "n")).alias("x")).selectExpr("node", "x.*"))
     # sets of fewer shingles are similar to equal ones only
     linked = nodes.where(f"n >= {similar} * (n + 1)")
-    roots = connected_components(links(linked.select("fp").distinct(), radius))
-    grouped = stored(linked.join(roots, linked.fp == roots.node, "left").select(linked["*"], F.coalesce("root", "fp").alias("g")))
-    several = grouped.groupBy("g").count().where("count > 1").select("g")
-    asked = grouped.join(several, "g", "left_semi")
+    spread = linked.select("node", F.explode_outer("fps").alias("fp"))
+    met = stored(links(spread.select("fp").distinct(), radius))
+    # only fingerprints that are shared or linked tie their texts together; most texts have none
+    ties = met.select(F.col("a").alias("fp")).union(met.select("b")).union(spread.groupBy("fp").count().where("count > 1").select("fp")).distinct()
+    tied = stored(spread.join(ties, "fp").selectExpr("node a", "fp b"))
+    roots = connected_components(met.union(tied))
+    grouped = linked.join(tied.selectExpr("a node").distinct(), "node").join(roots, "node", "left")
+    asked = stored(grouped.select("node", "id", "key", "fps", "n", F.coalesce("root", "node").alias("g")))
     texts = whole.join(small(asked.select("id", "key")), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
     # each text's set is made once, not once for each pair
-    left = stored(asked.join(texts, ["id", "key"]).select("g", "node", "id", "n", "fp", "text").mapInArrow(with_sets, "g long, node long, id long, n int, fp long, x binary"))
+    left = stored(asked.join(texts, ["id", "key"]).select("g", "node", "id", "n", "fps", "text").mapInArrow(with_sets, "g long, node long, id long, n int, fps array<long>, x binary"))
     gone = nodes.select("node").limit(0)
     # the first text of a group is always kept: large groups of near copies go in a pass over the group each
     while True:
@@ -290,8 +315,9 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = stored(left.join(hit.select(F.col("b").alias("node")).union(lead.select("a")), "node", "left_anti"))
         if found * 50 < of_all:
             break
-    kept = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks(radius)])
-    cells = left.select("node", "id", "n", "fp", F.posexplode(kept).alias("t", "k"))
+    tables = masks(radius)
+    kept = F.flatten(F.transform("fps", lambda fp: F.array(*[fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in tables])))
+    cells = left.select("node", "id", "n", "fps", F.posexplode_outer(kept).alias("t", "k")).withColumn("fp", F.expr(f"fps[cast(t div {len(tables)} as int)]")).drop("fps")
     near = f"(x.id < y.id or x.id = y.id and x.node < y.node) and least(x.n, y.n) >= {similar} * greatest(x.n, y.n) and bit_count(x.fp ^ y.fp) <= {radius}"
     pairs = cells.alias("x").join(cells.alias("y"), ["t", "k"]).where(near).selectExpr("x.node a", "y.node b").distinct()
     full = pairs.join(left.selectExpr("node a", "x"), "a").join(left.selectExpr("node b", "x y"), "b")

@@ -1,8 +1,10 @@
 """Nearest neighbours, near-duplicates, passages and decontamination against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexmere.llm import ann, decontaminate, passages, queries, simhash
-from lexmere.session import stored
+from lexmere.session import stored, table
 
-SF = "/root/testdata/sf0.001"
+SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, id long, t string, component string"
 
 
@@ -210,6 +212,43 @@ def test_near_duplicates_are_checked_on_the_texts(spark, monkeypatch, big):
     assert not both and (902, "A  b c") not in kept and {(901, "a b d"), rows[-1]} <= kept
 
 
+def near_plain(rows, least=0.8):
+    """Ids that go when each text in order of id goes if a kept one before it is as similar: candidates by an inverted index over the rarest shingles."""
+    sets = {i: simhash.shingle_set(t) for i, t in sorted(rows)}
+    count = Counter(h for s in sets.values() for h in s.tolist())
+    index, gone = {}, set()
+    for i, s in sets.items():
+        keys = sorted(s.tolist(), key=lambda h: (count[h], h))[: len(s) - math.ceil(least * len(s)) + 1] or [None]
+        for j in sorted({j for h in keys for j in index.get(h, ())}):
+            both = len(np.intersect1d(s, sets[j], assume_unique=True))
+            if j not in gone and (both >= least * (len(s) + len(sets[j]) - both)):
+                gone.add(i)
+                break
+        for h in keys:
+            index.setdefault(h, []).append(i)
+    return gone
+
+
+def test_near_copies_that_the_stage_drops(spark):
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text or "") for r in table(spark, SF2, "documents").collect()]
+    long = [t.split() for _, t in rows if 40 <= len(t.split()) < 2000]
+    for n in range(300):
+        words = list(rng.choice(long))
+        for _ in range(max(1, int(len(words) * rng.uniform(0.005, 0.03)))):
+            at, other = rng.randrange(len(words)), rng.choice(rng.choice(long))
+            words[at : at + rng.randint(0, 1)] = [other] if rng.random() < 0.8 else []
+        rows.append((10**6 + n, " ".join(words)))
+    want = near_plain(rows)
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.keep_unlike(docs_of(spark, rows)).collect()}
+    copies = {i for i, t in rows if i < 10**6} & want
+    planted = {i for i in want if i >= 10**6}
+    assert len(planted) > 200 and len(planted & gone) >= 0.95 * len(planted)
+    assert len(copies & gone) >= 0.95 * len(copies)
+    # a text that stays by a miss can take others with it, no other may go
+    assert len(gone - want) <= len(want - gone)
+
+
 # --- passages
 
 
