@@ -9,7 +9,9 @@ one; a unit with signs inside is also looked at with these as gaps that weigh
 nothing, and has the worse of both scores. The kernel is normalised and raised
 to POWER. A unit is mapped by its kernel values with landmarks taken from the
 training sample, whitened by the landmarks' own kernel matrix, and scored by a
-linear SVM; a text's probability is fitted to its worst units' SVM scores.
+linear SVM; a text's probability is fitted to its worst units' SVM scores, in
+which no weight is negative, so that a worse unit never lowers it. Landmarks are
+toxic words, clean words that are near to them, and common ones.
 
 Units of training texts share their text's label, so the SVM is trained in
 rounds: toxic texts are represented by the units that score highest so far,
@@ -33,24 +35,28 @@ from lexmere.llm import labelled
 from lexmere.llm.memory import give_back
 
 #: Subsequence length, longest span, weight of each spanned character, and power of the normalised kernel.
-LENGTH, REACH, DECAY, POWER = 3, 5, 0.8, 3
+LENGTH, REACH, DECAY, POWER = 3, 7, 0.9, 2
 #: Buckets that subsequences are hashed to, landmarks, and characters of a word that are looked at in one piece.
-BUCKETS, LANDMARKS, PIECE = 1 << 16, 96, 24
+BUCKETS, LANDMARKS, PIECE = 1 << 18, 96, 24
+#: Signed chi-square from which a word may be a toxic landmark (a quarter of the best one's, where that is less), and clean words near to these that are landmarks too.
+SURE, HARD = 12.0, 48
 #: Words that a worker remembers scores of, rounds of training, steps of a round.
 CACHE, ROUNDS, STEPS = 150_000, 3, 3000
 #: Word scores at which a text's score may bend.
-KNEES = (0.0, 1.0, 2.0, 3.0)
+KNEES = (0.0, 0.4, 1.0, 3.0)
 #: Log odds of a model that has nothing to learn from: every text counts as clean, so none is rejected.
 UNTRAINED = -30.0
 #: Most toxic landmarks whose altered forms are learned from as well.
 WORST = 24
 
 #: Clean texts of the sample that a toxic landmark is put into, and what share of all weight they have.
-PUT, PUT_WEIGHT = 240, 0.005
+PUT, PUT_WEIGHT = 240, 0.02
 
 _SIGNS, _TRIM = re.compile(r"[\W_]+"), re.compile(r"^[\W_]+|[\W_]+$")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 _OFFSETS = [(0, *rest) for rest in combinations(range(1, REACH), LENGTH - 1)]
+#: Weight of a subsequence by its span.
+_WEIGHT = DECAY ** np.arange(REACH + 1)
 
 
 def trimmed(unit: str) -> str:
@@ -76,55 +82,56 @@ def words(text: str) -> list[str]:
 
 
 def subsequences(many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit number, bucket, weight) of every subsequence of each unit; outer signs are trimmed and the start is marked."""
+    """(unit number, bucket, span) of every subsequence of each unit; outer signs are trimmed and the start is marked."""
     short = ["^" + trimmed(w) for w in many]
     width = max(map(len, short), default=1) + REACH
     codes = np.frombuffer("".join(w.ljust(width, "\0") for w in short).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.uint64)
-    rows, buckets, weights = [], [], []
+    rows, buckets, spans = [], [], []
+    seen: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {(): (np.zeros((len(short), width - REACH), np.uint64), np.ones((len(short), width - REACH), bool))}
     for at in _OFFSETS:
-        h = np.zeros((len(short), width - REACH), np.uint64)
-        whole = np.ones(h.shape, bool)
-        for k in at:
-            c = codes[:, k : k + h.shape[1]]
-            whole &= c > 0
-            h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
+        for k in range(LENGTH):
+            if at[: k + 1] not in seen:
+                h, whole = seen[at[:k]]
+                c = codes[:, at[k] : at[k] + h.shape[1]]
+                h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+                seen[at[: k + 1]] = h, whole & (c > 0)
+        h, whole = seen.pop(at)
         r, p = np.nonzero(whole)
         rows.append(r)
         buckets.append((h[r, p] % np.uint64(BUCKETS)).astype(np.int64))
-        weights.append(np.full(len(r), DECAY ** (at[-1] + 1)))
-    return np.concatenate(rows), np.concatenate(buckets), np.concatenate(weights)
+        spans.append(np.full(len(r), at[-1] + 1))
+    return np.concatenate(rows), np.concatenate(buckets), np.concatenate(spans)
 
 
 class Kernel:
     """Kernel values of words with a fixed list of landmarks."""
 
     def __init__(self, landmarks: list[str]) -> None:
-        r, b, w = subsequences(landmarks)
-        table = np.zeros((BUCKETS, len(landmarks)))
-        np.add.at(table, (b, r), w)
-        norm = np.sqrt((table**2).sum(0))
-        table = (table / np.where(norm > 0, norm, 1)).astype(np.float32)
-        used = np.flatnonzero(table.any(1))
-        self.place = np.zeros(BUCKETS, np.int32)
-        self.place[used] = np.arange(1, len(used) + 1)
-        self.table = np.concatenate([np.zeros((1, len(landmarks)), np.float32), table[used]])
+        r, b, span = subsequences(landmarks)
+        # a bucket is in few landmarks: these stand one after another, `many` of them from `first` on
+        key, at = np.unique(b * len(landmarks) + r, return_inverse=True)
+        self.size, self.landmark, self.value = len(landmarks), key % len(landmarks), np.bincount(at, _WEIGHT[span], len(key))
+        norm = np.sqrt(np.bincount(self.landmark, self.value**2, len(landmarks)))
+        self.value = self.value / np.where(norm > 0, norm, 1)[self.landmark]
+        self.many = np.bincount(key // len(landmarks), minlength=BUCKETS).astype(np.int32)
+        self.first = (np.cumsum(self.many) - self.many).astype(np.int32)
 
     def __call__(self, many: list[str]) -> np.ndarray:
-        out = np.empty((len(many), self.table.shape[1]), np.float32)
+        out = np.empty((len(many), self.size), np.float32)
         for lo in range(0, len(many), 2048):
             part = many[lo : lo + 2048]
-            r, b, w = subsequences(part)
-            key, inverse = np.unique(r * BUCKETS + b, return_inverse=True)
-            total = np.bincount(inverse, w, len(key))
-            norm = np.sqrt(np.bincount(key // BUCKETS, total**2, len(part)))
-            at = self.place[key % BUCKETS]
-            known = at > 0
-            row, at, weight = key[known] // BUCKETS, at[known], total[known]
-            got = np.zeros((len(part), out.shape[1]), np.float32)
-            if len(row):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                got[row[first]] = np.add.reduceat(self.table[at] * weight[:, None].astype(np.float32), first)
+            r, b, span = subsequences(part)
+            # a unit's own norm: weights of equal subsequences are summed, in keys that sort with their span
+            key = np.sort((r * BUCKETS + b) * (REACH + 1) + span)
+            weight, key = _WEIGHT[key % (REACH + 1)], key // (REACH + 1)
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            norm = np.sqrt(np.bincount(key[first] // BUCKETS, np.add.reduceat(weight, first) ** 2, len(part))) if len(key) else np.zeros(len(part))
+            known = np.flatnonzero(self.many[b])
+            times = self.many[b[known]]
+            at = np.repeat(self.first[b[known]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            value = np.repeat(_WEIGHT[span[known]], times) * self.value[at]
+            got = np.bincount(np.repeat(r[known], times) * self.size + self.landmark[at], value, len(part) * self.size).reshape(len(part), self.size)
             out[lo : lo + 2048] = (got / np.where(norm > 0, norm, 1)[:, None]) ** POWER
         return out
 
@@ -162,18 +169,18 @@ class Words(dict):
             self.update({w: max(scored.get(f, self.get(f)) for f in fs) if fs[0] != fs[1] else scored.get(fs[0], self.get(fs[0])) for w, fs in form.items()})
 
     def features(self, found: list[str]) -> np.ndarray:
-        """What is known of a text: its worst word's score, bent at KNEES, and how many words are beyond each of two of them, and beyond the margin per word."""
+        """What is known of a text: its worst word's score, in ramps between -1, KNEES and 5, and how many words are beyond each of two of them, and beyond the margin per word."""
         if not self.kernel or not found:
-            return np.array([-1.0] + [0.0] * (len(KNEES) + 3))
+            return np.zeros(len(KNEES) + 4)
         s = list(map(self.__getitem__, found))
-        worst = min(max(s), 5.0)
+        worst = max(s)
         over = sum(x > KNEES[0] for x in s) if worst > KNEES[0] else 0
         far = sum(x > KNEES[-1] for x in s) if worst > KNEES[-1] else 0
-        return np.array([max(worst, -1.0), *(max(worst - k, 0.0) for k in KNEES), np.log1p(over), np.log1p(far), 20 * over / (20 + len(s))])
+        return np.array([*(min(max(worst, lo), hi) - lo for lo, hi in zip((-1.0, *KNEES), (*KNEES, 5.0))), np.log1p(over), np.log1p(far), 20 * over / (20 + len(s))])
 
 
 def _landmarks(names: list[str], of: list[np.ndarray], y: np.ndarray) -> list[str]:
-    """Words whose share of toxic texts differs most from that of clean ones, by the signed chi-square of the two counts, and common words as contrast."""
+    """Words whose share of toxic texts differs most from that of clean ones, by the signed chi-square of the two counts, and as contrast clean words whose kernel with these is greatest, and common words."""
     short = [trimmed(w) for w in names]
     number = {w: i for i, w in enumerate(dict.fromkeys(short))}
     to = np.array([number[w] for w in short])
@@ -183,11 +190,12 @@ def _landmarks(names: list[str], of: list[np.ndarray], y: np.ndarray) -> list[st
     gain = np.where(toxic > 1, (toxic - expected) * np.abs(toxic - expected) / (expected + 1), -np.inf)
     words_ = np.array(list(number), dtype=object)
     order = sorted(np.argsort(-gain, kind="stable")[: LANDMARKS * 3].tolist(), key=lambda i: (-gain[i], words_[i]))
-    worst = [words_[i] for i in order if np.isfinite(gain[i])][: LANDMARKS * 3 // 4]
-    common = [words_[i] for i in np.lexsort((np.arange(len(clean)), -clean)) if clean[i]]
-    rest = [w for w in common if w not in set(worst)]
-    step = max(1, len(rest) // (LANDMARKS * 16))
-    return worst + rest[: LANDMARKS // 8] + rest[LANDMARKS // 8 :: step][: LANDMARKS // 8]
+    worst = [words_[i] for i in order if gain[i] > 0 and gain[i] >= min(SURE, gain.max() / 4)][: LANDMARKS * 3 // 4]
+    common = [words_[i] for i in np.lexsort((np.arange(len(clean)), -clean)) if clean[i] and words_[i] not in set(worst)]
+    often = [w for w in common if clean[number[w]] > 1 and toxic[number[w]] * n < clean[number[w]] * p] if worst else []
+    close = Kernel(worst)(often).max(1) * np.log1p(clean[[number[w] for w in often]]) if often else np.zeros(0)
+    hard = [often[i] for i in np.argsort(-close, kind="stable")[:HARD]]
+    return worst + hard + [w for w in common if w not in set(hard)][: LANDMARKS // 8]
 
 
 def _counts(of: list[np.ndarray], y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +226,14 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int, ridge: flo
     return mean[:-1], float(mean[-1])
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    ridge, s = np.diag([0.01] * (x.shape[1] - 1) + [1e-6]), np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ s, -30, 30)))
+        s = s - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ s)
+    return s
+
+
 def train(texts: list[str], y: np.ndarray) -> Model:
     model = Model()
     if not len(y) or y.min() == y.max():
@@ -264,11 +280,16 @@ def train(texts: list[str], y: np.ndarray) -> Model:
         x = np.concatenate([x, [(*scorer.features(words(t)), 1.0) for t in put]])
         y = np.append(y, np.ones(len(put)))
         weight = np.append(weight, np.full(len(put), PUT_WEIGHT * len(texts) / len(put)))
-    ridge, s = np.diag([0.01] * (len(KNEES) + 4) + [1e-6]), np.zeros(len(KNEES) + 5)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ s, -30, 30)))
-        s = s - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ s)
-    model.scale = s
+    # more toxic words never lower a score: what has a negative weight is left out
+    used = np.ones(x.shape[1], bool)
+    while True:
+        s = _logistic(x[:, used], y, weight)
+        bad = np.flatnonzero(used)[:-1][s[:-1] < 0]
+        if not len(bad):
+            break
+        used[bad] = False
+    model.scale = np.zeros(len(used))
+    model.scale[used] = s
     return model
 
 

@@ -245,6 +245,13 @@ def test_altered_insults_are_caught(spark):
     assert caught(sign, 3) >= 0.8 and caught(sign, 1) >= 0.8 and caught(".".join, 1) >= 0.8 and caught(" ".join, 1) >= 0.8
     assert caught(lambda w: w, 0) <= 0.02
 
+    def put(w):
+        i = rng.randrange(1, len(w))
+        return w[:i] + rng.choice("aeioubcdtx") + w[i:]
+
+    found = caught(put, 1), caught(put, 3), caught(lambda w: (i := rng.randrange(1, len(w))) and w[:i] + w[i - 1] + w[i:], 1)
+    assert found[0] >= 0.4 and found[1] >= 0.8 and found[2] >= 0.4, found
+
 
 def test_kernel_is_the_gapped_subsequence_kernel():
     def plain(a, b):
