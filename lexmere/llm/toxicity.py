@@ -40,8 +40,8 @@ LENGTH, REACH, DECAY, POWER = 3, 7, 0.9, 2
 BUCKETS, LANDMARKS, PIECE = 1 << 18, 96, 24
 #: Signed chi-square from which a word may be a toxic landmark (a quarter of the best one's, where that is less), and clean words near to these that are landmarks too.
 SURE, HARD = 12.0, 48
-#: Words that a worker remembers scores of, rounds of training, steps of a round.
-CACHE, ROUNDS, STEPS = 150_000, 3, 3000
+#: Words that a worker remembers scores of, words whose kernel is computed at once, rounds of training, steps of a round.
+CACHE, BLOCK, ROUNDS, STEPS = 150_000, 512, 3, 3000
 #: Word scores at which a text's score may bend.
 KNEES = (0.0, 0.4, 1.0, 3.0)
 #: Log odds of a model that has nothing to learn from: every text counts as clean, so none is rejected.
@@ -119,8 +119,8 @@ class Kernel:
 
     def __call__(self, many: list[str]) -> np.ndarray:
         out = np.empty((len(many), self.size), np.float32)
-        for lo in range(0, len(many), 2048):
-            part = many[lo : lo + 2048]
+        for lo in range(0, len(many), BLOCK):
+            part = many[lo : lo + BLOCK]
             r, b, span = subsequences(part)
             # a unit's own norm: weights of equal subsequences are summed, in keys that sort with their span
             key = np.sort((r * BUCKETS + b) * (REACH + 1) + span)
@@ -132,7 +132,7 @@ class Kernel:
             at = np.repeat(self.first[b[known]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
             value = np.repeat(_WEIGHT[span[known]], times) * self.value[at]
             got = np.bincount(np.repeat(r[known], times) * self.size + self.landmark[at], value, len(part) * self.size).reshape(len(part), self.size)
-            out[lo : lo + 2048] = (got / np.where(norm > 0, norm, 1)[:, None]) ** POWER
+            out[lo : lo + BLOCK] = (got / np.where(norm > 0, norm, 1)[:, None]) ** POWER
         return out
 
 
