@@ -67,6 +67,16 @@ def test_white_space_between_sentences_counts_for_no_chunk(spark):
     assert got == [(three, 4, 4 + len(three)), (three, 46, 46 + len(three))]
 
 
+def test_chunks_where_both_targets_agree(spark):
+    """ceil(0.51 * total) may be the target itself; sentences stand once all the same."""
+    text = " ".join(["Una frase de 21 letr."] * 5 + ["Fin de esto, y ya."])
+    docs = spark.createDataFrame([(1, text)], "id long, text_content string")
+    for t in (62, 63, 64):  # sentences have 123 characters, 51 % of which are 63
+        got = chunks.chunks(docs, t).orderBy("chunk_index").collect()
+        assert all(x.text == text[x.offset_start : x.offset_end] for x in got)
+        assert " ".join(x.text for x in got) == text
+
+
 def test_dates(spark):
     cases = {"2024-01-02T03:04:05Z": "2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05+02:00": "2024-01-02T01:04:05+00:00", "2024-01-02": "2024-01-02T03:00:00+00:00", " 2024-01-02 03:04:05 ": "2024-01-02T06:04:05+00:00", "": None, "mayo": None, "2024-01-02T03:04:05.123": None}
     df = spark.createDataFrame(list(cases.items()), "t string, w string")
