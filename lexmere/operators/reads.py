@@ -156,14 +156,47 @@ def map_layer(locations: DataFrame, events: DataFrame, documents: DataFrame, box
     return named.select("event_id", "title", "filename", "location_name", "lat", "lon", S.iso(F.col("time_start")).alias("time_start"))
 
 
+def _upto(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `upto`: the sum of w over all rows up to their own in this order, by a prefix scan over parts of bounded size."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    # one row per part
+    before = cut.groupBy("part").agg(F.sum("w").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.sum("w").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return cut.withColumn("within", within).join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.col("within"))
+
+
 def boxes_hit(boxes: DataFrame, locations: DataFrame) -> DataFrame:
-    """B10 as data: (box, n) located points in every valid box; boxes meet locations through one-degree-wide cells of ten."""
-    cell = lambda c: F.floor(F.col(c) / 10).cast("int")
+    """B10 as data: (box, n) located points in every valid box.
+
+    Boxes never meet points in pairs. Equal points, and boxes of equal sides,
+    stand once. Longitudes are numbered; a box is at most two blocks of 2**j
+    numbers for each j, and in a block its points are those up to its greatest
+    latitude less those under its least, both from one prefix scan over all
+    blocks: n log n rows, however many points a box holds.
+    """
+    sides = ["min_lon", "max_lon", "min_lat", "max_lat"]
     ok = boxes.where("min_lon between -180 and max_lon and max_lon <= 180 and min_lat between -90 and max_lat and max_lat <= 90")
-    spread = ok.withColumn("cell", F.explode(F.sequence(cell("min_lon"), cell("max_lon"))))
-    met = spread.join(locations.where("lat is not null and lon is not null").withColumn("cell", cell("lon")), "cell").where("lon between min_lon and max_lon and lat between min_lat and max_lat")
-    n = met.groupBy("box").agg(F.count("*").alias("n"))
-    return ok.select("box").join(n, "box", "left").select("box", F.coalesce("n", F.lit(0)).alias("n"))
+    ok = ok.select("box", *[F.col(c).cast("double").alias(c) for c in sides])
+    once = stored(ok.select(*sides).distinct().withColumn("k", F.monotonically_increasing_id()))
+    points = locations.where("lon between -180 and 180 and lat between -90 and 90").select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    points = stored(points.groupBy("lon", "lat").agg(F.count("*").alias("w")))
+    # kinds: 0 a low end, 1 a point, 2 a high end
+    ends = lambda of, at: of.selectExpr("k", f"min_{at} at", "0 kind", "0L w").unionByName(of.selectExpr("k", f"max_{at} at", "2 kind", "0L w"))
+    numbered = stored(_upto(ends(once, "lon").unionByName(points.select("lon").distinct().selectExpr("-1L k", "lon at", "1 kind", "1L w")), "at", "kind", "k").select("k", "at", "kind", "upto"))
+    number = numbered.where("kind = 1").selectExpr("at lon", "upto - 1 number")
+    span = numbered.where("kind <> 1").groupBy("k").agg(F.min(F.expr("if(kind = 0, upto, null)")).alias("lo"), F.max(F.expr("if(kind = 2, upto, null)")).alias("hi"))
+    top = max((number.agg(F.max("number")).first()[0] or 0).bit_length(), 1)
+    low, high = "shiftright(lo + shiftleft(1L, j) - 1, j)", "shiftright(hi, j)"
+    blocks = once.join(span, "k").select("k", "min_lat", "max_lat", F.expr(f"explode(sequence(0, {top})) j"), "lo", "hi").selectExpr("k", "min_lat", "max_lat", "j", f"{low} lo", f"{high} hi").where("lo < hi")
+    blocks = blocks.select("k", "min_lat", "max_lat", "j", F.explode_outer(F.expr("filter(array(if(lo % 2 = 1, lo, null), if(hi % 2 = 1, hi - 1, null)), b -> b is not null)")).alias("block")).where("block is not null")
+    sought = blocks.selectExpr("j", "block", "k", "min_lat at", "0 kind", "0L w").unionByName(blocks.selectExpr("j", "block", "k", "max_lat at", "2 kind", "0L w"))
+    held = points.join(number, "lon").select(F.expr(f"explode(sequence(0, {top})) j"), "number", "lat", "w").selectExpr("j", "shiftright(number, j) block", "-1L k", "lat at", "1 kind", "w")
+    held = held.groupBy("j", "block", "k", "at", "kind").agg(F.sum("w").alias("w"))
+    sums = _upto(sought.unionByName(held), "j", "block", "at", "kind", "k").where("kind <> 1")
+    n = sums.groupBy("k").agg(F.sum(F.expr("if(kind = 2, upto, -upto)")).alias("n"))
+    counted = once.join(n, "k", "left").drop("k")
+    return ok.join(counted, sides).groupBy("box").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
 def model_colors(events: DataFrame, colors: DataFrame) -> DataFrame:

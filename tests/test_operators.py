@@ -1,6 +1,7 @@
 """Literal cases of single operators."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,26 @@ def test_boxes():
             reads.valid_box(*bad)
 
 
+def test_points_in_boxes(spark):
+    """Counts of any boxes, and no join in which boxes meet points: that one grows with the product of both."""
+    r = random.Random(11)
+    near = lambda most: r.choice([float(r.randint(-most, most)), r.uniform(-most, most), r.uniform(0, 2)])
+    points = [(i, near(180), near(90)) for i in range(700)] + [(i, 1.5, 1.5) for i in range(300)] + [(9, None, 1.0), (9, 1.0, None), (9, -0.0, 0.0), (9, float("nan"), 0.0)]
+    boxes = [(i, *sorted((near(180), near(180))), *sorted((near(90), near(90)))) for i in range(300)]
+    boxes += [(900, -180.0, 180.0, -90.0, 90.0), (901, 1.5, 1.5, 1.5, 1.5), (902, 2.0, 1.0, 0.0, 1.0), (903, 0.0, 181.0, 0.0, 1.0), (904, None, 1.0, 0.0, 1.0), (905, 0.0, 0.0, 0.0, 0.0), (5, -1.0, 1.0, -1.0, 1.0), (906, 179.5, 179.6, 89.9, 90.0)]
+    hits = reads.boxes_hit(spark.createDataFrame(boxes, "box int, min_lon double, max_lon double, min_lat double, max_lat double"), spark.createDataFrame(points, "id int, lon double, lat double"))
+    want = {}
+    for b, x0, x1, y0, y1 in boxes:
+        if None not in (x0, x1) and -180 <= x0 <= x1 <= 180 and -90 <= y0 <= y1 <= 90:
+            want[b] = want.get(b, 0) + sum(x is not None and y is not None and x0 <= x <= x1 and y0 <= y <= y1 for _, x, y in points)
+    got = hits.collect()
+    assert {x.box: x.n for x in got} == want and len(got) == len(want)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "min_lon" in plan and not re.search(r"Join.*lat#\d+ [<>]=", plan)
+    none = spark.createDataFrame([], "id int, lon double, lat double")
+    assert {x.n for x in reads.boxes_hit(spark.createDataFrame(boxes[:5], "box int, min_lon double, max_lon double, min_lat double, max_lat double"), none).collect()} == {0}
+
+
 def test_colours(spark):
     p = spark.createDataFrame([(f"p{i:02}", i) for i in range(23)], "id string, created_at int")
     c = spark.createDataFrame([(f"p{i:02}", i) for i in (0, 2, 3)], "provider_id string, color_index int")
