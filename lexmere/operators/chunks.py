@@ -124,8 +124,8 @@ def page_at(offset: str, offsets: str = "page_offsets") -> Column:
     return F.expr(f"greatest(1, least(size(filter({offsets}, o -> o <= {offset})), size({offsets}) - 1))")
 
 
-def chunks(docs: DataFrame, target: int = TARGET, abbreviations: Sequence[str] = ABBREVIATIONS) -> DataFrame:
-    """(id, text_content, page_offsets?) -> (document_id, chunk_index, text, offset_start, offset_end, page_start, page_end).
+def chunks(docs: DataFrame, target: int = TARGET, abbreviations: Sequence[str] = ABBREVIATIONS, carried: Sequence[str] = ()) -> DataFrame:
+    """(id, text_content, page_offsets?) -> (document_id, chunk_index, text, offset_start, offset_end, page_start, page_end), and the document's `carried` columns.
 
     A text within the target is one chunk; null and empty texts are one empty
     chunk on page 1. In longer texts white space before the first sentence and
@@ -139,9 +139,9 @@ def chunks(docs: DataFrame, target: int = TARGET, abbreviations: Sequence[str] =
     pages = F.when(F.size("page_offsets") > 1, F.col("page_offsets")) if "page_offsets" in docs.columns else F.lit(None).cast("array<int>")
     one = lambda t, begin: F.array(F.struct(F.lit(0).alias("chunk_index"), t.alias("text"), begin.cast("int").alias("offset_start")))
 
-    d = docs.select(F.col("id").alias("document_id"), text.alias("t"), F.coalesce(pages, F.array(F.lit(0), F.length(text))).alias("page_offsets"))
+    d = docs.select(F.col("id").alias("document_id"), text.alias("t"), F.coalesce(pages, F.array(F.lit(0), F.length(text))).alias("page_offsets"), *carried)
     whole, lead = F.length("t") <= target, F.length("t") - F.length(F.ltrim("t", F.lit(WHITE)))
-    d = d.select("document_id", "page_offsets", F.when(whole, F.lit(None)).otherwise(lead).alias("lead"), F.when(whole, F.array("t")).otherwise(sentence_array(F.ltrim("t", F.lit(WHITE)), abbreviations)).alias("s"))
+    d = d.select("document_id", "page_offsets", *carried, F.when(whole, F.lit(None)).otherwise(lead).alias("lead"), F.when(whole, F.array("t")).otherwise(sentence_array(F.ltrim("t", F.lit(WHITE)), abbreviations)).alias("s"))
     # a text of white space alone has no sentence: one empty chunk
     # only sizes go to the fill; a text of white space alone has no sentence, and is one empty chunk
     d = d.withColumn("groups", _groups(target)(F.transform("s", lambda x: F.length(_kept(x))), F.transform("s", F.length)))
@@ -149,10 +149,10 @@ def chunks(docs: DataFrame, target: int = TARGET, abbreviations: Sequence[str] =
     held = lambda g, k: F.slice("s", g["first"] + 1, F.when(k < last, F.get("groups", k + 1)["first"]).otherwise(F.size("s")) - g["first"])
     built = F.transform("groups", lambda g, k: F.struct(k.alias("chunk_index"), F.array_join(held(g, k), "").alias("raw"), g["at"].alias("at")))
     # outer: for the inner generator Catalyst would copy all that stands behind the array into a filter
-    d = d.select("document_id", "page_offsets", "lead", F.explode_outer(built).alias("c"))
-    d = d.select("document_id", "page_offsets", "c.chunk_index", F.when(F.col("lead").isNull(), F.col("c.raw")).otherwise(_kept(F.col("c.raw"))).alias("text"), (F.coalesce("lead", F.lit(0)) + F.col("c.at")).cast("int").alias("offset_start"))
+    d = d.select("document_id", "page_offsets", *carried, "lead", F.explode_outer(built).alias("c"))
+    d = d.select("document_id", "page_offsets", *carried, "c.chunk_index", F.when(F.col("lead").isNull(), F.col("c.raw")).otherwise(_kept(F.col("c.raw"))).alias("text"), (F.coalesce("lead", F.lit(0)) + F.col("c.at")).cast("int").alias("offset_start"))
     rows = d.withColumn("offset_end", F.col("offset_start") + F.length("text")).withColumn("last", F.greatest(F.col("offset_end") - 1, F.lit(0)))
-    return rows.select("document_id", "chunk_index", "text", "offset_start", "offset_end", page_at("offset_start").alias("page_start"), page_at("last").alias("page_end"))
+    return rows.select("document_id", "chunk_index", "text", "offset_start", "offset_end", page_at("offset_start").alias("page_start"), page_at("last").alias("page_end"), *carried)
 
 
 def batch_numbers(sizes: np.ndarray, most: int, filled: int = 0, number: int = 0) -> tuple[np.ndarray, int, int]:

@@ -44,17 +44,29 @@ def usage_rows(usage: DataFrame) -> DataFrame:
     return usage.where("prompt_tokens > 0 and completion_tokens > 0 and total_tokens > 0")
 
 
+def _event_id() -> Column:
+    return S.key_id(F.col("document_id"), F.col("chunk_index"), F.col("n")).alias("id")
+
+
+def _each_event(parsed_rows: DataFrame) -> DataFrame:
+    # outer: for the inner generator Catalyst would copy the parsing of events into a filter
+    return parsed_rows.select("document_id", "chunk_index", F.posexplode_outer("events").alias("n", "e")).where("n is not null")
+
+
 def event_rows(parsed_rows: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per event, with its children still nested, a deterministic id and the document's provider and tracking model."""
     stamp = documents.select(F.col("id").alias("document_id"), "provider_id", S.tracking_model(F.col("model"), F.col("llm_mode")).alias("model"))
-    # outer: for the inner generator Catalyst would copy the parsing of events into a filter
-    e = parsed_rows.select("document_id", "chunk_index", F.posexplode_outer("events").alias("n", "e")).where("n is not null").join(stamp, "document_id", "left")
-    return e.select(
-        S.key_id(F.col("document_id"), F.col("chunk_index"), F.col("n")).alias("id"), "document_id", "chunk_index", F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce("e.description", F.lit("")).alias("description"),
+    return _each_event(parsed_rows).join(stamp, "document_id", "left").select(
+        _event_id(), "document_id", "chunk_index", F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce("e.description", F.lit("")).alias("description"),
         S.parsed_date(F.col("e.time_start")).alias("time_start"), S.parsed_date(F.col("e.time_end")).alias("time_end"), "e.time_precision", "provider_id", "model", "e.location", "e.participants", "e.references",
     )
 
 
+def event_heads(parsed_rows: DataFrame) -> DataFrame:
+    """(document_id, id, title, time_start) of event_rows(): what prompts need, without the documents."""
+    return _each_event(parsed_rows).select("document_id", _event_id(), F.coalesce("e.title", F.lit("")).alias("title"), S.parsed_date(F.col("e.time_start")).alias("time_start"))
+
+
 def location_rows(events: DataFrame) -> DataFrame:
     """Events that name a place."""
     return events.where(F.coalesce("location.name", F.lit("")) != "").select(F.col("id").alias("event_id"), "location.name", "location.location_type")

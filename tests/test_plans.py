@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import pytest
@@ -11,6 +12,7 @@ from lexmere import catalog
 from lexmere.fixtures import Views
 from lexmere.operators import chunks
 from lexmere.plans import corpus_run, waves
+from lexmere.session import stored
 from lexmere.sources import extractors
 from tests.test_queries import SF
 
@@ -241,3 +243,13 @@ def test_names_are_asked_once(spark, tmp_path):
     store.looked_up(loc, cache, geocode).count()
     assert sorted(open(f"{where}/asked").read().split()) == ["Down", "Down", "Lima", "Nowhere"]
     assert store.looked_up(loc, none, lambda n: None, 1).collect() == [("Down", None, None)]
+
+
+def test_a_wave_reads_its_own_responses_alone(spark):
+    """Stored responses are made once and read by chunk index: a wave's plan neither makes them again nor reads other folders."""
+    responses = spark.range(40).selectExpr("id % 8 document_id", "id div 8 chunk_index", "concat('r', id) response_text")
+    extract, asked = waves.answers(responses), stored(responses.selectExpr("document_id", "cast(chunk_index as int) chunk_index", "'t' text"), by=["chunk_index"])
+    found = extract(asked.where("chunk_index = 3"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*chunk_index#\d+ = 3", plan)) == 2 and "Range" not in plan
+    assert sorted(x.response_text for x in found.collect()) == [f"r{i}" for i in range(24, 32)]
