@@ -125,11 +125,12 @@ def document_list(documents: DataFrame, providers: DataFrame, usage: DataFrame,
 
 
 def document_status(documents: DataFrame, providers: DataFrame, events: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
-    """Status, provider and counts of every document."""
+    """Status, provider and counts of every document. Words are counted where texts are read: no text is shuffled."""
+    d = documents.select("id", "status", "provider_id", S.word_count(F.col("text_content")).alias("word_count"))
     r = refs.groupBy("document_id").agg(F.count("*").alias("reference_count"))
-    out = documents.join(document_counts(documents, events, chunks), "id").join(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")), "provider_id", "left")
+    out = d.join(document_counts(documents, events, chunks), "id").join(providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")), "provider_id", "left")
     out = out.join(r, out.id == r.document_id, "left")
-    return out.select("id", "status", "provider_name", S.word_count(F.col("text_content")).alias("word_count"), "event_count", "chunk_count", F.coalesce("reference_count", F.lit(0)).alias("reference_count"))
+    return out.select("id", "status", "provider_name", "word_count", "event_count", "chunk_count", F.coalesce("reference_count", F.lit(0)).alias("reference_count"))
 
 
 def valid_box(min_lon: float | None, min_lat: float | None, max_lon: float | None, max_lat: float | None) -> tuple[float, float, float, float] | None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmere import catalog
 from lexmere.fixtures import Views
-from lexmere.operators import chunks
+from lexmere.operators import chunks, reads
 from lexmere.plans import corpus_run, waves
 from lexmere.session import stored
 from lexmere.sources import extractors
@@ -253,3 +253,14 @@ def test_a_wave_reads_its_own_responses_alone(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"PartitionFilters: \[[^\]]*chunk_index#\d+ = 3", plan)) == 2 and "Range" not in plan
     assert sorted(x.response_text for x in found.collect()) == [f"r{i}" for i in range(24, 32)]
+
+
+def test_document_status_shuffles_no_text(spark):
+    docs = spark.createDataFrame([(i, "ab cd " * i, "processed", "p1") for i in range(6)], "id long, text_content string, status string, provider_id string")
+    providers = spark.createDataFrame([("p1", "One")], "id string, name string")
+    rows = spark.createDataFrame([(1, 1), (1, 2), (4, 3)], "document_id long, event_id long")
+    got = reads.document_status(docs, providers, rows, rows, rows)
+    assert [(x.id, x.word_count, x.event_count, x.chunk_count, x.reference_count) for x in got.orderBy("id").collect()] == [(i, 2 * i, *[{1: 2, 4: 1}.get(i, 0)] * 3) for i in range(6)]
+    joins = optimized(got).split("\n")
+    counted = next(k for k, line in enumerate(joins) if "regexp_extract_all" in line)
+    assert any("Join" in line for line in joins[:counted])
