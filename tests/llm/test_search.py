@@ -354,6 +354,17 @@ def test_near_passages_behind_an_earlier_fragment(spark):
     assert all(a // 10 == b // 10 and a % 10 == 2 for a, b in found)
 
 
+def test_open_windows_of_large_groups_meet_all_earlier_ones(spark, monkeypatch):
+    """A group of 20 windows, of which 15 is covered, and one of 5, which again() joins in all pairs; blocks of 3 lose nothing."""
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    both = spark.createDataFrame([(8, 9, i, 100 + i, i, i + 20, i + 80, True) for i in range(20)] + [(4, 5, i, 100 + i, 0, 20, 80, True) for i in range(5)], "a long, b long, doc long, key long, l int, c int, r int, open boolean")
+    spans = spark.createDataFrame([(15, 115, [(0, 500)])], "doc long, key long, spans array<struct<first_word:int,last_word:int>>")
+    got = [(x.sig, x.doc, x.other, x.l, x.ol) for x in passages.rest(both, spans).collect()]
+    assert sorted(got) == [(sig, i, k, i, k) for sig in (8, 9) for i in range(20) if i != 15 for k in range(i)]
+    assert passages.rest(both.where("a = 4"), spans) is None
+    assert passages.rest(both.where("doc = 15"), spans) is None
+
+
 def test_passages_of_repeated_ids_and_clashing_names(spark):
     rng = random.Random(12)
     shared, other = _fresh(rng, 80), _fresh(rng, 200)
