@@ -296,7 +296,9 @@ def train(texts: list[str], y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model trained on labelled.sample(); without labelled rows of both kinds it calls every text clean."""
     texts, y = labelled.sample(docs, labels, label, most_bytes=6 << 20)
-    return train([t.decode() for t in texts], y)
+    model = train([t.decode() for t in texts], y)
+    give_back()  # the driver goes on with other work
+    return model
 
 
 def score_texts(scorer: Words, texts: list[str]) -> np.ndarray:
