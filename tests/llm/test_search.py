@@ -365,6 +365,47 @@ def test_open_windows_of_large_groups_meet_all_earlier_ones(spark, monkeypatch):
     assert passages.rest(both.where("doc = 15"), spans) is None
 
 
+def test_rest_leaves_out_texts_that_share_a_line_only(spark):
+    """Of 20 texts with one frequent line, two have a passage of 70 words around it; a span that covers it leaves none."""
+    rng = random.Random(21)
+    line, around = _fresh(rng, 30), [_fresh(rng, 20) for _ in range(2)]
+    words = [_fresh(rng, 40) + line + _fresh(rng, 40) for _ in range(20)]
+    for i in (7, 12):
+        words[i][20:90] = around[0] + line + around[1]
+    texts = spark.createDataFrame([(i, 100 + i, " ".join(w)) for i, w in enumerate(words)], "doc long, key long, text string")
+    both = spark.createDataFrame([(8, 9, i, 100 + i, 20, 45, 80, True) for i in range(20)], "a long, b long, doc long, key long, l int, c int, r int, open boolean")
+    spans = lambda doc: spark.createDataFrame([(doc, 100 + doc, [(20, 89)])], "doc long, key long, spans array<struct<first_word:int,last_word:int>>")
+    assert sorted((x.sig, x.doc, x.other, x.l, x.r, x.ol, x.orr) for x in passages.rest(both, spans(3), texts=texts).collect()) == [(sig, 12, 7, 20, 80, 20, 80) for sig in (8, 9)]
+    assert passages.rest(both, spans(3)).count() == 2 * 187  # the windows of 3 are covered
+    assert {x.doc for x in passages.rest(both.withColumn("r", F.lit(100)), spans(12), texts=texts).collect()} == set()
+
+
+def test_no_passage_is_excluded():
+    """Texts with lines, runs of one word and edits: where verified() finds a passage that no span holds, _hopeful() is true."""
+    rng, found, excluded = np.random.default_rng(5), 0, 0
+    lines = [rng.integers(0, 10**9, n) for n in (15, 25, 35, 45, 60, 90)] + [np.full(n, n) for n in (30, 80)]
+
+    def text():
+        parts = [lines[k].copy() for k in rng.integers(0, len(lines), 4)] + [rng.integers(0, 10**9, 20)]
+        out = np.concatenate([parts[k] for k in rng.permutation(5)])
+        edit = rng.random(len(out)) < rng.choice([0, 0.01, 0.03])
+        out[edit] = rng.integers(0, 10**9, edit.sum())
+        return passages.shingle_hashes(out.astype(np.uint64))
+
+    for _ in range(400):
+        a, others = text(), [text() for _ in range(3)]
+        codes, x = np.unique(a, return_inverse=True)
+        of, at = zip(*((c, i) for i, b in enumerate(others) for c in np.flatnonzero(np.isin(codes, b)))) if any(np.isin(a, b).any() for b in others) else ((), ())
+        lo = int(rng.integers(0, len(a)))
+        spans = [(lo, lo + int(rng.integers(40, 90)))]
+        good = passages._hopeful(x, np.ones(len(a), bool), spans, np.array(of, int), np.array(at, int), 3, 46, 0.8)
+        for b, g in zip(others, good):
+            new = [p for p in passages.verified(a, b, 50, 0.8) if not (spans[0][0] <= p[0] and p[1] <= spans[0][1])]
+            assert g or not new
+            found, excluded = found + bool(new), excluded + (not g)
+    assert found > 200 and excluded > 200
+
+
 def test_passages_of_repeated_ids_and_clashing_names(spark):
     rng = random.Random(12)
     shared, other = _fresh(rng, 80), _fresh(rng, 200)
