@@ -103,10 +103,12 @@ def summary(resolved_refs: DataFrame) -> DataFrame:
 
 
 def rebuilt_pages(chunks: DataFrame) -> DataFrame:
-    """E5: page boundaries from chunks: the first offset of each page that begins a chunk, 0 first, the last end last."""
+    """E5: page boundaries from chunks: the first offset of each page that begins a chunk, 0 first, the last end last, also where it is the first (an empty text)."""
     firsts = chunks.groupBy("document_id", "page_start").agg(F.min_by("offset_start", "chunk_index").alias("o"), F.max("offset_end").alias("e"))
-    inner = F.array_sort(F.collect_list("o"))
-    return firsts.groupBy("document_id").agg(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inner.cast("array<bigint>"), F.array(F.max("e").cast("long")))).alias("page_offsets"))
+    found = firsts.groupBy("document_id").agg(F.array_sort(F.collect_list("o")).cast("array<bigint>").alias("inner"), F.max("e").cast("long").alias("e"))
+    zero = F.array(F.lit(0).cast("long"))
+    begins = F.when(F.try_element_at("inner", F.lit(1)) == 0, F.col("inner")).otherwise(F.concat(zero, "inner"))
+    return found.select("document_id", F.concat(begins, F.array("e")).alias("page_offsets"))
 
 
 def on_pages(refs: DataFrame, chunks: DataFrame, plain_text: bool = False) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lexmere import catalog
 from lexmere.functions import scalars as S
 from lexmere.operators import chunks, entities, reads, refs, store, timeline
 from lexmere.operators.components import connected_components
@@ -135,6 +137,21 @@ def test_pages(spark):
     assert ingest.decoded(bad).first().error_message
 
 
+def test_rebuilt_pages_of_odd_documents(spark, tmp_path):
+    """An empty text begins and ends at 0; the query gives its SQL's rows on empty, null and short texts."""
+    rows = [(1, 0, 1, 0, 0), (2, 0, 1, 0, 500), (2, 1, 2, 500, 700), (3, 0, 2, 40, 90)]
+    c = spark.createDataFrame(rows, "document_id long, chunk_index int, page_start int, offset_start int, offset_end int")
+    got = {r.document_id: r.page_offsets for r in refs.rebuilt_pages(c).collect()}
+    assert got == {1: [0, 0], 2: [0, 500, 700], 3: [0, 40, 90]}
+    texts = [(1, ""), (2, None), (3, "x"), (4, "y" * 500), (5, "z" * 1501), (None, "no id")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.queries()["e5_rebuilt_pages"](spark, str(tmp_path)).collect()
+    want = con.execute(f"select document_id, offsets from ({catalog.oracle_sql()['e5_rebuilt_pages']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_placement(spark):
     r = random.Random(2)
     rows = [(i, f"m{r.randint(0, 2)}", "t", "d", f"2024-0{r.randint(1, 3)}-{r.randint(1, 28):02} 0{r.randint(0, 9)}:00:00") for i in range(300)]
