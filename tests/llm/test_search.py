@@ -380,6 +380,34 @@ def test_rest_leaves_out_texts_that_share_a_line_only(spark):
     assert {x.doc for x in passages.rest(both.withColumn("r", F.lit(100)), spans(12), texts=texts).collect()} == set()
 
 
+def test_open_texts_meet_few_others(spark):
+    """Of 40 texts with one frequent line 35 have a passage of 70 words around it: each later one meets one or a few of these, not all; the first text that has a rare shingle is met before."""
+    rng = random.Random(22)
+    line, around = _fresh(rng, 30), [_fresh(rng, 20) for _ in range(2)]
+    words = [_fresh(rng, 40) + line + _fresh(rng, 40) for _ in range(40)]
+    for i in range(5, 40):
+        words[i][20:90] = around[0] + line + around[1]
+    texts = spark.createDataFrame([(i, 100 + i, " ".join(w)) for i, w in enumerate(words)], "doc long, key long, text string")
+    both = spark.createDataFrame([(8, 9, i, 100 + i, 20, 45, 80, True) for i in range(40)], "a long, b long, doc long, key long, l int, c int, r int, open boolean")
+    spans = spark.createDataFrame([], "doc long, key long, spans array<struct<first_word:int,last_word:int>>")
+    got = [(x.doc, x.other) for x in passages.rest(both, spans, texts=texts).collect()]
+    assert {d for d, _ in got} == set(range(6, 40)) and all(o >= 5 for _, o in got)
+    assert len(got) <= 2 * 34 * passages.BLOCKS  # 2 * 595 pairs have the passage
+    later, earlier = passages.opened(both, spans)
+    known = passages.shared(later, passages.hashed(texts, earlier))
+    met = passages.firsts(known).collect()
+    assert sorted((x.sig, x.doc, x.other) for x in met) == [(sig, i, 5) for sig in (0, 1) for i in range(6, 40)]
+    assert all(x.l == x.ol and x.r == x.orr and x.l <= 22 and x.r >= 83 for x in met)
+    covered = known.withColumn("spans", F.expr("array(named_struct('first_word', 20, 'last_word', 89))"))
+    assert passages.hopeful(known).count() == 34
+    assert passages.hopeful(covered).count() == 0 and passages.firsts(covered).count() == 0
+
+
+def test_joined_spans():
+    """Spans of shingles whose words touch are one; words between them keep them apart."""
+    assert passages._joined([(50, 80), (0, 45), (86, 90), (60, 70)]) == [(0, 80), (86, 90)]
+
+
 def test_no_passage_is_excluded():
     """Texts with lines, runs of one word and edits: where verified() finds a passage that no span holds, _hopeful() is true."""
     rng, found, excluded = np.random.default_rng(5), 0, 0
